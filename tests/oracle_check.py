@@ -41,7 +41,7 @@ def _rows(table, names):
 
 def main(sf_dir="/root/testdata/sf0.01", *only):
     import __spark_entry__ as contract
-    from tests.conftest import make_session
+    from conftest import make_session
 
     spark, db = make_session(), connect(sf_dir)
     oracle, bad = contract.oracle_sql(), []

@@ -1,0 +1,180 @@
+import gzip
+import os
+
+import pytest
+from helpers import STRIP, column, entries
+from test_quality import BAD_LINES
+
+from vocabmill import (
+    Config,
+    accept,
+    dataset_paths,
+    entries_from_documents,
+    languages,
+    pick_top,
+    read_columnar,
+    read_entries,
+    word_list,
+    write_columnar,
+    write_entries_text,
+    write_words,
+    yearly_rollup,
+)
+from vocabmill.functions.words import word_prefix
+
+
+def gz(path, *lines):
+    with gzip.open(path, "wb") as file:
+        for line in lines:
+            file.write((line if isinstance(line, bytes) else line.encode()) + b"\n")
+    return str(path)
+
+
+def files_read(df):
+    """How many files the scans of a query open."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = plan.collectLeaves()
+    return sum(
+        leaves.apply(i).metrics().get("numFiles").get().value() for i in range(leaves.size())
+    )
+
+
+def rows(df):
+    return [tuple(r) for r in df.select("ngram", "year", "match_count", "volume_count").collect()]
+
+
+def test_catalog_and_paths(spark):
+    catalog = languages(spark)
+    assert column(catalog.where("NOT should_strip_capitalized"), "short_name") == ["ger"]
+    paths = dataset_paths(catalog, "s3://bucket/ngrams/")
+    assert paths.count() == 8 * 27
+    first = paths.where("short_name = 'eng-us'").first()
+    assert first.path == "s3://bucket/ngrams/googlebooks-eng-us-all-1gram-20120701-a.gz"
+
+
+def test_scan_keeps_odd_tokens(spark, tmp_path):
+    lines = ['"q\t2000\t5\t2', "null\t2000\t5\t2", "\\x\t2000\t5\t2", " a\t-3\t5\t2", "\t2000\t5\t2"]
+    path = gz(tmp_path / "x.gz", *lines, "")
+    assert rows(read_entries(spark, path)) == [
+        ('"q', 2000, 5, 2),
+        ("null", 2000, 5, 2),
+        ("\\x", 2000, 5, 2),
+        (" a", -3, 5, 2),
+        ("", 2000, 5, 2),
+    ]
+    with pytest.raises(Exception, match="empty_ngram"):
+        read_entries(spark, path, allow_empty=False).collect()
+
+
+@pytest.mark.parametrize("line", BAD_LINES)
+def test_bad_lines_fail_even_if_no_filter_keeps_them(spark, tmp_path, line):
+    path = gz(tmp_path / "x.gz", "b\t2000\t5\t2", line.replace("2000", "1900"))
+    df = accept(read_entries(spark, path), STRIP)
+    for use in (df, yearly_rollup(df), df.select("ngram"), df.groupBy().count()):
+        with pytest.raises(Exception, match="bad entry"):
+            use.collect()
+
+
+def test_invalid_encoding_fails(spark, tmp_path):
+    path = gz(tmp_path / "x.gz", b"a\xff\t2000\t5\t2")
+    with pytest.raises(Exception, match="encoding"):
+        read_entries(spark, path).collect()
+
+
+def test_several_files_keep_their_identity(spark, tmp_path):
+    paths = [gz(tmp_path / f"{name}.gz", f"{name}\t2000\t5\t2") for name in "ab"]
+    df = read_entries(spark, paths)
+    assert {(r.ngram, os.path.basename(r.file)) for r in df.collect()} == {
+        ("a", "a.gz"),
+        ("b", "b.gz"),
+    }
+
+
+def test_files_of_other_prefixes_are_not_opened(spark, tmp_path):
+    base = dataset_paths(languages(spark).where("short_name = 'ger'"), str(tmp_path))
+    for row in base.collect():
+        gz(row.path, f"{row.prefix}x\t2000\t5\t2")
+    paths = column(base, "path")
+    assert files_read(read_entries(spark, paths)) == 27
+    df = read_entries(spark, paths, prefixes=["a", "other"])
+    assert sorted(column(df)) == ["ax", "otherx"]
+    assert files_read(df) == 2
+    assert read_entries(spark, paths, prefixes=[]).count() == 0
+
+
+WORDS = ["apple", "Apple", "Ärger", "ärger", "zoo", "Zoo", "7up", "ａ"]
+
+
+def test_prefix_directories_round_trip(spark, tmp_path):
+    source = entries(spark, [(word, 2000, 5, 2) for word in WORDS])
+    prefixed = source.withColumn("prefix", word_prefix(source.ngram))
+    write_entries_text(prefixed, f"{tmp_path}/text", ["prefix"])
+    df = read_entries(spark, f"{tmp_path}/text")
+    assert sorted(rows(df)) == sorted(rows(source))
+    found = {(r.ngram, r.prefix) for r in df.collect()}
+    assert found == {(r.ngram, r.prefix) for r in prefixed.collect()}
+    pruned = read_entries(spark, f"{tmp_path}/text", prefixes=["a"])
+    assert sorted(column(pruned)) == ["Apple", "apple"]
+
+
+def test_columnar_copy(spark, tmp_path):
+    source = entries(spark, [(w, 2000, 5, 2, lang) for w in WORDS for lang in ("eng", "ger")], "lang")
+    write_columnar(source, f"{tmp_path}/copy")
+    df = read_columnar(spark, f"{tmp_path}/copy")
+    assert sorted(rows(df)) == sorted(rows(source))
+    one = read_columnar(spark, f"{tmp_path}/copy", ["ger"], ["other"])
+    assert sorted(column(one)) == sorted(["Ärger", "ärger", "7up", "ａ"])
+    assert files_read(one) < files_read(df)
+
+
+def test_columnar_copy_skips_row_groups_of_capitalised_words(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    source = spark.range(200_000).select(
+        F.concat(F.when(F.col("id") % 2 == 0, "Q").otherwise("q"), F.md5(F.col("id").cast("string"))).alias("ngram"),
+        F.lit(2000).cast("bigint").alias("year"),
+        F.lit(5).cast("bigint").alias("match_count"),
+        F.lit(2).cast("bigint").alias("volume_count"),
+        F.lit("eng").alias("lang"),
+    )
+    spark.conf.set("parquet.block.size", 256 * 1024)
+    try:
+        write_columnar(source.coalesce(1), f"{tmp_path}/copy")
+    finally:
+        spark.conf.unset("parquet.block.size")
+    df = accept(read_columnar(spark, f"{tmp_path}/copy"), STRIP)
+    plan = df._jdf.queryExecution().executedPlan()
+    assert plan.executeCollect() is not None
+    scan = plan.collectLeaves().apply(0)
+    read = scan.metrics().get("numOutputRows").get().value()
+    assert df.count() == 100_000
+    assert read < 130_000
+
+
+def test_word_sink(spark, tmp_path):
+    source = entries(spark, [("b", 2000, 5, 2), ("a", 2000, 5, 2), ("c", 2000, 9, 2)])
+    words = word_list(source, Config(True, 1962, 1, 1, sort_by_popularity=True))
+    write_words(words, f"{tmp_path}/words")
+    text = ""
+    for name in sorted(os.listdir(f"{tmp_path}/words")):
+        if name.startswith("part-"):
+            text += (tmp_path / "words" / name).read_text()
+    assert text == "c\na\nb\n"
+
+
+def test_entries_from_documents(spark):
+    docs = spark.createDataFrame(
+        [(12, "a b  a\n"), (72, "a\tc"), (13, "")], "doc_id long, text string"
+    )
+    assert sorted(rows(entries_from_documents(docs))) == [
+        ("a", 1962, 3, 2),
+        ("b", 1962, 1, 1),
+        ("c", 1962, 1, 1),
+    ]
+    kept = entries_from_documents(docs, keep_empty=True).where("ngram = ''")
+    assert sorted(rows(kept)) == [("", 1962, 1, 1), ("", 1963, 1, 1)]
+
+
+def test_pick_top_is_exported():
+    assert callable(pick_top)

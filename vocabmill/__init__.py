@@ -12,6 +12,7 @@ from vocabmill.operators.filters import (
     accept,
     filter_capitalized,
     filter_capitalized_by_language,
+    filter_languages,
     filter_non_words,
     filter_year,
     reject_cause,
@@ -32,7 +33,7 @@ from vocabmill.operators.topk import pick_top
 from vocabmill.plans.word_list import word_list, word_lists
 from vocabmill.sources.catalog import dataset_paths, language_config, languages
 from vocabmill.sources.columnar import read_columnar, write_columnar
-from vocabmill.sources.documents import entries_from_documents
+from vocabmill.sources.documents import entries_from_documents, read_documents
 from vocabmill.sources.entries import read_entries, write_entries_text
 from vocabmill.sources.words import write_words
 from vocabmill.streaming.incremental import current_words, run_incremental
@@ -54,6 +55,7 @@ __all__ = [
     "entries_from_documents",
     "filter_capitalized",
     "filter_capitalized_by_language",
+    "filter_languages",
     "filter_non_words",
     "filter_year",
     "language_config",
@@ -61,6 +63,7 @@ __all__ = [
     "merge_files",
     "pick_top",
     "read_columnar",
+    "read_documents",
     "read_entries",
     "reject_cause",
     "rejection_audit",

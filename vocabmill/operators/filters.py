@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from vocabmill.config import DEFAULT_MIN_YEAR, Config
 from vocabmill.functions.words import not_a_word, starts_uppercase
 from vocabmill.operators.rollup import has_support, yearly_rollup
+from vocabmill.session import broadcast_up_to
+
+MAX_BROADCAST_LANGUAGES = 10_000
 
 
 def filter_year(df: DataFrame, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
@@ -25,21 +28,25 @@ def filter_capitalized(df: DataFrame) -> DataFrame:
 def filter_capitalized_by_language(df: DataFrame, languages: DataFrame) -> DataFrame:
     """Drop capitalised words of those languages where capitals are odd.
 
-    Keeps only languages of the catalog. ``df.lang`` holds the short name. The
-    catalog is a local relation of known size, so Catalyst broadcasts it by
-    its own size check.
+    Keeps only languages of the catalog. ``df.lang`` holds the short name.
     """
     flags = languages.select(
         F.col("short_name").alias("lang"),
         F.col("should_strip_capitalized").alias("_strip"),
     )
     return (
-        df.join(flags, "lang")
+        df.join(broadcast_up_to(flags, MAX_BROADCAST_LANGUAGES), "lang")
         .where(~(F.col("_strip") & starts_uppercase(F.col("ngram"))))
         .drop("_strip")
     )
 
 
+def filter_languages(df: DataFrame, languages: DataFrame) -> DataFrame:
+    """Keep only languages of the catalog."""
+    known = languages.select(F.col("short_name").alias("lang"))
+    return df.join(broadcast_up_to(known, MAX_BROADCAST_LANGUAGES), "lang", "left_semi")
+
+
 def filter_non_words(df: DataFrame) -> DataFrame:
     """Drop part-of-speech tags and abbreviations."""
     return df.where(~not_a_word(F.col("ngram")))

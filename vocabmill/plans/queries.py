@@ -19,7 +19,7 @@ from vocabmill.operators import casing, filters, merge, quality, rollup, topk
 from vocabmill.plans.word_list import word_list, word_lists
 from vocabmill.session import scratch_path
 from vocabmill.sources import catalog, columnar, entries as text_entries
-from vocabmill.sources.documents import entries_from_documents
+from vocabmill.sources.documents import entries_from_documents, read_documents
 from vocabmill.streaming import incremental
 
 STRIPPED = Config(min_matches=20, min_books=3)
@@ -48,7 +48,7 @@ def queries() -> dict[str, Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_documents(spark, f"{sf_dir}/documents.parquet")
     codes = F.lit(None).cast("string")
     for code, short_name in LANGUAGE_CODES.items():
         codes = F.when(F.col("lang") == code, short_name).otherwise(codes)

@@ -9,6 +9,7 @@ from vocabmill.operators.casing import case_classes, with_fold_key
 from vocabmill.operators.filters import (
     accept,
     filter_capitalized_by_language,
+    filter_languages,
     filter_non_words,
     filter_year,
 )
@@ -44,8 +45,7 @@ def word_lists(
     if config.strip_capitalized:
         accepted = filter_capitalized_by_language(accepted, languages)
     else:
-        known = languages.selectExpr("short_name AS lang")
-        accepted = accepted.join(known, "lang", "left_semi")
+        accepted = filter_languages(accepted, languages)
     return pick_top(
         _classes(accepted, config, ["lang"]),
         config.max_outputs,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings for large runs. AQE starts from many small shuffle partitions and
 #: merges them up to the advisory size, so one value serves every data size.
@@ -54,13 +55,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle ``df`` by ``key`` if its scan has fewer tasks than the cluster has cores.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Shuffle a table by ``key`` if it is read by fewer tasks than the cluster has cores.
 
     Small tables come in one row group, that is in one task. Large ones have
     more splits than cores and are returned as they are, without a shuffle.
+    ``scan`` is a plain scan: counting its splits runs no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
+def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
+
+    A larger one is returned as it is, for Spark to choose the join.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,14 @@ FILE_NAME_FORMAT = "googlebooks-%s-all-1gram-20120701-%s.gz"
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    """The language catalog, one row per language."""
+    """The language catalog, one row per language.
+
+    Arrow makes it a local relation, whose exact size Catalyst knows. From a
+    list of tuples it would be an RDD of unknown size, never broadcast.
+    """
     rows = [(name, short, LATIN_WORD_PREFIXES, strip) for name, short, strip in LANGUAGES]
-    return spark.createDataFrame(rows, LANGUAGE)
+    columns = dict(zip(LANGUAGE.names, zip(*rows, strict=True), strict=True))
+    return spark.createDataFrame(pa.table({k: list(v) for k, v in columns.items()}), LANGUAGE)
 
 
 def language_config(catalog: DataFrame, short_name: str, config: Config | None = None) -> Config:

@@ -23,7 +23,12 @@ def write_columnar(df: DataFrame, path: str) -> None:
     There is no shuffle: each task sorts what it has read and writes its own
     files, so a language or prefix with much of the data slows no single task.
     """
-    df = df.withColumn("prefix", word_prefix(F.col("ngram")))
+    # As a constant, the language would be optimized out of the sort order, which
+    # then no longer fits the writer: it would sort again, by partition only.
+    nothing = F.substring(F.coalesce("ngram", F.lit("")), 1, 0)
+    df = df.withColumns(
+        {"lang": F.concat("lang", nothing), "prefix": word_prefix(F.col("ngram"))}
+    )
     (
         df.select("lang", "prefix", "ngram", "year", "match_count", "volume_count")
         .sortWithinPartitions("lang", "prefix", "ngram", "year")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabmill.session import spread
@@ -16,6 +16,11 @@ from vocabmill.session import spread
 WHITESPACE = "[ \n\t\r]+"
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of documents, over as many tasks as there are cores."""
+    return spread(spark.read.parquet(path), "doc_id")
+
+
 def entries_from_documents(
     docs: DataFrame, keys: Sequence[str] = (), keep_empty: bool = False
 ) -> DataFrame:
@@ -27,7 +32,7 @@ def entries_from_documents(
     shuffle every pair of document and word instead.
     """
     year = F.lit(1950) + F.col("doc_id") % 60
-    words = spread(docs.select("doc_id", "text", *keys), "doc_id").select(
+    words = docs.select(
         *keys, year.alias("year"), F.split("text", WHITESPACE).alias("words")
     )
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")

@@ -9,6 +9,7 @@ run over all files so far, in any order of arrival.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,31 @@ from vocabmill.sources.entries import decode_lines
 _PARTIAL = T.StructType([T.StructField("file", T.StringType()), *CLASS.fields])
 
 
+_SETTINGS = "strip_capitalized boolean, min_year long, min_matches long, min_books long"
+
+
 def _store(state_dir: str) -> str:
     return f"{state_dir.rstrip('/')}/classes"
 
 
+def _open_state(spark: SparkSession, state_dir: str, config: Config) -> None:
+    """Set the state up, or check that it was built with the same settings."""
+    path = f"{state_dir.rstrip('/')}/settings"
+    settings = (config.strip_capitalized, config.min_year, config.min_matches, config.min_books)
+    try:
+        stored = spark.read.schema(_SETTINGS).json(path).first()
+    except AnalysisException:
+        stored = None
+    if stored is None:
+        # An empty first part, so that the state can be read before any file came.
+        spark.createDataFrame([], _PARTIAL).write.mode("overwrite").parquet(
+            f"{_store(state_dir)}/batch_id=-1"
+        )
+        spark.createDataFrame([settings], _SETTINGS).write.mode("overwrite").json(path)
+    elif tuple(stored) != settings:
+        raise ValueError(f"{state_dir} was built with other settings: {stored}")
+
+
 def run_incremental(
     spark: SparkSession,
     input_dir: str,
@@ -37,8 +59,10 @@ def run_incremental(
     """Fold all files that are new in ``input_dir`` into the state, return the classes.
 
     ``state_dir`` must be on storage shared by the cluster. A batch that runs
-    again after a failure overwrites its own part of the state.
+    again after a failure overwrites its own part of the state. The filters
+    and cutoffs of ``config`` stay the same over the life of a state.
     """
+    _open_state(spark, state_dir, config)
     reader = spark.readStream.format("text")
     if max_files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
