@@ -27,7 +27,7 @@ def test_files_in_any_batches_equal_one_batch_run(spark, tmp_path):
         paths += [write(inbox, file, rows) for file in arrivals]
         found = run_incremental(spark, str(inbox), state, CONFIG, max_files_per_batch=1)
         if paths:
-            batch = merge_files(read_entries(spark, paths), CONFIG, scope="file")
+            batch = merge_files(read_entries(spark, paths, with_file=True), CONFIG, scope="file")
             assert as_set(found) == as_set(batch)
     words = current_words(spark, state, CONFIG)
     assert {r.ngram for r in words.collect()} == {r.top_casing for r in found.collect()}

@@ -66,7 +66,7 @@ def test_word_lists_broadcast_the_catalog_only(spark, layouts):
 
 
 def test_file_merge_needs_two_shuffles(spark, layouts):
-    text = plan(merge_files(read_entries(spark, f"{layouts}/text"), CONFIG, "file"))
+    text = plan(merge_files(read_entries(spark, f"{layouts}/text", with_file=True), CONFIG, "file"))
     assert text.count("Exchange") == 2
     assert "Join" not in text
 

@@ -63,7 +63,7 @@ def test_scan_keeps_odd_tokens(spark, tmp_path):
         (" a", -3, 5, 2),
         ("", 2000, 5, 2),
     ]
-    with pytest.raises(Exception, match="empty_ngram"):
+    with pytest.raises(Exception, match="bad entry"):
         read_entries(spark, path, allow_empty=False).collect()
 
 
@@ -78,13 +78,13 @@ def test_bad_lines_fail_even_if_no_filter_keeps_them(spark, tmp_path, line):
 
 def test_invalid_encoding_fails(spark, tmp_path):
     path = gz(tmp_path / "x.gz", b"a\xff\t2000\t5\t2")
-    with pytest.raises(Exception, match="encoding"):
+    with pytest.raises(Exception, match="bad entry"):
         read_entries(spark, path).collect()
 
 
 def test_several_files_keep_their_identity(spark, tmp_path):
     paths = [gz(tmp_path / f"{name}.gz", f"{name}\t2000\t5\t2") for name in "ab"]
-    df = read_entries(spark, paths)
+    df = read_entries(spark, paths, with_file=True)
     assert {(r.ngram, os.path.basename(r.file)) for r in df.collect()} == {
         ("a", "a.gz"),
         ("b", "b.gz"),

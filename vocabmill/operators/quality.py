@@ -29,8 +29,8 @@ def _report(violations: DataFrame, rule: str, strict: bool) -> DataFrame:
 
 def check_decode(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Text lines (column ``value``) that are not an entry, and why."""
-    bad = split_lines(lines).withColumn("cause", decode_problem())
-    bad = bad.where(F.col("cause").isNotNull()).drop("_fields")
+    causes = split_lines(lines).select(*lines.columns, decode_problem().alias("cause"))
+    bad = causes.where(F.col("cause").isNotNull() & (F.col("value") != ""))
     return _report(bad, "lines must hold a word and three integers, counts above 0", strict)
 
 

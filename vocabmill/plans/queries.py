@@ -126,14 +126,14 @@ def _write_text(spark, df, *partition_by) -> str:
 @query
 def s5_text_scan(spark, sf_dir):
     path = _write_text(spark, entries(spark, sf_dir))
-    return text_entries.read_entries(spark, path).drop("file")
+    return text_entries.read_entries(spark, path)
 
 
 @query
 def s6_multi_file_scan(spark, sf_dir):
     df = entries(spark, sf_dir, "lang").withColumn("prefix", word_prefix(F.col("ngram")))
     path = _write_text(spark, df, "lang", "prefix")
-    df = text_entries.read_entries(spark, path)
+    df = text_entries.read_entries(spark, path, with_file=True)
     # Language and prefix as the file says, not as the directory columns do.
     for name in ("lang", "prefix"):
         df = df.withColumn(name, F.regexp_extract("file", f"/{name}=([^/]+)/", 1))
@@ -144,7 +144,7 @@ def s6_multi_file_scan(spark, sf_dir):
 def s7_prefix_pruning(spark, sf_dir):
     df = entries(spark, sf_dir).withColumn("prefix", word_prefix(F.col("ngram")))
     path = _write_text(spark, df, "prefix")
-    return text_entries.read_entries(spark, path, prefixes=["a", "q", "other"]).drop("file")
+    return text_entries.read_entries(spark, path, prefixes=["a", "q", "other"])
 
 
 @query

@@ -14,28 +14,41 @@ from vocabmill.schema import ENTRY
 LINE_PATTERN = r"^[^\t]*\t[+-]?[0-9]+\t[+]?[0-9]+\t[+]?[0-9]+$"
 
 
-def _number(index: int) -> Column:
-    return F.get("_fields", F.lit(index)).try_cast("bigint")
+def _field(index: int) -> Column:
+    return F.get("_fields", F.lit(index))
 
 
 def split_lines(lines: DataFrame) -> DataFrame:
-    """Add the fields of ``value``. Blank lines hold no entry and are dropped."""
-    return lines.where(F.col("value") != "").withColumn("_fields", F.split("value", "\t", -1))
+    """Add the fields of ``value`` and the numbers among them, NULL where there are none."""
+    lines = lines.withColumn("_fields", F.split("value", "\t", -1))
+    return lines.withColumns(
+        {f"_{ENTRY.names[i]}": _field(i).try_cast("bigint") for i in (1, 2, 3)}
+    )
+
+
+def _is_plain() -> Column:
+    """A cheap test that nearly all lines pass: four fields, numbers as Spark prints them."""
+    printed = [
+        F.col(f"_{ENTRY.names[i]}").cast("string") == _field(i) for i in (1, 2, 3)
+    ]
+    plain = (F.size("_fields") == 4) & printed[0] & printed[1] & printed[2]
+    plain = plain & (F.col("_match_count") > 0) & (F.col("_volume_count") > 0)
+    return F.coalesce(plain & F.is_valid_utf8("value"), F.lit(False))
 
 
 def decode_problem() -> Column:
     """Why a line is not an entry, or NULL. For lines out of ``split_lines``."""
 
-    def positive(index):
-        return F.coalesce(_number(index) > 0, F.lit(False))
+    def positive(name):
+        return F.coalesce(F.col(name) > 0, F.lit(False))
 
     return (
         F.when(~F.is_valid_utf8("value"), "encoding")
         .when(F.size("_fields") != 4, "field_count")
         .when(~F.col("value").rlike(LINE_PATTERN), "not_a_number")
-        .when(_number(1).isNull(), "year")
-        .when(~positive(2), "match_count")
-        .when(~positive(3), "volume_count")
+        .when(F.col("_year").isNull(), "year")
+        .when(~positive("_match_count"), "match_count")
+        .when(~positive("_volume_count"), "volume_count")
     )
 
 
@@ -44,30 +57,30 @@ def decode_lines(lines: DataFrame, keep: Sequence[str] = (), allow_empty: bool =
 
     Every line is checked in full before any filter sees it. The generator
     makes that certain: predicates on its output cannot move below it, column
-    pruning does not reach into it, and each line is split only once.
+    pruning does not reach into it, and each line is split only once. Blank
+    lines hold no entry.
     """
-    lines = split_lines(lines)
-    problem = decode_problem()
+    good = _is_plain() | decode_problem().isNull()
     if not allow_empty:
-        problem = F.coalesce(
-            problem, F.when(F.get("_fields", F.lit(0)) == "", "empty_ngram")
-        )
-    entry = F.struct(
-        F.get("_fields", F.lit(0)).alias("ngram"),
-        *(_number(i).alias(ENTRY.names[i]) for i in (1, 2, 3)),
+        good = good & (_field(0) != "")
+    numbers = (F.col(f"_{name}").alias(name) for name in ENTRY.names[1:])
+    entry = F.array(F.struct(_field(0).alias("ngram"), *numbers))
+    decoded = (
+        F.when(good, entry)
+        .when(F.col("value") == "", F.slice(entry, 1, 0))
+        .otherwise(F.raise_error(F.concat(F.lit("bad entry: "), F.col("value"))))
     )
-    message = F.concat(F.lit("bad entry ("), problem, F.lit("): "), F.col("value"))
-    checked = F.when(problem.isNull(), entry).otherwise(F.raise_error(message))
-    return lines.select(*keep, F.inline(F.array(checked)))
+    return split_lines(lines).select(*keep, F.inline(decoded))
 
 
 def read_entries(
     spark: SparkSession,
     paths: str | Sequence[str],
     prefixes: Sequence[str] | None = None,
+    with_file: bool = False,
     allow_empty: bool = True,
 ) -> DataFrame:
-    """Entries of one or many files, with the ``file`` each one comes from.
+    """Entries of one or many files, on request with the ``file`` each one comes from.
 
     Directories laid out as ``lang=.../prefix=...`` add those columns. With
     ``prefixes``, files of other word prefixes are never opened: the condition
@@ -77,8 +90,10 @@ def read_entries(
     keys = [name for name in lines.columns if name != "value"]
     if prefixes is not None:
         lines = lines.where(_in_prefixes(F.col("_metadata.file_path"), prefixes))
-    lines = lines.select("*", F.col("_metadata.file_path").alias("file"))
-    return decode_lines(lines, [*keys, "file"], allow_empty)
+    if with_file:
+        lines = lines.select("*", F.col("_metadata.file_path").alias("file"))
+        keys.append("file")
+    return decode_lines(lines, keys, allow_empty)
 
 
 def _in_prefixes(path: Column, prefixes: Sequence[str]) -> Column:
