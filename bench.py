@@ -85,11 +85,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = session(cpus)
-    seconds = {}
-    for name, build in headline(spark, sf_dir).items():
-        timed(build)
-        seconds[name] = round(statistics.median(timed(build) for _ in range(RUNS)), 3)
-        print(name, seconds[name], file=sys.stderr)
+    builds = headline(spark, sf_dir)
+    rounds = [{name: timed(build) for name, build in builds.items()} for _ in range(1 + RUNS)]
+    seconds = {
+        name: round(statistics.median(times[name] for times in rounds[1:]), 3) for name in builds
+    }
+    print(*rounds, sep="\n", file=sys.stderr)
     print(
         json.dumps(
             {

@@ -30,7 +30,13 @@ from vocabmill.operators.quality import (
 )
 from vocabmill.operators.rollup import support, yearly_rollup
 from vocabmill.operators.topk import pick_top
-from vocabmill.plans.word_list import word_list, word_lists
+from vocabmill.plans.word_list import (
+    all_word_lists,
+    language_word_list,
+    read_language,
+    word_list,
+    word_lists,
+)
 from vocabmill.sources.catalog import dataset_paths, language_config, languages
 from vocabmill.sources.columnar import read_columnar, write_columnar
 from vocabmill.sources.documents import entries_from_documents, read_documents
@@ -42,6 +48,7 @@ __all__ = [
     "Config",
     "DataQualityError",
     "accept",
+    "all_word_lists",
     "case_classes",
     "casing_count",
     "check_books",
@@ -59,12 +66,14 @@ __all__ = [
     "filter_non_words",
     "filter_year",
     "language_config",
+    "language_word_list",
     "languages",
     "merge_files",
     "pick_top",
     "read_columnar",
     "read_documents",
     "read_entries",
+    "read_language",
     "reject_cause",
     "rejection_audit",
     "run_incremental",

@@ -17,6 +17,7 @@ from vocabmill.config import Config
 from vocabmill.functions.ranking import rank_value
 from vocabmill.operators.casing import case_classes, total_columns, unpack_best, with_fold_key
 from vocabmill.operators.filters import accept
+from vocabmill.operators.quality import require_books
 from vocabmill.operators.rollup import support, yearly_rollup
 
 SCOPES = ("dataset", "file")
@@ -24,7 +25,7 @@ SCOPES = ("dataset", "file")
 
 def supported_casings(df: DataFrame, config: Config, keys: Sequence[str] = ()) -> DataFrame:
     """Accepted spellings that reach the cutoffs, with their case key."""
-    casings = yearly_rollup(accept(df, config), keys)
+    casings = yearly_rollup(require_books(accept(df, config)), keys)
     return with_fold_key(support(casings, config.min_matches, config.min_books))
 
 
@@ -32,8 +33,9 @@ def file_classes(df: DataFrame, config: Config) -> DataFrame:
     """Case classes of each file, the partial results that merge_classes combines.
 
     Shuffling the spellings by the case key alone also fits the two
-    aggregations of the merge, which then need no shuffle of their own. A key
-    has at most a few rows per file, so no key gets large.
+    aggregations of the merge, which then need no shuffle of their own. A case
+    key has a few rows per file at most, however often its words occur, so the
+    largest key is as small as the list of files.
     """
     casings = supported_casings(df, config, ["file"])
     return case_classes(casings.repartition("fold_key"), ["file"])

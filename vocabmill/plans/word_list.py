@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vocabmill.config import Config
 from vocabmill.operators.casing import case_classes, with_fold_key
 from vocabmill.operators.filters import (
-    accept,
     filter_capitalized_by_language,
     filter_languages,
     filter_non_words,
     filter_year,
 )
+from vocabmill.operators.merge import merge_files
 from vocabmill.operators.quality import require_books
 from vocabmill.operators.rollup import support, yearly_rollup
 from vocabmill.operators.topk import pick_top
+from vocabmill.sources.catalog import dataset_paths, language_config, languages
+from vocabmill.sources.entries import read_entries
 
 
-def _classes(accepted: DataFrame, config: Config, keys=()) -> DataFrame:
-    casings = yearly_rollup(require_books(accepted), keys)
-    kept = support(casings, config.min_matches, config.min_books)
-    return case_classes(with_fold_key(kept), keys)
-
+def word_list(
+    entries: DataFrame, config: Config, scope: str = "dataset", with_stats: bool = False
+) -> DataFrame:
+    """The word list of one language.
 
-def word_list(entries: DataFrame, config: Config, with_stats: bool = False) -> DataFrame:
-    """The word list of one language."""
-    classes = _classes(accept(entries, config), config)
+    With ``scope='file'`` the cutoffs apply to each ``file`` on its own.
+    """
+    classes = merge_files(entries, config, scope)
     return pick_top(
         classes, config.max_outputs, config.sort_by_popularity, with_stats=with_stats
     )
 
 
 def word_lists(
-    entries: DataFrame, languages: DataFrame, config: Config, with_stats: bool = False
+    entries: DataFrame, catalog: DataFrame, config: Config, with_stats: bool = False
 ) -> DataFrame:
     """The word lists of all languages of the catalog, in one run.
 
@@ -43,13 +47,57 @@ def word_lists(
     """
     accepted = filter_non_words(filter_year(entries, config.min_year))
     if config.strip_capitalized:
-        accepted = filter_capitalized_by_language(accepted, languages)
+        accepted = filter_capitalized_by_language(accepted, catalog)
     else:
-        accepted = filter_languages(accepted, languages)
+        accepted = filter_languages(accepted, catalog)
+    casings = yearly_rollup(require_books(accepted), ["lang"])
+    kept = with_fold_key(support(casings, config.min_matches, config.min_books))
     return pick_top(
-        _classes(accepted, config, ["lang"]),
+        case_classes(kept, ["lang"]),
         config.max_outputs,
         config.sort_by_popularity,
         keys=["lang"],
         with_stats=with_stats,
     )
+
+
+def read_language(
+    spark: SparkSession, base: str, short_name: str, allow_empty: bool = True
+) -> DataFrame:
+    """Entries of all data files of one language below ``base``, with their ``file``."""
+    catalog = languages(spark).where(F.col("short_name") == short_name)
+    paths = [row["path"] for row in dataset_paths(catalog, base).collect()]
+    if not paths:
+        raise ValueError(f"unknown language {short_name!r}")
+    return read_entries(spark, paths, with_file=True, allow_empty=allow_empty)
+
+
+def language_word_list(
+    spark: SparkSession,
+    base: str,
+    short_name: str,
+    config: Config | None = None,
+    scope: str = "dataset",
+    with_stats: bool = False,
+) -> DataFrame:
+    """The word list of one language from the data files below ``base``."""
+    config = language_config(languages(spark), short_name, config)
+    entries = read_language(spark, base, short_name, not config.strip_capitalized)
+    return word_list(entries, config, scope, with_stats)
+
+
+def all_word_lists(
+    spark: SparkSession, base: str, config: Config | None = None, with_stats: bool = False
+) -> DataFrame:
+    """The word lists of every language from the data files below ``base``."""
+    config = config or Config()
+    catalog = languages(spark)
+
+    def entries(language):
+        strip = config.strip_capitalized and language["should_strip_capitalized"]
+        df = read_language(spark, base, language["short_name"], allow_empty=not strip)
+        return df.withColumn("lang", F.lit(language["short_name"]))
+
+    # One scan per language, eight in all: the language is a constant in each.
+    scans = reduce(DataFrame.unionByName, [entries(row) for row in catalog.collect()])
+    return word_lists(scans, catalog, config, with_stats)

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from vocabmill.config import Config
 from vocabmill.operators.merge import file_classes, merge_classes
-from vocabmill.operators.quality import require_books
 from vocabmill.operators.topk import pick_top
 from vocabmill.schema import CLASS
 from vocabmill.sources.entries import decode_lines
@@ -84,7 +83,7 @@ def run_incremental(
 def store_classes(lines: DataFrame, batch_id: int, state_dir: str, config: Config) -> None:
     """Store the case classes of the files in one batch of lines."""
     entries = decode_lines(lines, ["file"], allow_empty=not config.strip_capitalized)
-    classes = file_classes(require_books(entries), config)
+    classes = file_classes(entries, config)
     classes.write.mode("overwrite").parquet(f"{_store(state_dir)}/batch_id={batch_id}")
 
 
