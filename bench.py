@@ -3,7 +3,7 @@
 ``BENCH_SF_DIR`` names the data, ``BENCH_CPUS`` the number of threads. The
 queries named ``*_documents`` include counting the entries in the documents;
 the others start from stored entries, as the jobs do in production. Each value
-is the median of three runs after one warm-up, of a query that is run to its end.
+is the median of three runs after two warm-ups, of a query that is run to its end.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from vocabmill.functions.words import word_prefix  # noqa: E402
 from vocabmill.plans import queries as registered  # noqa: E402
 from vocabmill.session import scratch_path  # noqa: E402
 
-RUNS = 3
+WARM_UPS, RUNS = 2, 3
 TOP = Config(min_matches=20, min_books=3, max_outputs=100, sort_by_popularity=True)
 PER_LANGUAGE = Config(min_matches=20, min_books=3, max_outputs=50, sort_by_popularity=True)
 PER_FILE = Config(strip_capitalized=False, min_matches=5, min_books=2)
@@ -39,6 +39,8 @@ def session(cpus: int) -> SparkSession:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "16g")
+        # Pack the small data files by size, not by the cost of opening them.
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -85,12 +87,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = session(cpus)
-    builds = headline(spark, sf_dir)
-    rounds = [{name: timed(build) for name, build in builds.items()} for _ in range(1 + RUNS)]
-    seconds = {
-        name: round(statistics.median(times[name] for times in rounds[1:]), 3) for name in builds
-    }
-    print(*rounds, sep="\n", file=sys.stderr)
+    seconds = {}
+    for name, build in headline(spark, sf_dir).items():
+        times = [timed(build) for _ in range(WARM_UPS + RUNS)]
+        seconds[name] = round(statistics.median(times[WARM_UPS:]), 3)
+        print(name, [round(t, 2) for t in times], file=sys.stderr)
     print(
         json.dumps(
             {

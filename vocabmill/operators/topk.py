@@ -33,6 +33,7 @@ def pick_top(
     if max_outputs is not None and max_outputs < 1:
         raise ValueError("max_outputs must be at least 1, or None for no limit")
     keys = list(keys)
+    df = df.select(*keys, "top_casing", *STATS)
     columns = [*keys, F.col("top_casing").alias("ngram"), *(STATS if with_stats else [])]
     if sort_by_popularity and max_outputs:
         columns.append(F.col("rank").cast("bigint").alias("rank"))

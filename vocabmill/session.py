@@ -56,14 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Shuffle a table by ``key`` if it is read by fewer tasks than the cluster has cores.
+    """Shuffle a table by ``key`` if it is small for the cluster.
 
-    Small tables come in one row group, that is in one task. Large ones have
-    more splits than cores and are returned as they are, without a shuffle.
+    Small tables often come in a single row group, which one task has to read
+    whole, however many splits the file has. Spark makes about one split per
+    core of a table below ``spark.sql.files.maxPartitionBytes`` per core, and
+    more of a larger one, which is returned as it is, without a shuffle.
     ``scan`` is a plain scan: counting its splits runs no job.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    if scan.rdd.getNumPartitions() >= 2 * cores:
         return scan
     return scan.repartition(cores, key)
 
