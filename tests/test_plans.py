@@ -3,6 +3,7 @@
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 
 from vocabmill import Config, languages, read_columnar, read_entries, word_list, word_lists
 from vocabmill import write_columnar, write_entries_text
@@ -33,6 +34,46 @@ def test_word_list_shuffles_twice(spark, layouts):
     assert "Python" not in text
 
 
+def shuffled_rows(df):
+    """Rows written by each shuffle of an executed query, from the last one up."""
+    df.collect()
+    query = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    found, todo = [], [query]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "ShuffleQueryStage":
+            node = node.plan()
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().get("shuffleRecordsWritten").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_a_hot_word_is_merged_before_the_shuffle(spark):
+    """A third of all entries are of one word."""
+    n = 90_000
+    hot = F.expr("if(id % 3 = 0, 'hot', concat('w', id % 1000))")
+    df = spark.range(0, n, 1, 8).select(
+        hot.alias("ngram"),
+        (F.col("id") % 50 + 1962).alias("year"),
+        F.lit(2).cast("bigint").alias("match_count"),
+        F.lit(1).cast("bigint").alias("volume_count"),
+    )
+    by_case, by_word = shuffled_rows(merge_files(df, Config(False, 1962, 0, 0)))
+    assert by_word <= 8 * 1001
+    assert by_case <= 1001
+
+
+def test_rows_of_a_hot_language_are_cut_before_the_shuffle(spark, layouts):
+    df = read_columnar(spark, f"{layouts}/columnar")
+    config = Config(min_matches=1, min_books=1, max_outputs=10, sort_by_popularity=True)
+    found = shuffled_rows(word_lists(df, languages(spark), config))
+    by_rank, by_language = found[:2]
+    assert by_rank == 4 * 10
+    assert by_language <= 4 * 10 * 8
+
+
 def test_filters_reach_the_columnar_scan(spark, layouts):
     df = read_columnar(spark, f"{layouts}/columnar", ["eng"], ["a"])
     text = plan(word_list(df, CONFIG))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vocabmill.config import Config
 from vocabmill.operators.casing import case_classes, with_fold_key
 from vocabmill.operators.filters import (
+    accept,
     filter_capitalized_by_language,
     filter_languages,
     filter_non_words,
@@ -50,6 +51,10 @@ def word_lists(
         accepted = filter_capitalized_by_language(accepted, catalog)
     else:
         accepted = filter_languages(accepted, catalog)
+    return _lists_of_accepted(accepted, config, with_stats)
+
+
+def _lists_of_accepted(accepted: DataFrame, config: Config, with_stats: bool) -> DataFrame:
     casings = yearly_rollup(require_books(accepted), ["lang"])
     kept = with_fold_key(support(casings, config.min_matches, config.min_books))
     return pick_top(
@@ -89,15 +94,17 @@ def language_word_list(
 def all_word_lists(
     spark: SparkSession, base: str, config: Config | None = None, with_stats: bool = False
 ) -> DataFrame:
-    """The word lists of every language from the data files below ``base``."""
+    """The word lists of every language from the data files below ``base``.
+
+    There is one scan per language of the catalog, eight in all, so that the
+    language is a constant in each and its filters are fixed beforehand.
+    """
     config = config or Config()
     catalog = languages(spark)
-
-    def entries(language):
-        strip = config.strip_capitalized and language["should_strip_capitalized"]
-        df = read_language(spark, base, language["short_name"], allow_empty=not strip)
-        return df.withColumn("lang", F.lit(language["short_name"]))
-
-    # One scan per language, eight in all: the language is a constant in each.
-    scans = reduce(DataFrame.unionByName, [entries(row) for row in catalog.collect()])
-    return word_lists(scans, catalog, config, with_stats)
+    scans = []
+    for language in catalog.collect():
+        short_name = language["short_name"]
+        own = language_config(catalog, short_name, config)
+        entries = read_language(spark, base, short_name, not own.strip_capitalized)
+        scans.append(accept(entries, own).withColumn("lang", F.lit(short_name)))
+    return _lists_of_accepted(reduce(DataFrame.unionByName, scans), config, with_stats)

@@ -100,7 +100,7 @@ def _in_prefixes(path: Column, prefixes: Sequence[str]) -> Column:
     names = "|".join(re.escape(prefix) for prefix in prefixes)
     if not names:
         return F.lit(False)
-    return path.rlike(rf"-({names})\.[a-z0-9]+$|/prefix=({names})/[^/]*$")
+    return path.rlike(rf"-({names})(\.[^/]*)?$|/prefix=({names})/")
 
 
 def write_entries_text(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
