@@ -32,13 +32,17 @@ def supported_casings(df: DataFrame, config: Config, keys: Sequence[str] = ()) -
 def file_classes(df: DataFrame, config: Config) -> DataFrame:
     """Case classes of each file, the partial results that merge_classes combines.
 
+    A path is long and would go with every row of the first shuffle, so files
+    are told apart by 128 bits of hash instead.
+
     Shuffling the spellings by the case key alone also fits the two
     aggregations of the merge, which then need no shuffle of their own. A case
     key has a few rows per file at most, however often its words occur, so the
     largest key is as small as the list of files.
     """
-    casings = supported_casings(df, config, ["file"])
-    return case_classes(casings.repartition("fold_key"), ["file"])
+    keys = {"_file_1": F.xxhash64("file"), "_file_2": F.xxhash64(F.lit(1), "file")}
+    casings = supported_casings(df.withColumns(keys).drop("file"), config, list(keys))
+    return case_classes(casings.repartition("fold_key"), list(keys)).drop(*keys)
 
 
 def merge_classes(partials: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vocabmill.config import Config
 from vocabmill.operators.merge import file_classes, merge_classes
@@ -20,8 +19,6 @@ from vocabmill.operators.topk import pick_top
 from vocabmill.schema import CLASS
 from vocabmill.sources.entries import decode_lines
 
-_PARTIAL = T.StructType([T.StructField("file", T.StringType()), *CLASS.fields])
-
 
 _SETTINGS = "strip_capitalized boolean, min_year long, min_matches long, min_books long"
 
@@ -40,7 +37,7 @@ def _open_state(spark: SparkSession, state_dir: str, config: Config) -> None:
         stored = None
     if stored is None:
         # An empty first part, so that the state can be read before any file came.
-        spark.createDataFrame([], _PARTIAL).write.mode("overwrite").parquet(
+        spark.createDataFrame([], CLASS).write.mode("overwrite").parquet(
             f"{_store(state_dir)}/batch_id=-1"
         )
         spark.createDataFrame([settings], _SETTINGS).write.mode("overwrite").json(path)
@@ -89,7 +86,7 @@ def store_classes(lines: DataFrame, batch_id: int, state_dir: str, config: Confi
 
 def current_classes(spark: SparkSession, state_dir: str) -> DataFrame:
     """Case classes over all files folded in so far."""
-    return merge_classes(spark.read.schema(_PARTIAL).parquet(_store(state_dir)))
+    return merge_classes(spark.read.schema(CLASS).parquet(_store(state_dir)))
 
 
 def current_words(
