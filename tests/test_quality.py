@@ -10,6 +10,7 @@ from vocabmill import (
     check_empty,
     check_years,
     merge_files,
+    repeated_years,
     word_list,
 )
 
@@ -32,6 +33,18 @@ def test_one_entry_per_year(spark):
     assert [tuple(r) for r in check_years(df).collect()] == [("a", 2000, 2)]
     with pytest.raises(DataQualityError, match="one entry per year"):
         check_years(df, strict=True)
+    assert check_years(df.dropDuplicates(), strict=True).count() == 0
+
+
+def test_repeated_years_agree_with_the_list(spark):
+    years = [-65, -64, -63, -1, 0, 1, 63, 64, 127, 128, 1899, 1919, 1920, 1983, 1984, 2012]
+    rows = [("all", year, 1, 1) for year in years]
+    rows += [(f"w{year}", y, 1, 1) for year in years for y in (year, *years)]
+    df = entries(spark, rows)
+    assert sorted(column(repeated_years(df))) == sorted(column(check_years(df)))
+    for row in repeated_years(df).collect():
+        assert row.from_year <= int(row.ngram[1:]) < row.from_year + 64
+        assert row.n_entries == row.n_years + 1
 
 
 def test_empty_word(spark):

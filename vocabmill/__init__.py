@@ -27,6 +27,7 @@ from vocabmill.operators.quality import (
     check_decode,
     check_empty,
     check_years,
+    repeated_years,
 )
 from vocabmill.operators.rollup import support, yearly_rollup
 from vocabmill.operators.topk import pick_top
@@ -76,6 +77,7 @@ __all__ = [
     "read_language",
     "reject_cause",
     "rejection_audit",
+    "repeated_years",
     "run_incremental",
     "support",
     "support_audit",

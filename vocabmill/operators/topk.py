@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocabmill.functions.ranking import best_first
@@ -66,39 +66,54 @@ def _pushed_limit(df: DataFrame, keys: Sequence[str]) -> int:
     return min(int(threshold), SINGLE_TASK_ROWS)
 
 
-def ranked(
-    df: DataFrame, keys: Sequence[str] = (), max_outputs: int | None = None
-) -> DataFrame:
-    """Number the rows of each key from the best, without one task per key.
+def ranked(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
+    """Number the best rows of each key, without one task per key.
 
-    The rows are split into ranges of the final order, and a row's rank is its
-    position in its range plus the size of the ranges before. As the order has
-    no ties, ranges can always be split evenly, however large a key is. The
-    ranges are written down, so that counting and numbering see the same ones.
+    The rows that may be among the best are split into ranges of the final
+    order, and a row's rank is its position in its range plus the size of the
+    ranges before. As the order has no ties, ranges can always be split evenly,
+    however large a key is. The ranges are written down, so that counting and
+    numbering see the same ones.
     """
     keys = list(keys)
+    df = candidates(materialize(df, "classes"), keys, max_outputs)
     order = [*(F.col(key) for key in keys), *best_first()]
     ranges = materialize(
         df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy("_range")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        ranges.groupBy(*keys, "_range")
-        .agg(F.count("*").alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
-    )
-    if max_outputs is not None:
-        # Ranges beyond the limit are dropped whole, before any sorting.
-        offsets = offsets.where(F.col("_before") < max_outputs)
+    sizes = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    # Ranges beyond the limit are dropped whole, before any sorting.
+    offsets = _rows_before(sizes, keys, F.col("_range")).where(F.col("_before") < max_outputs)
     within = Window.partitionBy(*keys, "_range").orderBy(*best_first())
-    rows = (
-        ranges.join(offsets, [*keys, "_range"])
-        .withColumn("rank", (F.col("_before") + F.row_number().over(within)))
+    return (
+        ranges.join(offsets.drop("_size"), [*keys, "_range"])
+        .withColumn("rank", F.col("_before") + F.row_number().over(within))
+        .where(F.col("rank") <= max_outputs)
         .drop("_range", "_before")
     )
-    return rows if max_outputs is None else rows.where(F.col("rank") <= max_outputs)
+
+
+def candidates(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
+    """Rows with enough matches to be among the best ``max_outputs`` of their key.
+
+    Matches come first in the order. A histogram of them, eight buckets per
+    doubling, shows which buckets are beyond the limit for sure.
+    """
+    bucket = F.floor(F.log2(F.col("match_count") + 1) * 8)
+    histogram = df.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.count("*").alias("_size"), F.min("match_count").alias("_lowest")
+    )
+    reached = _rows_before(histogram, keys, F.col("_bucket").desc())
+    reached = reached.where(F.col("_before") < max_outputs)
+    lowest = reached.groupBy(*keys).agg(F.min("_lowest").alias("_lowest"))
+    if keys:
+        return df.join(lowest, keys).where(F.col("match_count") >= F.col("_lowest")).drop("_lowest")
+    bound = lowest.first()["_lowest"]
+    return df if bound is None else df.where(F.col("match_count") >= bound)
+
+
+def _rows_before(sizes: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """Add up ``_size`` over the groups of a key that come earlier."""
+    before = Window.partitionBy(*keys).orderBy(order)
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))

@@ -204,6 +204,11 @@ def oracle_sql() -> dict[str, str]:
         "v3_one_entry_per_year_mixed": f"""
             SELECT ngram, year, count(*) AS n_entries FROM ({entries("lang")})
             GROUP BY ALL HAVING count(*) > 1""",
+        "v3_repeated_years_mixed": f"""
+            SELECT ngram, year - year % 64 AS from_year, count(*) AS n_entries,
+                   count(DISTINCT year) AS n_years
+            FROM ({entries("lang")})
+            GROUP BY ngram, from_year HAVING count(*) > count(DISTINCT year)""",
         "v4_empty_ngram": f"SELECT * FROM ({entries(empty=True)}) WHERE ngram = ''",
         "v4_empty_ngram_lower_case": f"""
             SELECT '' AS ngram, year, match_count, volume_count FROM ({entries()})

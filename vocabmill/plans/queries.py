@@ -255,6 +255,12 @@ def v3_one_entry_per_year_mixed(spark, sf_dir):
     return quality.check_years(entries(spark, sf_dir, "lang"))
 
 
+@query
+def v3_repeated_years_mixed(spark, sf_dir):
+    """The same, by word and 64 years."""
+    return quality.repeated_years(entries(spark, sf_dir, "lang"))
+
+
 @query
 def v4_empty_ngram(spark, sf_dir):
     df = entries_from_documents(documents(spark, sf_dir), keep_empty=True)
