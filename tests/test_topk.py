@@ -1,5 +1,6 @@
 import pytest
 from helpers import KEEP, column, entries
+from pyspark.sql import functions as F
 
 from vocabmill import Config, language_config, languages, merge_files, pick_top, word_lists
 from vocabmill.operators import topk
@@ -59,9 +60,9 @@ def test_lists_per_language_without_stripping(spark):
     assert [tuple(r) for r in df.collect()] == [("eng", "Z")]
 
 
-def test_distributed_ranking_over_many_ranges(spark):
-    from pyspark.sql import functions as F
-
+@pytest.mark.parametrize("max_broadcast_keys", [topk.MAX_BROADCAST_KEYS, 1])
+def test_distributed_ranking_over_many_ranges(spark, monkeypatch, max_broadcast_keys):
+    monkeypatch.setattr(topk, "MAX_BROADCAST_KEYS", max_broadcast_keys)
     classes = spark.range(5000).select(
         F.concat(F.lit("w"), F.lpad("id", 5, "0")).alias("top_casing"),
         F.lit(2000).cast("bigint").alias("first_year"),
@@ -81,6 +82,17 @@ def test_distributed_ranking_over_many_ranges(spark):
         assert mine == list(enumerate(words, 1))
 
 
+def test_candidates_leave_out_what_is_beyond_the_limit(spark):
+    df = spark.range(1, 10_001).selectExpr("id AS match_count", "id % 2 AS lang")
+    for keys, limit, most in ([], 100, 1100), (["lang"], 50, 1100):
+        kept = topk.candidates(df, keys, limit)
+        counts = [r["match_count"] for r in kept.collect()]
+        assert set(range(9901, 10_001)) <= set(counts)
+        assert len(counts) <= most
+    assert topk.candidates(df, ["lang"], 99_999).count() == 10_000
+    assert topk.candidates(df.limit(0), [], 5).count() == 0
+
+
 def test_config_rules(spark):
     assert Config().min_year == 1962 and Config().min_matches == 6000 and Config().min_books == 10
     Config(min_year=2012)

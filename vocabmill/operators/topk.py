@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocabmill.functions.ranking import best_first
-from vocabmill.session import materialize
+from vocabmill.session import broadcast_up_to, materialize
 
 #: Up to here the best rows of all partitions are merged by a single task.
 SINGLE_TASK_ROWS = 10_000
 
+#: One row per key is broadcast for up to so many keys.
+MAX_BROADCAST_KEYS = 10_000
+
 STATS = ["first_year", "last_year", "match_count", "min_volume_count"]
 
 
@@ -107,7 +110,8 @@ def candidates(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFram
     reached = reached.where(F.col("_before") < max_outputs)
     lowest = reached.groupBy(*keys).agg(F.min("_lowest").alias("_lowest"))
     if keys:
-        return df.join(lowest, keys).where(F.col("match_count") >= F.col("_lowest")).drop("_lowest")
+        df = df.join(broadcast_up_to(lowest, MAX_BROADCAST_KEYS), keys)
+        return df.where(F.col("match_count") >= F.col("_lowest")).drop("_lowest")
     bound = lowest.first()["_lowest"]
     return df if bound is None else df.where(F.col("match_count") >= bound)
 

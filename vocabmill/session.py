@@ -71,9 +71,11 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
 
 def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
+    """Evaluate ``df`` and mark it for broadcast if it has at most ``max_rows`` rows.
 
     A larger one is returned as it is, for Spark to choose the join.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
