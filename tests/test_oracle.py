@@ -4,9 +4,10 @@ import pytest
 from oracle_check import connect, spark_rows, sql_rows
 
 import __spark_entry__ as contract
+from vocabmill.plans import oracle, queries as registered
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLE = contract.oracle_sql()
+QUERIES, ORACLE = registered.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +16,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
-    schema, rows = spark_rows(contract.queries()[name](spark, SF_DIR))
+    schema, rows = spark_rows(QUERIES[name](spark, SF_DIR))
     expected_schema, expected = sql_rows(db, ORACLE[name])
     assert schema == expected_schema
     assert rows == expected
@@ -35,7 +36,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", ["t3_top_ordered", "t4_all_ordered", "j1_word_list", "j2_word_lists_all"])
 def test_order_of_sorted_lists(spark, db, name):
-    found = [r.ngram for r in contract.queries()[name](spark, SF_DIR).collect()]
+    found = [r.ngram for r in QUERIES[name](spark, SF_DIR).collect()]
     order = "" if "all" in name else " ORDER BY rank"
     expected = [row[0] for row in db.sql(f"SELECT ngram FROM ({ORACLE[name]}){order}").fetchall()]
     assert found == expected
