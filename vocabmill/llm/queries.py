@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabmill.llm import bpe
+from vocabmill.llm import bpe, near_duplicates
 from vocabmill.llm import token_counts as counting
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,3 +42,8 @@ def op2_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counter = counting.counter_for(docs, public_tokenizers.path(VOCABULARY))
     return counting.token_counts(docs, counter).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op4_near_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
