@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabmill.llm import bpe, near_duplicates
+from vocabmill.llm import bpe, near_duplicates, packing
 from vocabmill.llm import token_counts as counting
 
 VOCABULARY = "word_bpe_49k.json"
@@ -47,3 +47,10 @@ def op2_token_counts(spark, sf_dir):
 @query
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_best_fit_packing(spark, sf_dir):
+    codec = bpe.SentCodec(public_tokenizers.path(VOCABULARY), None)
+    parts = packing.pieces(table(spark, sf_dir, "documents"), codec, TOKEN_LIMIT)
+    return packing.pack(parts, TOKEN_LIMIT).withColumnRenamed("key", "doc_id")
