@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabmill.llm import bpe, near_duplicates, packing
+from vocabmill.llm import bpe, language_id, near_duplicates, packing, quality_rules
 from vocabmill.llm import token_counts as counting
 
 VOCABULARY = "word_bpe_49k.json"
@@ -54,3 +54,22 @@ def op5_best_fit_packing(spark, sf_dir):
     codec = bpe.SentCodec(public_tokenizers.path(VOCABULARY), None)
     parts = packing.pieces(table(spark, sf_dir, "documents"), codec, TOKEN_LIMIT)
     return packing.pack(parts, TOKEN_LIMIT).withColumnRenamed("key", "doc_id")
+
+
+def held_out(key: str = "doc_id"):
+    """Rows that a language model doesn't learn from."""
+    return (F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(0)) % 5 == 0).alias("held_out")
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out()))
+    return language_id.predict(docs, model, columns=(held_out(),))
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    limits = quality_rules.Limits()
+    return quality_rules.judged(docs, quality_rules.references(docs, limits), limits)
