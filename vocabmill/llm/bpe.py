@@ -43,7 +43,7 @@ TASK_UNITS = 400_000
 #: Distinct units that a worker without a lexicon remembers.
 CACHED_UNITS = 300_000
 #: Characters that are encoded at once.
-ENCODED_CHARS = 1 << 22
+ENCODED_CHARS = 1 << 21
 #: Python's split() takes these for white space, the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WHITE_SPACE = re.compile("[" + "".join(map(chr, pretokens.WHITE_SPACE)) + "]+")

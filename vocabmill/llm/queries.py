@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabmill.llm import bpe, language_id, near_duplicates, packing, quality_rules
+from vocabmill.llm import bpe, chat, host_reputation, language_id, license_scan, near_duplicates, order_minhash, packing, quality_rules
 from vocabmill.llm import token_counts as counting
 
 VOCABULARY = "word_bpe_49k.json"
@@ -73,3 +73,37 @@ def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     limits = quality_rules.Limits()
     return quality_rules.judged(docs, quality_rules.references(docs, limits), limits)
+
+
+#: Verdict, host and path of each rule.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op3_host_reputation(spark, sf_dir):
+    """A page's outcome is the label with its number: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return host_reputation.judged(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+@query
+def op7_chat_snapshots(spark, sf_dir):
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op9_order_minhash(spark, sf_dir):
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
