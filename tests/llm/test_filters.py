@@ -1,0 +1,223 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm.llm_helpers import LANGS, WORD, documents, texts
+
+from vocabmill.llm import host_reputation, language_id, license_scan, quality_rules
+from vocabmill.llm.queries import URL_RULES, held_out
+
+# Quality rules
+
+
+def base_counts(text):
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    marked = {k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked)
+
+
+@pytest.fixture(scope="module")
+def limits():
+    return quality_rules.Limits()
+
+
+def test_base_counts(spark, limits):
+    docs = documents(spark)
+    rows = quality_rules.judged(docs, quality_rules.references(docs, limits), limits).collect()
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows)
+    assert found == sorted((-1 if i is None else i, *base_counts(t)) for i, t, _ in texts())
+    for r in rows:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+
+
+def entropy_distance(a, b):
+    middle = (a + b) / 2
+    parts = [sum(x * np.log2(x / m) for x, m in zip(side, middle, strict=True) if x) for side in (a, b)]
+    return np.sqrt(max(sum(parts), 0) / 2)
+
+
+def test_distances_to_references(spark, limits):
+    docs = documents(spark)
+    found = quality_rules.references(docs, limits)
+    assert set(found) == {"en", "de", "fr"}
+    words = {lang: Counter(w for _, t, own in texts() if own == lang for w in (t or "").encode().lower().split()) for lang in found}
+    for lang, (classes, common, shares) in found.items():
+        top = sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[: limits.common_words]
+        assert common == [w for w, _ in top]
+        total = sum(words[lang].values())
+        assert np.allclose(shares, [*(n / total for _, n in top), 1 - sum(n for _, n in top) / total])
+        assert np.isclose(classes.sum(), 1)
+    rows = {r.doc_id: r for r in quality_rules.judged(docs, found, limits).collect()}
+    for i, t, _ in texts()[:20]:
+        own = Counter((t or "").encode().lower().split())
+        distances = []
+        for _, common, shares in found.values():
+            counts = [own[w] for w in common]
+            text_shares = np.array([*counts, sum(own.values()) - sum(counts)]) / max(sum(own.values()), 1)
+            distances.append(entropy_distance(text_shares, shares))
+        assert np.isclose(rows[i].word_distance, min(distances), atol=1e-6)
+
+
+def test_junk_is_rejected_and_prose_kept(spark, limits):
+    rows = [(i, t, lang) for i, t, lang in texts() if i is not None and i < 60]
+    junk = " ".join(f"{w}### $$$ &&& |" for w in (rows[0][1] or "").split()[:100])
+    table = " | ".join(f"zq{k}x" for k in range(200))
+    docs = documents(spark, [*rows, (900, junk, "en"), (901, table, "en"), (902, None, None)])
+    verdict = {r.doc_id: r.kept for r in quality_rules.judged(docs, quality_rules.references(documents(spark, rows), limits), limits).collect()}
+    assert all(verdict[i] for i, _, _ in rows)
+    assert not verdict[900] and not verdict[901] and not verdict[902]
+
+
+def test_quality_without_labels_or_rows(spark, limits):
+    unlabelled = documents(spark, [(1, "a few plain words that pass all of the base rules", None), (2, None, None)])
+    found = quality_rules.references(unlabelled, limits)
+    assert found == {}
+    assert {r.doc_id: r.kept for r in quality_rules.judged(unlabelled, found, limits).collect()} == {1: True, 2: False}
+    empty = documents(spark, [])
+    assert quality_rules.judged(empty, quality_rules.references(empty, limits), limits).collect() == []
+
+
+# Language
+
+
+def test_language_of_held_out_texts(spark):
+    docs = documents(spark)
+    model = language_id.train(docs.where(~held_out()), language_id.Params(epochs=10))
+    assert model.languages == sorted(LANGS) and 0 < model.threshold <= language_id.MAX_THRESHOLD
+    rows = language_id.predict(docs, model, columns=(held_out(),)).collect()
+    assert len(rows) == len(texts())
+    truth = {i: lang for i, t, lang in texts() if i is not None and i < 60}
+    tested = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert len(tested) > 5
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in tested]) > 0.9
+    for r in rows:
+        text = next(t for i, t, _ in texts() if i == r.doc_id)
+        assert 0 <= r.score <= 1
+        if r.doc_id in (80, 81, 82, 87):
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False), text
+        elif r.doc_id is not None:
+            assert r.lang_pred in LANGS
+
+
+def test_language_without_labels(spark):
+    docs = documents(spark, [(1, "some words", None), (2, None, "en")])
+    assert language_id.train(docs) is None
+    assert {(r.doc_id, r.lang_pred, r.score, r.accepted) for r in language_id.predict(docs, None).collect()} == {(1, "und", 0.0, False), (2, "und", 0.0, False)}
+    assert language_id.predict(documents(spark, []), None).collect() == []
+
+
+def test_subwords_do_not_depend_on_blocks():
+    text = "Der Hund, die Katze! 3 été"
+    whole, sizes, letters = language_id.subwords([(0, text, True)], 15)
+    together, both, _ = language_id.subwords([(0, text, True), (1, "", True), (2, text, True)], 15)
+    assert both.tolist() == [sizes[0], 0, sizes[0]] and letters[0] == 18
+    assert sorted(together[: sizes[0]]) == sorted(whole) == sorted(together[sizes[0] :])
+
+
+# Licences
+
+SEPARATORS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LICENSED = [
+    (1, "Released under the MIT License. mit license! MIT-license", None),
+    (2, "GNU General Public\nLicense and cc by, CC-BY 4.0; gnu general license", None),
+    (3, "This work is licensed under the GNU General Public License, version 3.", None),
+    (4, "You may not really use this file, except in compliance with the License", None),
+    (5, "mit license mit license mit license", None),
+    (6, "commit license mitlicense é license cc\u00a0by", None),
+    (7, None, None),
+    (8, "", None),
+    (9, "apache", None),
+    (10, "words " * 30_000 + "Apache License", None),
+    (10, "words " * 30_000 + "Apache License", None),
+    (None, "the Apache license", None),
+    (11, "permission is hereby granted to nobody free of any charge", None),
+]
+
+
+def test_licence_places(spark):
+    rows = license_scan.scan(documents(spark, LICENSED)).collect()
+    assert len(rows) == len(LICENSED)
+    for r in rows:
+        text = next(t for i, t, _ in LICENSED if i == r.doc_id) or ""
+        words = SEPARATORS.findall(text.translate(str.maketrans(host_reputation.UPPER, host_reputation.LOWER)))
+        places, labels = [], set()
+        for phrase, label in license_scan.PHRASES.items():
+            own = phrase.split()
+            found = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+            places += found
+            labels |= {label} if found else set()
+        assert (r.n_words, r.n_base) == (len(words), len(places)), text[:50]
+        assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
+        assert r.base_labels == ",".join(sorted(labels))
+        assert labels <= set(r.labels.split(",")) or not labels
+        assert 0 <= r.score <= 1 and (r.score == 1 or not places)
+
+
+def test_notices_with_inserted_words(spark):
+    rows = {r.doc_id: r for r in license_scan.scan(documents(spark, LICENSED)).collect()}
+    assert rows[3].labels == "gpl,gpl-3.0"
+    assert rows[4].labels == "apache-2.0" and 0.75 <= rows[4].score < 1 and rows[4].n_base == 0
+    assert rows[11].labels == ""
+    spans = license_scan.spans_of(documents(spark, LICENSED[:1]), license_scan.PHRASES).collect()
+    assert sorted((s.label, s.base, s.first_word) for s in spans) == [("mit", False, 0), ("mit", True, 3), ("mit", True, 5), ("mit", True, 7)]
+
+
+def test_licences_of_an_empty_table(spark):
+    assert license_scan.scan(documents(spark, [])).collect() == []
+    with pytest.raises(ValueError, match="2 to"):
+        license_scan.scan(documents(spark, []), {"one": "x"})
+
+
+# Hosts
+
+URLS = {
+    1: ("https://A.example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
+    2: ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+    3: ("http://example.org/en/2#a/b", "example.org", "/en/2", "org/", "allow"),
+    4: ("x://y.com/de/", "y.com", "/de/", "com/de/", "block"),
+    5: ("x://y.com/de", "y.com", "/de", None, "allow"),
+    6: ("x://notorg/", "notorg", "/", None, "allow"),
+    7: (None, "", "", None, "allow"),
+    8: ("no scheme/es/", "", "", None, "allow"),
+    9: ("a://b://c/d", "b:", "//c/d", None, "allow"),
+    10: ("://É.Example.org", "É.example.org", "", None, "allow"),
+    11: ("x://org/fr/\n?", "org", "/fr/\n", "org/", "allow"),
+}
+
+
+def judged(spark, pages, outcomes):
+    pages = spark.createDataFrame([(i, u, "h", "v", 0.1, "x") for i, u in pages], "page_id long, url string, host string, verdict string, bad double, rule string")
+    outcomes = spark.createDataFrame(outcomes, "page_id long, bad boolean")
+    return host_reputation.judged(pages, outcomes, URL_RULES).collect()
+
+
+def test_rules(spark):
+    rows = judged(spark, [(i, u[0]) for i, u in URLS.items()], [])
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == {i: u[1:] for i, u in URLS.items()}
+
+
+def test_reputation_shrinks(spark):
+    pages = [(i, f"http://bad{i % 3}.spam.net/") for i in range(300)] + [(1000 + i, f"http://h{i % 40}.fine.net/") for i in range(400)]
+    pages += [(2000, "http://new.spam.net/"), (2001, "http://one.other.net/"), (2002, "http://www.unseen.net/"), (1, "http://bad1.spam.net/")]
+    outcomes = [(i, i % 10 != 0) for i in range(300)] + [(1000 + i, i % 50 == 0) for i in range(400)] + [(2001, True), (5000, True), (2002, None)]
+    rows = judged(spark, pages, outcomes)
+    assert len(rows) == len(pages)
+    verdict = {r.host: r.verdict for r in rows}
+    assert all(verdict[f"bad{i}.spam.net"] == "block" for i in range(3))
+    assert all(verdict[f"h{i}.fine.net"] == "allow" for i in range(40))
+    assert verdict["one.other.net"] == "allow"  # one bad page is too little
+    assert verdict["www.unseen.net"] == "allow"
+
+
+def test_no_pages(spark):
+    assert judged(spark, [], [(1, True)]) == []
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("com",), ("",), ("b.co.uk",)], "h string")
+    domain, suffix = host_reputation.domain_of(hosts.h, host_reputation.SUFFIXES)
+    assert [(r[0], r[1]) for r in hosts.select(domain, suffix).collect()] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", ""), ("b.co.uk", "co.uk")]

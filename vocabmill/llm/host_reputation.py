@@ -32,6 +32,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk"]
 
 
+#: Of the variance between groups. At this share a prior weighs four pages, the least that it ever does.
+MOST_SHARED = 0.2
+
+
 @dataclass(frozen=True)
 class Params:
     limit: float = 0.5  # of the rate of bad pages
@@ -85,7 +89,7 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     if spread == 0 or free <= 0:
         return rate, 1000.0
     shared = ((row.bb - row.bad * rate) / spread - (row.k - 1)) / free
-    shared = min(max(shared, 0.001), 0.5)
+    shared = min(max(shared, 0.001), MOST_SHARED)
     return rate, (1 - shared) / shared
 
 

@@ -46,6 +46,7 @@ class Params:
     bits: int = 15  # 2 ** bits buckets
     width: int = 16  # numbers in an embedding
     epochs: int = 4
+    visits: int = 24_000  # so many rows are visited at least, by more epochs over a small sample
     batch: int = 32
     rate: float = 20.0
     calibrated_share: int = 5  # one of so many is kept from training
@@ -159,9 +160,10 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str]
     # Languages with fewer rows weigh more, so that none is neglected.
     seen = np.bincount([y for _, _, y in used], minlength=many).clip(1)
     weigh = (seen.mean() / seen).clip(0.2, 5)
-    steps = params.epochs * len(used)
+    epochs = max(params.epochs, -(-params.visits // len(used)))
+    steps = epochs * len(used)
     step = 0
-    for _ in range(params.epochs):
+    for _ in range(epochs):
         order = draw.permutation(len(used))
         for at in range(0, len(order), params.batch):
             rate = params.rate * (1 - step / steps) / params.batch

@@ -8,10 +8,9 @@ diagonal are a bit for each pair of the template, so they merge before the
 shuffle and repeated rows change nothing.
 
 Phrases: a place is a diagonal with all votes, which verifies every word.
-Longer templates bring labels of their own: diagonals at most ``GAP`` apart are
-merged (words inserted or left out shift the diagonal); a span is accepted if
-the merged votes cover ``coverage`` of the template, and lie within a stretch
-that is longer than the template by ``GAP`` words at most.
+Longer templates bring labels of their own: a diagonal is merged with those up
+to ``GAP`` behind it (words that are inserted or left out shift the diagonal), and
+the span is accepted if the merged votes cover ``COVERAGE`` of the template.
 
 Templates are a few sentences given by the caller, of up to ``MAX_WORDS`` words;
 they are the only thing that is broadcast.
@@ -95,16 +94,13 @@ def spans(found: DataFrame) -> DataFrame:
     exact = found.where(F.col("base") & (F.bit_count("votes") == F.col("pairs")))
     exact = exact.select("row", "label", "base", F.col("diagonal").alias("first_word"), F.lit(1.0).alias("coverage"))
     own = Window.partitionBy("row", "template").orderBy("diagonal")
-    near = found.where(~F.col("base"))
-    near = near.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > GAP).cast("int"), F.lit(1)))
-    near = near.withColumn("run", F.sum("new").over(own))
-    merged = near.groupBy("row", "template", "run").agg(
-        F.first("label").alias("label"), F.first("pairs").alias("pairs"), F.bit_or("votes").alias("votes"),
-        F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last"),
-    )
-    coverage = F.bit_count("votes") / F.col("pairs")
-    merged = merged.where((coverage >= COVERAGE) & (F.col("last") - F.col("first_word") <= GAP))
-    return exact.unionByName(merged.select("row", "label", F.lit(False).alias("base"), "first_word", coverage.alias("coverage")))
+    near = found.where(~F.col("base")).withColumn("merged", F.bit_or("votes").over(own.rangeBetween(0, GAP)))
+    coverage = F.bit_count("merged") / F.col("pairs")
+    near = near.where(coverage >= COVERAGE)
+    # The diagonals of one copy count once, by the first.
+    near = near.withColumn("before", F.lag("diagonal").over(own))
+    near = near.where(F.col("before").isNull() | (F.col("diagonal") - F.col("before") > GAP))
+    return exact.unionByName(near.select("row", "label", F.lit(False).alias("base"), F.col("diagonal").alias("first_word"), coverage.alias("coverage")))
 
 
 def _labels(rows: Column) -> Column:

@@ -1,7 +1,91 @@
-"""SQL for the queries that SQL can express, to run on the same tables."""
+"""SQL for the queries that SQL can express, to run on the same tables.
+
+Tokenizers, trained models, MinHash, packing and Spark's hash functions are
+beyond it; those queries are tested against plain versions on small tables.
+"""
 
 from __future__ import annotations
 
+from vocabmill.llm.chat import PART
+from vocabmill.llm.host_reputation import LOWER, MOST_SHARED, SUFFIXES, UPPER, Params
+from vocabmill.llm.queries import URL_RULES
+
+_TWO = "', '".join(SUFFIXES)
+
+
+def _labels(host: str, count: int) -> str:
+    """The last labels of a host."""
+    return f"array_to_string(string_split({host}, '.')[-{count}:], '.')"
+
+
+def _strength(groups: str) -> str:
+    """Rate of all and weight of its prior, as ``rate`` and ``weight``."""
+    return f"""
+        SELECT CASE WHEN n IS NULL THEN 0.0 ELSE bad / n END AS rate,
+               CASE WHEN n IS NULL THEN 1.0
+                    WHEN bad / n * (1 - bad / n) = 0 OR n - nn / n - (k - 1) <= 0 THEN 1000.0
+                    ELSE (1 - shared) / shared END AS weight
+        FROM (SELECT *, least(greatest(
+                     ((bb - bad * (bad / n)) / nullif(bad / n * (1 - bad / n), 0) - (k - 1)) / nullif(n - nn / n - (k - 1), 0),
+                     0.001), {MOST_SHARED}) AS shared
+              FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad,
+                           sum(n::DOUBLE * n) AS nn, sum(bad::DOUBLE * bad / n) AS bb
+                    FROM {groups} WHERE n > 0))"""
+
+
+def _op3() -> str:
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
+    params = Params()
+    return rf"""
+        WITH p AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        hosts AS (
+            SELECT host, count(doc_id) AS n, count(*) FILTER (quality = 0 OR toxic = 1) AS bad,
+                   CASE WHEN {_labels("host", 2)} IN ('{_TWO}') THEN {_labels("host", 3)} ELSE {_labels("host", 2)} END AS domain,
+                   CASE WHEN {_labels("host", 2)} IN ('{_TWO}') THEN {_labels("host", 2)} ELSE {_labels("host", 1)} END AS suffix
+            FROM p LEFT JOIN (SELECT * FROM labels WHERE quality = 0 OR toxic = 1 OR (quality IS NOT NULL AND toxic IS NOT NULL)) l ON page_id = doc_id
+            GROUP BY host),
+        domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+        s AS ({_strength("suffixes")}), d AS ({_strength("domains")}), h AS ({_strength("hosts")}),
+        suffix_rates AS (
+            SELECT suffix, (bad + weight * rate) / (n + weight) AS prior FROM suffixes, s),
+        domain_rates AS (
+            SELECT domain, (bad + weight * prior) / (n + weight) AS prior
+            FROM domains JOIN suffix_rates USING (suffix), d),
+        rates AS (
+            SELECT host, n, (bad + weight * prior) / (n + weight) AS mean, n + weight AS total
+            FROM hosts JOIN domain_rates USING (domain), h)
+        SELECT page_id, host, path, CASE {rule} END AS rule,
+               CASE {verdict}
+                    WHEN mean - {params.deviations} * sqrt(mean * (1 - mean) / (total + 1)) > {params.limit} THEN 'block'
+                    ELSE 'allow' END AS verdict,
+               n AS n_labelled
+        FROM p JOIN rates USING (host)"""
+
+
+def _op7() -> str:
+    return f"""
+        WITH placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position FROM conversations),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns, list({{'r': role, 't': text}} ORDER BY position) AS turns
+            FROM placed GROUP BY conv_id),
+        prefixes AS (
+            SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM whole)),
+        kept AS (
+            SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_copies
+            FROM whole ANTI JOIN prefixes USING (turns) GROUP BY turns)
+        SELECT conv_id, (dense_rank() OVER (PARTITION BY conv_id ORDER BY block) - 1)::BIGINT AS part, n_turns, n_copies, text
+        FROM (SELECT conv_id, turn // {PART} AS block, n_turns, n_copies,
+                     string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY position) AS text
+              FROM placed JOIN kept USING (conv_id) GROUP BY ALL)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_host_reputation": _op3(), "op7_chat_snapshots": _op7()}

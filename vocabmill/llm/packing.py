@@ -134,6 +134,7 @@ def _best_exchange(gaining: list[int], losing: list[int], sizes: list[int], free
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills of underfull bins until no exchange does; empty bins go."""
+    bins = list(bins)
     fill = [sum(sizes[i] for i in b) for b in bins]
     slack = int(capacity * FULL_ENOUGH)
     todo = sorted((n for n in range(len(bins)) if capacity - fill[n] > slack), key=lambda n: (-fill[n], n))

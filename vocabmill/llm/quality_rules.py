@@ -13,9 +13,10 @@ by ``MAX_LANGUAGES`` languages (the most frequent ones) times those numbers.
 
 A text is taken for the language it is nearest to, so its own label isn't used.
 It is rejected if its nearest language is farther than ``Limits.characters`` by
-characters, or ``Limits.words`` by words. Guards: texts of fewer than
-``min_chars`` word characters or ``min_words`` words are not judged by the
-respective histogram, as a short text's histogram says little.
+characters, or ``Limits.words`` by words. Short texts are far from any language by
+chance, so both limits are raised by ``allowance / sqrt(n)`` for n characters or
+words, and texts of fewer than ``min_chars`` word characters or ``min_words``
+words are not judged by the respective histogram at all.
 
 Null and empty texts have no words and fail the base rules. Without any labelled
 text there are no references and only the base rules judge. Repeated rows are
@@ -49,8 +50,9 @@ WINDOW = 5
 class Limits:
     min_words: int = 40
     min_chars: int = 200
-    characters: float = 0.30
-    words: float = 0.50
+    characters: float = 0.25
+    words: float = 0.45
+    allowance: float = 1.0  # over the square root of the number of characters or words
     common_words: int = 100
 
 
@@ -215,8 +217,9 @@ def judged(docs: DataFrame, found: dict, limits: Limits = Limits(), key: str = "
                 repeats = repeated_words(words, counts)
                 by_chars, by_words = judge.distances(histograms, folded, counts)
                 failed = (counts < 10) | (100 * repeats > 20 * counts)
-                far = (chars >= limits.min_chars) & (by_chars > limits.characters)
-                far |= (counts >= limits.min_words) & (by_words > limits.words)
+                slack = [limits.allowance / np.sqrt(np.maximum(n, 1)) for n in (chars, counts)]
+                far = (chars >= limits.min_chars) & (by_chars > limits.characters + slack[0])
+                far |= (counts >= limits.min_words) & (by_words > limits.words + slack[1])
                 columns = [counts, chars, histograms[:, SYMBOL], lines, repeats]
                 yield pa.record_batch(
                     [batch.column(0).slice(start, stop - start), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed), pa.array(by_chars), pa.array(by_words), pa.array(~failed & ~far)],
