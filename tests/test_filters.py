@@ -74,13 +74,3 @@ def test_strip_by_language(spark):
     df = entries(spark, rows, "lang")
     assert column(filter_capitalized_by_language(df, languages(spark)), "lang") == ["ger"]
     assert column(filter_languages(df, languages(spark)), "lang") == ["eng", "ger"]
-
-
-def test_large_catalog_is_not_broadcast_by_hint(spark, monkeypatch):
-    from vocabmill.operators import filters
-
-    monkeypatch.setattr(filters, "MAX_BROADCAST_LANGUAGES", 3)
-    df = entries(spark, [("Haus", 2000, 5, 1, "ger"), ("House", 2000, 5, 1, "eng")], "lang")
-    kept = filters.filter_capitalized_by_language(df, languages(spark))
-    assert column(kept) == ["Haus"]
-    assert "broadcast" not in kept._jdf.queryExecution().analyzed().toString()

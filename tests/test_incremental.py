@@ -1,10 +1,14 @@
+import os
+import time
+
 import pytest
 from helpers import random_entries
 from pyspark.sql import functions as F
 from test_sources import gz
 
 from vocabmill import Config, current_words, merge_files, read_entries, run_incremental
-from vocabmill.streaming.incremental import current_classes, store_classes
+from vocabmill.session import list_names, remove_path
+from vocabmill.streaming.incremental import _parts, current_classes, store_classes
 
 CONFIG = Config(False, 1962, 3, 2)
 
@@ -47,12 +51,61 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert as_set(current_classes(spark, state)) == before
 
 
+def age(path, days):
+    then = time.time() - days * 86_400
+    os.utime(path, (then, then))
+
+
+def test_old_files_are_read_whenever_they_arrive(spark, tmp_path):
+    """Later in the same state, in one batch or several, and after a restart of the session."""
+    rows = random_entries(9, files=4)
+    inbox, state = tmp_path / "in", str(tmp_path / "state")
+    inbox.mkdir()
+    paths = [write(inbox, "f0", rows)]
+    run_incremental(spark, str(inbox), state, CONFIG)
+    for file, days in (("f1", 30), ("f2", 4000), ("f3", 0)):
+        paths.append(write(inbox, file, rows))
+        age(paths[-1], days)
+        session = spark.newSession()
+        found = run_incremental(session, str(inbox), state, CONFIG)
+        batch = merge_files(read_entries(spark, paths, with_file=True), CONFIG, scope="file")
+        assert as_set(found) == as_set(batch)
+
+
+def test_compacted_state_is_the_same(spark, tmp_path):
+    rows = random_entries(11, files=6)
+    states = {after: str(tmp_path / f"state{after}") for after in (0, 1, 100)}
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for file in ("f3", "f0", "f5", "f1", "f2", "f4"):
+        write(inbox, file, rows)
+        found = {after: as_set(run_incremental(spark, str(inbox), state, CONFIG, compact_after=after)) for after, state in states.items()}
+        assert found[0] == found[1] == found[100]
+    assert _parts(spark, states[0]) == (5, [])
+    assert len(list_names(spark, f"{states[0]}/base")) == 1
+    assert len(_parts(spark, states[100])[1]) == 6
+
+
+def test_state_without_settings_is_refused(spark, tmp_path):
+    inbox, state = tmp_path / "in", tmp_path / "state"
+    inbox.mkdir()
+    write(inbox, "f0", random_entries(7, files=1))
+    run_incremental(spark, str(inbox), str(state), CONFIG)
+    remove_path(spark, str(state / "settings"))
+    with pytest.raises(ValueError, match="not the settings"):
+        run_incremental(spark, str(inbox), str(state), CONFIG)
+    with pytest.raises(ValueError, match="not the settings"):
+        current_words(spark, str(state), CONFIG)
+
+
 def test_settings_of_a_state_are_fixed(spark, tmp_path):
     inbox, state = tmp_path / "in", str(tmp_path / "state")
     inbox.mkdir()
     run_incremental(spark, str(inbox), state, CONFIG)
     with pytest.raises(ValueError, match="other settings"):
         run_incremental(spark, str(inbox), state, Config(False, 1962, 4, 2))
+    with pytest.raises(ValueError, match="other settings"):
+        current_words(spark, state, Config(False, 1962, 4, 2))
 
 
 def test_bad_file_stops_the_stream(spark, tmp_path):

@@ -1,6 +1,7 @@
 """The shape of the physical plans, which decides how the jobs scale."""
 
 import inspect
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from vocabmill import Config, languages, read_columnar, read_entries, word_list, word_lists
 from vocabmill import write_columnar, write_entries_text
 from vocabmill.operators.merge import merge_files
+from vocabmill.operators.topk import BUCKETS
 from vocabmill.plans import queries as registered
 
 CONFIG = Config(min_matches=20, min_books=3, max_outputs=100, sort_by_popularity=True)
@@ -27,10 +29,13 @@ def layouts(spark, tmp_path_factory):
 
 
 def test_word_list_shuffles_twice(spark, layouts):
-    text = plan(word_list(read_columnar(spark, f"{layouts}/columnar", ["eng"]), CONFIG))
-    assert text.count("Exchange") == 2
+    df = read_columnar(spark, f"{layouts}/columnar", ["eng"])
+    text = plan(word_list(df, CONFIG, checked=True))
+    # The third one carries the best rows of each task, to find those of each bucket.
+    assert text.count("Exchange") == 3
+    assert plan(merge_files(df, CONFIG)).count("Exchange") == 2
     assert "TakeOrderedAndProject(limit=100" in text
-    assert text.count("partial_sum") == 3, "both aggregations merge before their shuffle"
+    assert text.count("partial_try_sum") == 3, "both aggregations merge before their shuffle"
     assert "Python" not in text
 
 
@@ -56,7 +61,7 @@ def test_a_hot_word_is_merged_before_the_shuffle(spark):
     hot = F.expr("if(id % 3 = 0, 'hot', concat('w', id % 1000))")
     df = spark.range(0, n, 1, 8).select(
         hot.alias("ngram"),
-        (F.col("id") % 50 + 1962).alias("year"),
+        (F.floor(F.col("id") / 3) + 1962).alias("year"),
         F.lit(2).cast("bigint").alias("match_count"),
         F.lit(1).cast("bigint").alias("volume_count"),
     )
@@ -69,14 +74,82 @@ def test_rows_of_a_hot_language_are_cut_before_the_shuffle(spark, layouts):
     df = read_columnar(spark, f"{layouts}/columnar")
     config = Config(min_matches=1, min_books=1, max_outputs=10, sort_by_popularity=True)
     found = shuffled_rows(word_lists(df, languages(spark), config))
-    by_rank, by_language = found[:2]
+    by_rank, by_language, by_bucket = found[:3]
     assert by_rank == 4 * 10
-    assert by_language <= 4 * 10 * 8
+    assert by_language <= 4 * 10 * BUCKETS
+    assert by_bucket <= 4 * 10 * BUCKETS * 8
+
+
+def test_the_last_task_gets_rows_by_bucket_only(spark):
+    """However many partitions there are."""
+    df = spark.range(0, 40_000, 1, 40).select(
+        F.col("id").cast("string").alias("ngram"),
+        F.lit(2000).cast("bigint").alias("year"),
+        (F.col("id") % 1000 + 1).alias("match_count"),
+        F.lit(1).cast("bigint").alias("volume_count"),
+    )
+    limit = 5
+    found = shuffled_rows(word_list(df, Config(False, 1962, 0, 0, limit)).groupBy().count())
+    assert sum(n for n in found if n <= limit * BUCKETS) and found[-1] == 40_000
+
+
+def test_building_a_list_runs_no_job(spark, layouts):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    df = read_columnar(spark, f"{layouts}/columnar")
+    before = len(tracker.getJobIdsForGroup("building"))
+    for limit in (10, 5_000, 50_000):
+        config = Config(max_outputs=limit, sort_by_popularity=True)
+        word_list(df, config)
+        word_lists(df, languages(spark), config)
+    after = len(tracker.getJobIdsForGroup("building"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert after == before
+
+
+def test_no_shuffle_below_the_tokenizer(spark):
+    text = plan(registered.f1_recency(spark, "/root/testdata/sf0.001"))
+    assert text.count("Exchange") == 1
+
+
+def test_languages_reach_the_partitions(spark, layouts):
+    df = read_columnar(spark, f"{layouts}/columnar")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan(word_lists(df, languages(spark), CONFIG, checked=True, partitioned=True))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [part.split("ReadSchema")[0] for part in text.split("FileScan parquet")[1:]]
+    assert len(scans) == 2
+    stripped, usual = sorted(scans, key=lambda s: "Or(LessThan(ngram,A)" not in s)
+    assert "eng" in stripped.split("PartitionFilters")[1] and "ger" not in stripped.split("PartitionFilters")[1]
+    assert "Or(LessThan(ngram,A)" in stripped
+    assert "ger" in usual.split("PartitionFilters")[1] and "LessThan(ngram" not in usual
+
+
+def test_columnar_files_are_few_and_hot_prefixes_split(spark, tmp_path):
+    df = spark.range(0, 60_000, 1, 16).select(
+        F.lit("eng").alias("lang"),
+        F.concat(F.when(F.col("id") % 3 == 0, F.chr((97 + F.col("id") % 26).cast("bigint"))).otherwise("a"), F.md5(F.col("id").cast("string"))).alias("ngram"),
+        F.lit(2000).cast("bigint").alias("year"),
+        F.lit(2).cast("bigint").alias("match_count"),
+        F.lit(1).cast("bigint").alias("volume_count"),
+    )
+    def files():
+        return {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / str(size) / "lang=eng").iterdir()}
+
+    for size in ("64m", "200k"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+        write_columnar(df, str(tmp_path / size))
+        found = files()
+        if size == "64m":
+            assert sum(found.values()) <= len(found) + 8
+        else:
+            assert found["prefix=a"] > 3
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_filters_reach_the_columnar_scan(spark, layouts):
     df = read_columnar(spark, f"{layouts}/columnar", ["eng"], ["a"])
-    text = plan(word_list(df, CONFIG))
+    text = plan(word_list(df, CONFIG, checked=True))
     scan = text[text.index("FileScan parquet") :]
     assert "PartitionFilters: [isnotnull(lang" in scan
     assert "GreaterThanOrEqual(year,1962)" in scan
@@ -90,25 +163,25 @@ def test_unneeded_columns_are_not_read(spark, layouts):
 
 
 def test_text_lines_are_decoded_below_every_filter(spark, layouts):
-    text = plan(word_list(read_entries(spark, f"{layouts}/text"), CONFIG))
-    assert text.count("Exchange") == 2
+    text = plan(word_list(read_entries(spark, f"{layouts}/text"), CONFIG, checked=True))
+    assert text.count("Exchange") == 3
     assert text.count("split(") == 1
     below = text[text.index("Generate inline") :]
     assert "1962" not in below
 
 
-def test_word_lists_broadcast_the_catalog_only(spark, layouts):
+def test_word_lists_join_nothing(spark, layouts):
     df = read_columnar(spark, f"{layouts}/columnar")
     text = plan(word_lists(df, languages(spark), CONFIG))
-    assert text.count("BroadcastExchange") == 1
-    assert "BuildRight" in text
-    assert "SortMergeJoin" not in text
+    assert "Join" not in text
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-def test_file_merge_needs_two_shuffles(spark, layouts):
+def test_file_merge_shuffles_merged_rows_only(spark, layouts):
+    """By file and word, by file and case key, by case key and spelling, by case key: each one merged before."""
     text = plan(merge_files(read_entries(spark, f"{layouts}/text", with_file=True), CONFIG, "file"))
-    assert text.count("Exchange") == 2
+    assert text.count("Exchange") == 4
+    assert text.count("partial_try_sum") >= 4
     assert "Join" not in text
 
 
@@ -118,7 +191,19 @@ def test_case_key_is_not_reduced_to_lower_case(spark, layouts):
     assert key.count("lower(") == 3 and key.count("upper(") == 1 and key.count("translate(") == 2
 
 
-def test_no_query_collects_or_limits_its_input():
+def test_no_query_limits_its_input():
     source = inspect.getsource(registered)
-    for word in (".collect(", ".toPandas(", ".limit(", "sample(", "localCheckpoint"):
+    for word in (".collect(", ".toPandas(", "toArrow(", ".limit(", "sample(", "localCheckpoint"):
         assert word not in source
+
+
+def test_what_reaches_the_driver():
+    """Catalogs, single rows, and a sample of bounded size; nothing is cut off or kept on one machine."""
+    top = Path(registered.__file__).parents[1]
+    allowed = {"operators/filters.py": ["language_flags"], "operators/topk.py": ["_bounds"]}
+    for path in [p for p in top.rglob("*.py") if "llm" not in p.parts]:
+        text = path.read_text()
+        for word in ("toPandas(", "toArrow(", "localCheckpoint", "mkdtemp", ".rdd", "broadcast("):
+            assert word not in text, (path, word)
+        if ".collect(" in text:
+            assert str(path.relative_to(top)) in allowed, path

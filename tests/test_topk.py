@@ -19,16 +19,17 @@ def test_all_unordered(classes):
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3, 4, 99])
-@pytest.mark.parametrize("single_task_rows", [topk.SINGLE_TASK_ROWS, 0])
-def test_limits(classes, monkeypatch, limit, single_task_rows):
-    monkeypatch.setattr(topk, "SINGLE_TASK_ROWS", single_task_rows)
-    assert sorted(column(pick_top(classes, limit))) == sorted(BEST[:limit])
-    ordered = pick_top(classes, limit, sort_by_popularity=True)
+@pytest.mark.parametrize("distributed", [False, True])
+def test_limits(classes, limit, distributed):
+    assert sorted(column(pick_top(classes, limit, distributed=distributed))) == sorted(BEST[:limit])
+    ordered = pick_top(classes, limit, sort_by_popularity=True, distributed=distributed)
     assert column(ordered) == BEST[:limit]
     assert column(ordered, "rank") == list(range(1, len(BEST[:limit]) + 1))
 
 
 def test_all_ordered(classes):
+    ranked = pick_top(classes, sort_by_popularity=True, distributed=True)
+    assert [tuple(r) for r in ranked.collect()] == [(w, i) for i, w in enumerate(BEST, 1)]
     df = pick_top(classes, sort_by_popularity=True, with_stats=True)
     assert column(df) == BEST
     assert df.columns == ["ngram", "first_year", "last_year", "match_count", "min_volume_count"]
@@ -40,15 +41,14 @@ def test_bad_limit(classes, limit):
         pick_top(classes, limit)
 
 
-@pytest.mark.parametrize("single_task_rows", [topk.SINGLE_TASK_ROWS, 0])
+@pytest.mark.parametrize("distributed", [False, True])
 @pytest.mark.parametrize("limit", [None, 2])
-def test_one_list_per_language(spark, monkeypatch, single_task_rows, limit):
-    monkeypatch.setattr(topk, "SINGLE_TASK_ROWS", single_task_rows)
+def test_one_list_per_language(spark, distributed, limit):
     rows = [(*row, lang) for row in ROWS for lang in ("eng", "fre")]
     rows += [("Z", 2000, 9, 1, "eng"), ("Z", 2000, 9, 1, "ger"), ("z", 2000, 1, 1, "xyz")]
     config = Config(True, 1962, 1, 1, limit, True)
     found = {}
-    for row in word_lists(entries(spark, rows, "lang"), languages(spark), config).collect():
+    for row in word_lists(entries(spark, rows, "lang"), languages(spark), config, distributed=distributed).collect():
         found.setdefault(row.lang, []).append(row.ngram)
     assert found == {"eng": BEST[:limit], "fre": BEST[:limit], "ger": ["Z"]}
 
@@ -60,9 +60,9 @@ def test_lists_per_language_without_stripping(spark):
     assert [tuple(r) for r in df.collect()] == [("eng", "Z")]
 
 
-@pytest.mark.parametrize("max_broadcast_keys", [topk.MAX_BROADCAST_KEYS, 1])
-def test_distributed_ranking_over_many_ranges(spark, monkeypatch, max_broadcast_keys):
-    monkeypatch.setattr(topk, "MAX_BROADCAST_KEYS", max_broadcast_keys)
+@pytest.mark.parametrize("ranges", [topk.RANGES, 7])
+def test_distributed_ranking_over_many_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(topk, "RANGES", ranges)
     classes = spark.range(5000).select(
         F.concat(F.lit("w"), F.lpad("id", 5, "0")).alias("top_casing"),
         F.lit(2000).cast("bigint").alias("first_year"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocabmill.functions.ranking import rank_value
+from vocabmill.functions.sums import checked_sum
 from vocabmill.functions.words import fold
 
 
@@ -21,7 +22,7 @@ def total_columns(books: str) -> list[Column]:
     return [
         F.min("first_year").alias("first_year"),
         F.max("last_year").alias("last_year"),
-        F.sum("match_count").alias("match_count"),
+        checked_sum("match_count").alias("match_count"),
         F.max(books).alias("min_volume_count"),
     ]
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from vocabmill.config import DEFAULT_MIN_YEAR, Config
 from vocabmill.functions.words import not_a_word, starts_uppercase
 from vocabmill.operators.rollup import has_support, yearly_rollup
-from vocabmill.session import broadcast_up_to
-
-MAX_BROADCAST_LANGUAGES = 10_000
 
 
 def filter_year(df: DataFrame, min_year: int = DEFAULT_MIN_YEAR) -> DataFrame:
@@ -25,26 +22,35 @@ def filter_capitalized(df: DataFrame) -> DataFrame:
     return df.where(~starts_uppercase(F.col("ngram")))
 
 
-def filter_capitalized_by_language(df: DataFrame, languages: DataFrame) -> DataFrame:
+def language_flags(languages: DataFrame) -> dict[str, bool]:
+    """Short names of a catalog, which is a local table, and whether capitals are odd there."""
+    rows = languages.select("short_name", "should_strip_capitalized").collect()
+    return {row.short_name: row.should_strip_capitalized for row in rows}
+
+
+def filter_capitalized_by_language(
+    df: DataFrame, languages: DataFrame, partitioned: bool = False
+) -> DataFrame:
     """Drop capitalised words of those languages where capitals are odd.
 
-    Keeps only languages of the catalog. ``df.lang`` holds the short name.
+    Keeps only languages of the catalog. ``df.lang`` holds the short name. With
+    ``partitioned``, for a table that is partitioned by ``lang``, the two kinds
+    of languages are two scans of different partitions, so that the test for
+    capitals reaches the files of one of them; otherwise there is one scan.
     """
-    flags = languages.select(
-        F.col("short_name").alias("lang"),
-        F.col("should_strip_capitalized").alias("_strip"),
-    )
-    return (
-        df.join(broadcast_up_to(flags, MAX_BROADCAST_LANGUAGES), "lang")
-        .where(~(F.col("_strip") & starts_uppercase(F.col("ngram"))))
-        .drop("_strip")
-    )
+    flags = language_flags(languages)
+    odd = [name for name, strip in flags.items() if strip]
+    usual = [name for name, strip in flags.items() if not strip]
+    if partitioned and odd and usual:
+        stripped = filter_capitalized(df.where(F.col("lang").isin(odd)))
+        return stripped.unionByName(df.where(F.col("lang").isin(usual)))
+    keep = ~(F.col("lang").isin(odd) & starts_uppercase(F.col("ngram")))
+    return df.where(F.col("lang").isin(list(flags))).where(keep)
 
 
 def filter_languages(df: DataFrame, languages: DataFrame) -> DataFrame:
     """Keep only languages of the catalog."""
-    known = languages.select(F.col("short_name").alias("lang"))
-    return df.join(broadcast_up_to(known, MAX_BROADCAST_LANGUAGES), "lang", "left_semi")
+    return df.where(F.col("lang").isin(list(language_flags(languages))))
 
 
 def filter_non_words(df: DataFrame) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocabmill.config import Config
 from vocabmill.functions.ranking import rank_value
+from vocabmill.functions.sums import checked_sum
 from vocabmill.operators.casing import case_classes, total_columns, unpack_best, with_fold_key
 from vocabmill.operators.filters import accept
 from vocabmill.operators.quality import require_books
@@ -25,7 +26,9 @@ SCOPES = ("dataset", "file")
 
 def supported_casings(df: DataFrame, config: Config, keys: Sequence[str] = ()) -> DataFrame:
     """Accepted spellings that reach the cutoffs, with their case key."""
-    casings = yearly_rollup(require_books(accept(df, config)), keys)
+    # Where there are files and they are not told apart, a year may well recur.
+    one_entry_from = None if "file" in df.columns else config.min_year
+    casings = yearly_rollup(require_books(accept(df, config)), keys, one_entry_from)
     return with_fold_key(support(casings, config.min_matches, config.min_books))
 
 
@@ -35,31 +38,41 @@ def file_classes(df: DataFrame, config: Config) -> DataFrame:
     A path is long and would go with every row of the first shuffle, so files
     are told apart by 128 bits of hash instead.
 
-    Shuffling the spellings by the case key alone also fits the two
-    aggregations of the merge, which then need no shuffle of their own. A case
-    key has a few rows per file at most, however often its words occur, so the
-    largest key is as small as the list of files.
+    The classes of a file are merged in the tasks before they are shuffled by
+    file and case key, so a word that all of very many files have is spread
+    over all tasks until it has been reduced to a row per file.
     """
     keys = {"_file_1": F.xxhash64("file"), "_file_2": F.xxhash64(F.lit(1), "file")}
     casings = supported_casings(df.withColumns(keys).drop("file"), config, list(keys))
-    return case_classes(casings.repartition("fold_key"), list(keys)).drop(*keys)
+    return case_classes(casings, list(keys)).drop(*keys)
 
 
-def merge_classes(partials: DataFrame) -> DataFrame:
-    """Combine case classes from several files into one row per class."""
-    totals = [*total_columns("min_volume_count"), F.sum("n_casings").alias("n_casings")]
-    candidates = partials.groupBy("fold_key", "top_casing").agg(
-        *totals,
+def _totals() -> list[Column]:
+    return [*total_columns("min_volume_count"), F.sum("n_casings").alias("n_casings")]
+
+
+def merge_candidates(partials: DataFrame) -> DataFrame:
+    """One row per class and spelling that leads it in some file, in the layout of classes.
+
+    Merging such rows again, in any groups and order, gives the same.
+    """
+    return partials.groupBy("fold_key", "top_casing").agg(
+        *total_columns("min_volume_count"),
         F.struct(
             F.min("top_stats.first_year").alias("first_year"),
             F.max("top_stats.last_year").alias("last_year"),
-            F.sum("top_stats.match_count").alias("match_count"),
+            checked_sum("top_stats.match_count").alias("match_count"),
             F.max("top_stats.volume_count").alias("volume_count"),
         ).alias("top_stats"),
+        F.sum("n_casings").alias("n_casings"),
     )
+
+
+def merge_classes(partials: DataFrame) -> DataFrame:
+    """Combine case classes from several files into one row per class."""
     # The totals of all files travel with the candidates, which saves a join.
-    merged = candidates.groupBy("fold_key").agg(
-        *totals, F.min(rank_value("top_stats", word="top_casing")).alias("_best")
+    merged = merge_candidates(partials).groupBy("fold_key").agg(
+        *_totals(), F.min(rank_value("top_stats", word="top_casing")).alias("_best")
     )
     spelling, stats = unpack_best("_best")
     return merged.select(

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocabmill.functions.ranking import rank_value
+from vocabmill.schema import ENTRY
 from vocabmill.sources.entries import decode_problem, split_lines
 
 
@@ -55,6 +56,28 @@ def require_books(df: DataFrame) -> DataFrame:
     return df.withColumn("match_count", checked)
 
 
+def require_entries(df: DataFrame, strip: Column | bool = False) -> DataFrame:
+    """The rules that hold for every entry, filtered or not, inside a running query.
+
+    A word is not null and, where ``strip`` holds, not empty; there is a year,
+    and both counts are above 0. The rows pass a generator, so no filter is
+    moved below the check, which fails on the first offending row.
+    """
+    strip = F.lit(strip) if isinstance(strip, bool) else strip
+    sound = (F.col("match_count") > 0) & (F.col("volume_count") > 0) & F.col("year").isNotNull()
+    sound = sound & F.col("ngram").isNotNull() & ~(F.coalesce(strip, F.lit(False)) & (F.col("ngram") == ""))
+    shown = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in ENTRY.names))
+    row = F.array(F.struct(*df.columns))
+    failed = F.raise_error(F.concat(F.lit("bad entry: "), shown))
+    return df.select(F.inline(F.when(F.coalesce(sound, F.lit(False)), row).otherwise(failed)))
+
+
+def require_words(df: DataFrame) -> DataFrame:
+    """Fails on an empty word among accepted rows, as part of the value that gets summed."""
+    checked = F.when(F.col("ngram") != "", F.col("match_count"))
+    return df.withColumn("match_count", checked.otherwise(F.raise_error(F.lit("bad entry: empty word"))))
+
+
 def check_years(df: DataFrame, keys: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Words with more than one entry for the same year.
 
@@ -62,10 +85,15 @@ def check_years(df: DataFrame, keys: Sequence[str] = (), strict: bool = False) -
     strict check goes by ``repeated_years`` and lists only what that has found.
     """
     counts = df.groupBy(*keys, "ngram", "year").agg(F.count("*").alias("n_entries"))
-    bad = counts.where(F.col("n_entries") > 1)
-    if strict and not repeated_years(df, keys).isEmpty():
-        _report(bad, "a word has one entry per year", strict)
-    return bad
+    if strict:
+        spans = repeated_years(df, keys)
+        if not spans.isEmpty():
+            # Only the words and years that were found are counted one by one.
+            narrow = df.withColumn("from_year", F.col("year") - F.pmod("year", F.lit(64)))
+            narrow = narrow.join(spans, [*keys, "ngram", "from_year"], "left_semi")
+            few = narrow.groupBy(*keys, "ngram", "year").agg(F.count("*").alias("n_entries"))
+            _report(few.where(F.col("n_entries") > 1), "a word has one entry per year", strict)
+    return counts.where(F.col("n_entries") > 1)
 
 
 def repeated_years(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

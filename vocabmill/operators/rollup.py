@@ -7,20 +7,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocabmill.functions.sums import checked_sum
 
-def yearly_rollup(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+#: Up to here entries are checked for repeated years; no data set goes further.
+LAST_YEAR = 2025
+
+
+def yearly_rollup(
+    df: DataFrame, keys: Sequence[str] = (), one_entry_from: int | None = None
+) -> DataFrame:
     """Merge the years of each spelling.
 
+    With ``one_entry_from``, the least year, the query fails if a spelling has two
+    entries for the same year: the years seen are bits of numbers, which merge
+    before the shuffle like the sums do.
+
     Books are summed: a book has one publication year, so no book counts twice.
     The partial aggregation folds the years inside each input split, and the
     shuffle carries about one row per spelling and split.
     """
-    return df.groupBy(*keys, "ngram").agg(
+    sums = [
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
-        F.sum("match_count").alias("match_count"),
-        F.sum("volume_count").alias("volume_count"),
-    )
+        checked_sum("match_count").alias("match_count"),
+        checked_sum("volume_count").alias("volume_count"),
+    ]
+    if one_entry_from is None:
+        return df.groupBy(*keys, "ngram").agg(*sums)
+    starts = range(one_entry_from, LAST_YEAR + 1, 64)
+    marks = [F.bit_or(_year_bit(start)).alias(f"_years_{start}") for start in starts]
+    counted = F.count_if(F.col("year") < starts[-1] + 64).alias("_entries")
+    rolled = df.groupBy(*keys, "ngram").agg(*sums, *marks, counted)
+    years = sum((F.bit_count(f"_years_{start}") for start in starts), F.lit(0))
+    message = F.concat(F.lit("more than one entry for a year: "), F.col("ngram"))
+    checked = F.when(F.col("_entries") <= years, F.col("match_count")).otherwise(F.raise_error(message))
+    return rolled.withColumn("match_count", checked).drop("_entries", *(f"_years_{s}" for s in starts))
+
+
+def _year_bit(start: int) -> Column:
+    """A bit for the year, of the 64 years from ``start``."""
+    offset = (F.col("year") - start).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), offset)
+    return F.when(F.col("year").between(start, start + 63), bit).otherwise(F.lit(0).cast("bigint"))
 
 
 def has_support(min_matches: int, min_books: int) -> Column:

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocabmill.functions.ranking import best_first
-from vocabmill.session import broadcast_up_to, materialize
+from vocabmill.functions.ranking import best_first, rank_value
+from vocabmill.session import materialize
 
-#: Up to here the best rows of all partitions are merged by a single task.
-SINGLE_TASK_ROWS = 10_000
+#: The best rows are chosen within so many buckets of words first.
+BUCKETS = 64
 
-#: One row per key is broadcast for up to so many keys.
-MAX_BROADCAST_KEYS = 10_000
+#: A distributed ranking has at most so many ranges; so many times rows are sampled for each bound.
+RANGES, SAMPLED = 500, 20
 
 STATS = ["first_year", "last_year", "match_count", "min_volume_count"]
 
@@ -25,75 +25,96 @@ def pick_top(
     sort_by_popularity: bool = False,
     keys: Sequence[str] = (),
     with_stats: bool = False,
+    distributed: bool = False,
 ) -> DataFrame:
     """The words of ``df``, rows of case classes: all or the best ``max_outputs``.
 
     With ``keys`` there is one list per key. ``sort_by_popularity`` puts the
-    best word first; a limited list also gets its ``rank``. Every limit is
-    exact. Small ones are cut by each task before the shuffle, larger ones by
-    a distributed ranking, which writes the classes to the scratch folder.
+    best word first; a limited list also gets its ``rank``. Every limit is exact.
+
+    The best rows are chosen in a tree: by bucket of words, then out of the best
+    of all buckets; a task gets limit x ``BUCKETS`` rows of a key at most. For
+    lists so long that this is too much, ``distributed`` ranks by ranges of the
+    final order instead, also lists without a limit. It writes the classes to the
+    scratch folder when it is called; everything else is lazy.
     """
     if max_outputs is not None and max_outputs < 1:
         raise ValueError("max_outputs must be at least 1, or None for no limit")
     keys = list(keys)
     df = df.select(*keys, "top_casing", *STATS)
     columns = [*keys, F.col("top_casing").alias("ngram"), *(STATS if with_stats else [])]
-    if sort_by_popularity and max_outputs:
+    if sort_by_popularity and (max_outputs or distributed):
         columns.append(F.col("rank").cast("bigint").alias("rank"))
 
-    if max_outputs is None:
-        if sort_by_popularity:
-            df = df.orderBy(*keys, *best_first())
-        return df.select(*columns)
-
-    if max_outputs > _pushed_limit(df, keys):
+    if distributed:
         df = ranked(df, keys, max_outputs)
-    elif keys:
-        per_key = Window.partitionBy(*keys).orderBy(*best_first())
-        df = df.withColumn("rank", F.row_number().over(per_key))
-        df = df.where(F.col("rank") <= max_outputs)
-    else:
-        df = df.orderBy(*best_first()).limit(max_outputs)
-        if sort_by_popularity:
-            df = df.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
-    if sort_by_popularity and (keys or max_outputs > SINGLE_TASK_ROWS):
-        df = df.orderBy(*keys, "rank")
+    elif max_outputs is not None:
+        df = _best_of_buckets(df, keys, max_outputs)
+        if keys:
+            per_key = Window.partitionBy(*keys).orderBy(*best_first())
+            df = df.withColumn("rank", F.row_number().over(per_key))
+            df = df.where(F.col("rank") <= max_outputs)
+        else:
+            df = df.orderBy(*best_first()).limit(max_outputs)
+            if sort_by_popularity:
+                df = df.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
+    if sort_by_popularity and "rank" in df.columns:
+        df = df.orderBy(*keys, "rank") if keys or distributed else df
+    elif sort_by_popularity:
+        df = df.orderBy(*keys, *best_first())
     return df.select(*columns)
 
 
-def _pushed_limit(df: DataFrame, keys: Sequence[str]) -> int:
-    """The largest limit that each task applies before its rows are shuffled."""
-    if not keys:
-        return SINGLE_TASK_ROWS
-    threshold = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    return min(int(threshold), SINGLE_TASK_ROWS)
+def _best_of_buckets(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
+    """The best rows of each bucket, among which are the best of all."""
+    bucket = F.pmod(F.xxhash64("top_casing"), F.lit(BUCKETS))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*best_first())
+    df = df.withColumn("_bucket", bucket).withColumn("_place", F.row_number().over(within))
+    return df.where(F.col("_place") <= max_outputs).drop("_bucket", "_place")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
-    """Number the best rows of each key, without one task per key.
+def ranked(df: DataFrame, keys: Sequence[str], max_outputs: int | None = None) -> DataFrame:
+    """Number the (best) rows of each key, without one task per key.
 
     The rows that may be among the best are split into ranges of the final
     order, and a row's rank is its position in its range plus the size of the
     ranges before. As the order has no ties, ranges can always be split evenly,
-    however large a key is. The ranges are written down, so that counting and
-    numbering see the same ones.
+    however large a key is. The rows are written once; the bounds are sampled
+    from what was written and are constants, so counting and numbering see the
+    same ranges.
     """
     keys = list(keys)
-    df = candidates(materialize(df, "classes"), keys, max_outputs)
-    order = [*(F.col(key) for key in keys), *best_first()]
-    ranges = materialize(
-        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
-    sizes = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    df = materialize(df, "classes")
+    if max_outputs is not None:
+        df = candidates(df, keys, max_outputs)
+    place = F.struct(*keys, rank_value(books="min_volume_count", word="top_casing").alias("_rank"))
+    df = df.withColumn("_range", F.size(F.filter(_bounds(df, place), lambda b: b < place)))
+    sizes = df.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
     # Ranges beyond the limit are dropped whole, before any sorting.
-    offsets = _rows_before(sizes, keys, F.col("_range")).where(F.col("_before") < max_outputs)
+    offsets = _rows_before(sizes, keys, F.col("_range"))
+    if max_outputs is not None:
+        offsets = offsets.where(F.col("_before") < max_outputs)
     within = Window.partitionBy(*keys, "_range").orderBy(*best_first())
-    return (
-        ranges.join(offsets.drop("_size"), [*keys, "_range"])
+    rows = (
+        df.join(offsets.drop("_size"), [*keys, "_range"])
         .withColumn("rank", F.col("_before") + F.row_number().over(within))
-        .where(F.col("rank") <= max_outputs)
         .drop("_range", "_before")
     )
+    return rows if max_outputs is None else rows.where(F.col("rank") <= max_outputs)
+
+
+def _bounds(df: DataFrame, place: Column) -> Column:
+    """Bounds of ranges of about equal size, as a constant array.
+
+    Found in a sample of bounded size, whose places differ as words do.
+    """
+    kind = df.select(place.alias("place")).schema["place"].dataType.simpleString()
+    rows = df.count()
+    share = min(1.0, RANGES * SAMPLED / max(rows, 1))
+    sample = df.select(F.to_json(place).alias("text"), place.alias("place")).sample(share, seed=1)
+    texts = [row.text for row in sample.orderBy("place").select("text").collect()]
+    chosen = texts[SAMPLED::SAMPLED]
+    return F.array(*(F.from_json(F.lit(t), kind) for t in chosen)) if chosen else F.array().cast(f"array<{kind}>")
 
 
 def candidates(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
@@ -110,7 +131,7 @@ def candidates(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFram
     reached = reached.where(F.col("_before") < max_outputs)
     lowest = reached.groupBy(*keys).agg(F.min("_lowest").alias("_lowest"))
     if keys:
-        df = df.join(broadcast_up_to(lowest, MAX_BROADCAST_KEYS), keys)
+        df = df.join(lowest, keys)
         return df.where(F.col("match_count") >= F.col("_lowest")).drop("_lowest")
     bound = lowest.first()["_lowest"]
     return df if bound is None else df.where(F.col("match_count") >= bound)

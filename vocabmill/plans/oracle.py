@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vocabmill.plans.queries import (
+    BREAKS,
     LANGUAGE_CODES,
     PATH_BASE,
     TOP,
@@ -86,9 +87,10 @@ def classes(casings: str, *keys: str) -> str:
         GROUP BY {by}"""
 
 
-def merged_files(file_keys: tuple[str, ...]) -> str:
+def merged_files(file_keys: tuple[str, ...], source: str = "") -> str:
     """Cutoffs and classes per file, then totals per class and the best leading spelling."""
-    casings = supported(accepted(*file_keys, strip=False), *file_keys, matches=5, books=2)
+    source = source or accepted(*file_keys, strip=False)
+    casings = supported(source, *file_keys, matches=5, books=2)
     return f"""
         WITH partial AS ({classes(casings, *file_keys)}),
         totals AS (
@@ -199,15 +201,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT ngram, year, volume_count AS match_count, match_count AS volume_count
             FROM ({accepted(strip=True)}) WHERE volume_count < match_count""",
         "v3_one_entry_per_year": f"""
-            SELECT lang, ngram, year, count(*) AS n_entries FROM ({entries("lang")})
+            SELECT lang, ngram, year, count(*) AS n_entries FROM ({accepted("lang", strip=True)})
             GROUP BY ALL HAVING count(*) > 1""",
         "v3_one_entry_per_year_mixed": f"""
-            SELECT ngram, year, count(*) AS n_entries FROM ({entries("lang")})
+            SELECT ngram, year, count(*) AS n_entries FROM ({accepted("lang", strip=True)})
             GROUP BY ALL HAVING count(*) > 1""",
         "v3_repeated_years_mixed": f"""
             SELECT ngram, year - year % 64 AS from_year, count(*) AS n_entries,
                    count(DISTINCT year) AS n_years
-            FROM ({entries("lang")})
+            FROM ({accepted("lang", strip=True)})
             GROUP BY ngram, from_year HAVING count(*) > count(DISTINCT year)""",
         "v4_empty_ngram": f"SELECT * FROM ({entries(empty=True)}) WHERE ngram = ''",
         "v4_empty_ngram_lower_case": f"""
@@ -239,7 +241,29 @@ def oracle_sql() -> dict[str, str]:
         "t3_top_ordered": top(MERGED, "rank, top_casing AS ngram", TOP),
         "t3_top_ordered_large": top(EVERYTHING, "rank, top_casing AS ngram", TOP_LARGE),
         "t4_all_ordered": f"""
-            SELECT top_casing AS ngram, {STATS} FROM ({MERGED}) ORDER BY {BEST_CLASS}""",
+            SELECT top_casing AS ngram, {STATS}, row_number() OVER (ORDER BY {BEST_CLASS}) AS rank
+            FROM ({MERGED}) ORDER BY {BEST_CLASS}""",
+        "v1_decode_broken": f"""
+            SELECT ngram, year AS in_year, match_count,
+                   ({BREAKS!r})[(year + match_count) % {len(BREAKS)} + 1] AS cause
+            FROM ({entries()}) WHERE (year + match_count) % {len(BREAKS)} > 0""",
+        "j1_language_word_list": f"""
+            SELECT * FROM ({top_by_language(
+                by_language(20, 3), f"lang, rank, top_casing AS ngram, {STATS}", TOP)})
+            WHERE lang IN ('fre', 'ger')""",
+        "j1_file_scope": f"""
+            SELECT top_casing AS ngram, {STATS} FROM ({merged_files(("prefix",), f"""
+                SELECT *, {PREFIX} AS prefix FROM ({accepted("lang", strip=True)})
+                WHERE lang = 'eng'""")})""",
+        "j2_all_word_lists": top_by_language(
+            by_language(20, 3), f"lang, rank, top_casing AS ngram, {STATS}", TOP_PER_LANGUAGE
+        ),
+        "j2_columnar_word_lists": top_by_language(
+            by_language(20, 3), f"lang, rank, top_casing AS ngram, {STATS}", TOP_PER_LANGUAGE
+        ),
+        "s8_word_sink": top_by_language(
+            by_language(20, 3), "lang, rank AS position, top_casing AS ngram", TOP_PER_LANGUAGE
+        ),
         "j1_word_list": top(STRIPPED, f"rank, top_casing AS ngram, {STATS}", TOP),
         "j1_word_list_merged": top(MERGED, f"rank, top_casing AS ngram, {STATS}", TOP),
         "j2_word_lists": top_by_language(

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from vocabmill.config import Config
 from vocabmill.functions.words import word_prefix
 from vocabmill.operators import casing, filters, merge, quality, rollup, topk
-from vocabmill.plans.word_list import word_list, word_lists
-from vocabmill.session import scratch_path
-from vocabmill.sources import catalog, columnar, entries as text_entries
+from vocabmill.plans.word_list import all_word_lists, language_word_list, word_list, word_lists
+from vocabmill.session import age_files, list_names, make_folder, rename_path, scratch_path
+from vocabmill.sources import catalog, columnar, entries as text_entries, words
 from vocabmill.sources.documents import entries_from_documents, read_documents
 from vocabmill.streaming import incremental
 
@@ -47,16 +47,18 @@ def queries() -> dict[str, Query]:
     return dict(_queries)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    docs = read_documents(spark, f"{sf_dir}/documents.parquet", partitions)
     codes = F.lit(None).cast("string")
     for code, short_name in LANGUAGE_CODES.items():
         codes = F.when(F.col("lang") == code, short_name).otherwise(codes)
     return docs.withColumn("lang", codes).withColumn("file", F.col("source"))
 
 
-def entries(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    return entries_from_documents(documents(spark, sf_dir), keys)
+def entries(
+    spark: SparkSession, sf_dir: str, *keys: str, partitions: int | None = None
+) -> DataFrame:
+    return entries_from_documents(documents(spark, sf_dir, partitions), keys)
 
 
 def casings(spark: SparkSession, sf_dir: str, config: Config = MERGED) -> DataFrame:
@@ -225,6 +227,27 @@ def v1_decode_zero_books(spark, sf_dir):
     return quality.check_decode(_lines(df.withColumn("volume_count", F.col("volume_count") - 1)))
 
 
+#: What is wrong with a line, by the remainder that decides it.
+BREAKS = ["", "encoding", "field_count", "not_a_number", "year", "match_count", "volume_count"]
+
+
+@query
+def v1_decode_broken(spark, sf_dir):
+    """Lines broken in each of the six ways, by a function of the row."""
+    df = entries(spark, sf_dir)
+    ngram, year, matches, books = (F.col(name).cast("string") for name in df.columns)
+    kind = (F.col("year") + F.col("match_count")) % len(BREAKS)
+    line = F.concat_ws(
+        "\t",
+        F.when(kind == 1, F.concat(ngram, F.unhex(F.lit("FF")).cast("string"))).otherwise(ngram),
+        F.when(kind == 3, F.concat(F.lit("x"), year)).when(kind == 4, "9" * 20).otherwise(year),
+        F.when(kind == 5, "0").otherwise(matches),
+        F.when(kind == 6, "0").when(kind != 2, books),
+    )
+    found = quality.check_decode(df.withColumn("value", line).select("value", "ngram", F.col("year").alias("in_year"), "match_count"))
+    return found.select("ngram", "in_year", "match_count", "cause")
+
+
 @query
 def v2_books_le_matches(spark, sf_dir):
     return quality.check_books(filters.accept(entries(spark, sf_dir), STRIPPED))
@@ -246,19 +269,19 @@ def v2_books_le_matches_swapped(spark, sf_dir):
 
 @query
 def v3_one_entry_per_year(spark, sf_dir):
-    return quality.check_years(entries(spark, sf_dir, "lang"), ["lang"])
+    return quality.check_years(filters.accept(entries(spark, sf_dir, "lang"), STRIPPED), ["lang"])
 
 
 @query
 def v3_one_entry_per_year_mixed(spark, sf_dir):
     """Languages taken for one corpus: shared words have several entries per year."""
-    return quality.check_years(entries(spark, sf_dir, "lang"))
+    return quality.check_years(filters.accept(entries(spark, sf_dir, "lang"), STRIPPED))
 
 
 @query
 def v3_repeated_years_mixed(spark, sf_dir):
     """The same, by word and 64 years."""
-    return quality.repeated_years(entries(spark, sf_dir, "lang"))
+    return quality.repeated_years(filters.accept(entries(spark, sf_dir, "lang"), STRIPPED))
 
 
 @query
@@ -347,7 +370,8 @@ def t2_top_unordered(spark, sf_dir):
 
 @query
 def t2_top_unordered_large(spark, sf_dir):
-    return topk.pick_top(classes(spark, sf_dir, EVERYTHING), TOP_LARGE, with_stats=True)
+    df = classes(spark, sf_dir, EVERYTHING)
+    return topk.pick_top(df, TOP_LARGE, with_stats=True, distributed=True)
 
 
 @query
@@ -357,12 +381,14 @@ def t3_top_ordered(spark, sf_dir):
 
 @query
 def t3_top_ordered_large(spark, sf_dir):
-    return topk.pick_top(classes(spark, sf_dir, EVERYTHING), TOP_LARGE, sort_by_popularity=True)
+    df = classes(spark, sf_dir, EVERYTHING)
+    return topk.pick_top(df, TOP_LARGE, sort_by_popularity=True, distributed=True)
 
 
 @query
 def t4_all_ordered(spark, sf_dir):
-    return topk.pick_top(classes(spark, sf_dir), sort_by_popularity=True, with_stats=True)
+    df = classes(spark, sf_dir)
+    return topk.pick_top(df, sort_by_popularity=True, with_stats=True, distributed=True)
 
 
 # Whole jobs
@@ -402,19 +428,88 @@ def j2_word_lists_large(spark, sf_dir):
     config = Config(
         min_matches=1, min_books=1, max_outputs=TOP_PER_LANGUAGE_LARGE, sort_by_popularity=True
     )
-    return word_lists(entries(spark, sf_dir, "lang"), catalog.languages(spark), config)
+    df = entries(spark, sf_dir, "lang")
+    return word_lists(df, catalog.languages(spark), config, distributed=True)
+
+
+def _catalog_files(spark, sf_dir) -> str:
+    """The entries in data files named like those of the catalog, each one a folder of a part or more."""
+    df = entries(spark, sf_dir, "lang").withColumn("prefix", word_prefix(F.col("ngram")))
+    base = scratch_path(spark, "ngrams")
+    name = F.format_string(catalog.FILE_NAME_FORMAT, "lang", "prefix")
+    text_entries.write_entries_text(df.withColumn("name", name), base, ["name"])
+    written = set(list_names(spark, base))
+    for _, short_name, _ in catalog.LANGUAGES:
+        for path in catalog.file_paths(short_name, base):
+            folder = f"name={path.rsplit('/', 1)[1]}"
+            if folder in written:
+                rename_path(spark, f"{base}/{folder}", path)
+            else:
+                make_folder(spark, path)
+    return base
+
+
+@query
+def j1_language_word_list(spark, sf_dir):
+    """From the data files: a language whose capitalised words go, and German."""
+    base = _catalog_files(spark, sf_dir)
+    lists = [
+        language_word_list(spark, base, name, _job(max_outputs=TOP), with_stats=True).withColumn("lang", F.lit(name))
+        for name in ("fre", "ger")
+    ]
+    return lists[0].unionByName(lists[1])
+
+
+@query
+def j1_file_scope(spark, sf_dir):
+    """From the data files, with cutoffs for each file on its own."""
+    base = _catalog_files(spark, sf_dir)
+    config = Config(min_matches=5, min_books=2)
+    return language_word_list(spark, base, "eng", config, scope="file", with_stats=True)
+
+
+@query
+def j2_all_word_lists(spark, sf_dir):
+    """All languages of the catalog from the data files."""
+    base = _catalog_files(spark, sf_dir)
+    return all_word_lists(spark, base, _job(max_outputs=TOP_PER_LANGUAGE), with_stats=True)
+
+
+@query
+def j2_columnar_word_lists(spark, sf_dir):
+    """The same from the columnar copy."""
+    path = scratch_path(spark, "columnar")
+    columnar.write_columnar(entries(spark, sf_dir, "lang"), path)
+    config = _job(max_outputs=TOP_PER_LANGUAGE)
+    return all_word_lists(spark, path, config, with_stats=True, columnar=True)
+
+
+@query
+def s8_word_sink(spark, sf_dir):
+    """Lists by language, written as words and read back with their place in the list."""
+    path = scratch_path(spark, "words")
+    df = entries(spark, sf_dir, "lang")
+    config = _job(max_outputs=TOP_PER_LANGUAGE)
+    words.write_words(word_lists(df, catalog.languages(spark), config), path)
+    return words.read_words(spark, path)
 
 
 @query
 def j3_incremental(spark, sf_dir):
-    """Files per source and decade arrive in several micro-batches."""
+    """Files per source and decade arrive in several batches, some later and with old dates."""
     docs = documents(spark, sf_dir)
     decade = F.floor((F.lit(1950) + F.col("doc_id") % 60) / 10) * 10
     df = entries_from_documents(docs.withColumn("decade", decade), ["source", "decade"])
-    inbox = _write_text(spark, df.repartition("source", "decade"), "source", "decade")
+    inbox, state = scratch_path(spark, "inbox"), scratch_path(spark, "state")
     config = Config(strip_capitalized=False, min_matches=5, min_books=2)
-    return flat(
-        incremental.run_incremental(
-            spark, inbox, scratch_path(spark, "state"), config, max_files_per_batch=50
-        )
-    )
+    late = F.col("decade") >= 1990
+    text_entries.write_entries_text(df.where(~late), inbox, ["source", "decade"])
+    incremental.run_incremental(spark, inbox, state, config, max_files_per_batch=50, compact_after=1)
+    later = scratch_path(spark, "later")
+    text_entries.write_entries_text(df.where(late), later, ["source", "decade"])
+    age_files(spark, later, days=30)
+    for source in [n for n in list_names(spark, later) if "=" in n]:
+        make_folder(spark, f"{inbox}/{source}")
+        for folder in list_names(spark, f"{later}/{source}"):
+            rename_path(spark, f"{later}/{source}/{folder}", f"{inbox}/{source}/{folder}")
+    return flat(incremental.run_incremental(spark, inbox, state, config, compact_after=1))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings for large runs. AQE starts from many small shuffle partitions and
 #: merges them up to the advisory size, so one value serves every data size.
@@ -19,24 +17,21 @@ CLUSTER_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
 }
 
-_local_roots: dict[str, str] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    It must be reachable from every executor, so only a local session may go
-    without the setting and gets a temporary folder of its own.
+    Where that is unset, a folder of this application on the default file
+    system, which on a cluster must not be that of a single machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if default.startswith("file:") and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="vocabmill-")
-    return _local_roots[context.applicationId]
+    return f"/tmp/checkpoints/{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,27 +50,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Shuffle a table by ``key`` if it is small for the cluster.
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(folder))
 
-    Small tables often come in a single row group, which one task has to read
-    whole, however many splits the file has. Spark makes about one split per
-    core of a table below ``spark.sql.files.maxPartitionBytes`` per core, and
-    more of a larger one, which is returned as it is, without a shuffle.
-    ``scan`` is a plain scan: counting its splits runs no job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(cores, key)
 
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new)]
+    paths[0].getFileSystem(spark._jsc.hadoopConfiguration()).rename(*paths)
 
-def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
-    """Evaluate ``df`` and mark it for broadcast if it has at most ``max_rows`` rows.
 
-    A larger one is returned as it is, for Spark to choose the join.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def age_files(spark: SparkSession, path: str, days: int) -> None:
+    """Make all files below ``path`` look as if they were ``days`` older."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = system.listFiles(folder, True)
+    while files.hasNext():
+        file = files.next()
+        system.setTimes(file.getPath(), file.getModificationTime() - days * 86_400_000, -1)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

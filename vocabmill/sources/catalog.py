@@ -49,6 +49,14 @@ def language_config(catalog: DataFrame, short_name: str, config: Config | None =
     return replace(config, strip_capitalized=strip)
 
 
+def file_paths(short_name: str, base: str) -> list[str]:
+    """The data files of one language, without a Spark job."""
+    if short_name not in [short for _, short, _ in LANGUAGES]:
+        raise ValueError(f"unknown language {short_name!r}")
+    names = (FILE_NAME_FORMAT % (short_name, prefix) for prefix in LATIN_WORD_PREFIXES)
+    return [f"{base.rstrip('/')}/{name}" for name in names]
+
+
 def dataset_paths(catalog: DataFrame, base: str) -> DataFrame:
     """One row per data file of the languages in ``catalog``."""
     file_name = F.format_string(FILE_NAME_FORMAT, "short_name", "prefix")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabmill.functions.words import word_prefix
+from vocabmill.operators.quality import require_entries
 
 ROWS_PER_FILE = 50_000_000
 
@@ -20,17 +21,20 @@ ROWS_PER_FILE = 50_000_000
 def write_columnar(df: DataFrame, path: str) -> None:
     """Write entries with a ``lang`` column, partitioned by language and prefix.
 
-    There is no shuffle: each task sorts what it has read and writes its own
-    files, so a language or prefix with much of the data slows no single task.
+    The rows are shuffled by language and prefix into partitions of about the
+    advisory size, so there are few files for each; adaptive execution splits a
+    language and prefix with much of the data. Bad entries fail the job, so a
+    copy holds sound ones only.
     """
     # As a constant, the language would be optimized out of the sort order, which
     # then no longer fits the writer: it would sort again, by partition only.
     nothing = F.substring(F.coalesce("ngram", F.lit("")), 1, 0)
-    df = df.withColumns(
+    df = require_entries(df).withColumns(
         {"lang": F.concat("lang", nothing), "prefix": word_prefix(F.col("ngram"))}
     )
     (
         df.select("lang", "prefix", "ngram", "year", "match_count", "volume_count")
+        .hint("rebalance", "lang", "prefix")
         .sortWithinPartitions("lang", "prefix", "ngram", "year")
         .write.partitionBy("lang", "prefix")
         .option("maxRecordsPerFile", ROWS_PER_FILE)

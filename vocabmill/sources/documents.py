@@ -11,14 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabmill.session import spread
-
 WHITESPACE = "[ \n\t\r]+"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table of documents, over as many tasks as there are cores."""
-    return spread(spark.read.parquet(path), "doc_id")
+def read_documents(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table of documents.
+
+    ``partitions`` shuffles it into so many: only for small tables in a single
+    row group, which one task would have to read whole.
+    """
+    docs = spark.read.parquet(path)
+    return docs if partitions is None else docs.repartition(partitions)
 
 
 def entries_from_documents(

@@ -106,6 +106,9 @@ def _in_prefixes(path: Column, prefixes: Sequence[str]) -> Column:
 def write_entries_text(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write entries as gzipped tab-separated text, sorted by word and year in each file."""
     line = F.concat_ws("\t", *(F.col(name).cast("string") for name in ENTRY.names))
+    if partition_by:
+        # Few files for each folder; adaptive execution splits large ones.
+        df = df.hint("rebalance", *partition_by)
     rows = df.sortWithinPartitions(*partition_by, "ngram", "year")
     rows = rows.select(*partition_by, line.alias("value"))
     rows.write.partitionBy(*partition_by).option("compression", "gzip").text(path)

@@ -1,11 +1,34 @@
-"""Writing word lists."""
+"""Writing word lists, and reading them back."""
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def write_words(df: DataFrame, path: str) -> None:
-    """One word per line, without a header.
+    """One word per line, without a header; lists by ``lang`` in a folder for each language.
 
     A sorted list is written as it is: the part files follow the order by name.
     """
-    df.select("ngram").write.text(path)
+    if "lang" in df.columns:
+        df.select("lang", "ngram").write.partitionBy("lang").text(path)
+    else:
+        df.select("ngram").write.text(path)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """``ngram`` and its ``position``, from 1, in the list (or in that of its ``lang``)."""
+    lines = spark.read.text(path).select(
+        "*",
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    keys = [name for name in lines.columns if name == "lang"]
+    place = Window.partitionBy(*keys).orderBy("_file", "_start", "_line")
+    return lines.select(
+        *keys,
+        F.col("value").alias("ngram"),
+        F.row_number().over(place).cast("bigint").alias("position"),
+    )

@@ -5,44 +5,65 @@ stores them. Files are never split over micro-batches, so these are complete
 per file, and the current state is the merge over all that is stored. The
 merge is the one of ``scope='file'``: the result is the same as that of a batch
 run over all files so far, in any order of arrival.
+
+A file is told by its path alone and is read however old it is. Closed batches
+are compacted into one base part with a row per class and leading spelling,
+which can be merged on in any order; so reading the state takes no longer the
+more batches there were.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabmill.config import Config
-from vocabmill.operators.merge import file_classes, merge_classes
+from vocabmill.operators.merge import file_classes, merge_candidates, merge_classes
 from vocabmill.operators.topk import pick_top
 from vocabmill.schema import CLASS
+from vocabmill.session import list_names, remove_path
 from vocabmill.sources.entries import decode_lines
 
 
 _SETTINGS = "strip_capitalized boolean, min_year long, min_matches long, min_books long"
 
+#: Beyond any age of a file. Spark would skip files a week older than the newest.
+MAX_FILE_AGE = "36500d"
+
+#: So many batches are left next to the base part before they are compacted.
+COMPACT_AFTER = 20
+
+
+def _path(state_dir: str, name: str) -> str:
+    return f"{state_dir.rstrip('/')}/{name}"
+
 
-def _store(state_dir: str) -> str:
-    return f"{state_dir.rstrip('/')}/classes"
+def _settings(config: Config) -> tuple:
+    return (config.strip_capitalized, config.min_year, config.min_matches, config.min_books)
+
+
+def _check_settings(spark: SparkSession, state_dir: str, config: Config) -> bool:
+    """Whether there is a state; it must have been built with the same settings."""
+    names = list_names(spark, _path(state_dir, "settings"))
+    if "_SUCCESS" not in names:
+        for part in ("classes", "base", "progress"):
+            if any(not name.endswith("=-1") for name in list_names(spark, _path(state_dir, part))):
+                raise ValueError(f"{state_dir} holds a state, but not the settings it was built with")
+        return False
+    stored = spark.read.schema(_SETTINGS).json(_path(state_dir, "settings")).first()
+    if tuple(stored) != _settings(config):
+        raise ValueError(f"{state_dir} was built with other settings: {stored}")
+    return True
 
 
 def _open_state(spark: SparkSession, state_dir: str, config: Config) -> None:
     """Set the state up, or check that it was built with the same settings."""
-    path = f"{state_dir.rstrip('/')}/settings"
-    settings = (config.strip_capitalized, config.min_year, config.min_matches, config.min_books)
-    try:
-        stored = spark.read.schema(_SETTINGS).json(path).first()
-    except AnalysisException:
-        stored = None
-    if stored is None:
+    if not _check_settings(spark, state_dir, config):
         # An empty first part, so that the state can be read before any file came.
-        spark.createDataFrame([], CLASS).write.mode("overwrite").parquet(
-            f"{_store(state_dir)}/batch_id=-1"
-        )
-        spark.createDataFrame([settings], _SETTINGS).write.mode("overwrite").json(path)
-    elif tuple(stored) != settings:
-        raise ValueError(f"{state_dir} was built with other settings: {stored}")
+        empty = spark.createDataFrame([], CLASS)
+        empty.write.mode("overwrite").parquet(f"{_path(state_dir, 'base')}/upto=-1")
+        row = spark.createDataFrame([_settings(config)], _SETTINGS)
+        row.write.mode("overwrite").json(_path(state_dir, "settings"))
 
 
 def run_incremental(
@@ -51,15 +72,17 @@ def run_incremental(
     state_dir: str,
     config: Config,
     max_files_per_batch: int | None = None,
+    compact_after: int = COMPACT_AFTER,
 ) -> DataFrame:
     """Fold all files that are new in ``input_dir`` into the state, return the classes.
 
     ``state_dir`` must be on storage shared by the cluster. A batch that runs
     again after a failure overwrites its own part of the state. The filters
-    and cutoffs of ``config`` stay the same over the life of a state.
+    and cutoffs of ``config`` stay the same over the life of a state. More than
+    ``compact_after`` batches are merged into a new base part at the end.
     """
     _open_state(spark, state_dir, config)
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     lines = reader.load(input_dir).select("value", F.col("_metadata.file_path").alias("file"))
@@ -74,6 +97,8 @@ def run_incremental(
         .start()
     )
     query.awaitTermination()
+    if len(_parts(spark, state_dir)[1]) > compact_after:
+        compact(spark, state_dir)
     return current_classes(spark, state_dir)
 
 
@@ -81,18 +106,56 @@ def store_classes(lines: DataFrame, batch_id: int, state_dir: str, config: Confi
     """Store the case classes of the files in one batch of lines."""
     entries = decode_lines(lines, ["file"], allow_empty=not config.strip_capitalized)
     classes = file_classes(entries, config)
-    classes.write.mode("overwrite").parquet(f"{_store(state_dir)}/batch_id={batch_id}")
+    classes.write.mode("overwrite").parquet(f"{_path(state_dir, 'classes')}/batch_id={batch_id}")
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(name.split("=")[1]) for name in list_names(spark, folder) if "=" in name)
+
+
+def _parts(spark: SparkSession, state_dir: str) -> tuple[int, list[int]]:
+    """The last complete base part, and the batches after it."""
+    base = _path(state_dir, "base")
+    complete = [n for n in _numbers(spark, base) if "_SUCCESS" in list_names(spark, f"{base}/upto={n}")]
+    upto = max(complete)  # -1 from the beginning
+    return upto, [n for n in _numbers(spark, _path(state_dir, "classes")) if n > upto]
+
+
+def _read_parts(spark: SparkSession, state_dir: str) -> DataFrame:
+    upto, batches = _parts(spark, state_dir)
+    paths = [f"{_path(state_dir, 'base')}/upto={upto}"]
+    paths += [f"{_path(state_dir, 'classes')}/batch_id={n}" for n in batches]
+    return spark.read.schema(CLASS).parquet(*paths)
+
+
+def compact(spark: SparkSession, state_dir: str) -> None:
+    """Merge all closed batches into a new base part and remove the old parts.
+
+    To be called while no stream runs: all batches are closed then, and none of
+    them runs again. A compaction that fails halfway leaves the old parts valid.
+    """
+    upto, batches = _parts(spark, state_dir)
+    if not batches:
+        return
+    base, last = _path(state_dir, "base"), batches[-1]
+    merged = merge_candidates(_read_parts(spark, state_dir))
+    merged.select(*CLASS.names).write.mode("overwrite").parquet(f"{base}/upto={last}")
+    for n in batches:
+        remove_path(spark, f"{_path(state_dir, 'classes')}/batch_id={n}")
+    remove_path(spark, f"{base}/upto={upto}")
 
 
 def current_classes(spark: SparkSession, state_dir: str) -> DataFrame:
     """Case classes over all files folded in so far."""
-    return merge_classes(spark.read.schema(CLASS).parquet(_store(state_dir)))
+    return merge_classes(_read_parts(spark, state_dir))
 
 
 def current_words(
     spark: SparkSession, state_dir: str, config: Config, with_stats: bool = False
 ) -> DataFrame:
-    """The word list over all files folded in so far."""
+    """The word list over all files folded in so far, for the settings of the state."""
+    if not _check_settings(spark, state_dir, config):
+        raise ValueError(f"{state_dir} holds no state")
     return pick_top(
         current_classes(spark, state_dir),
         config.max_outputs,
