@@ -42,7 +42,7 @@ from vocabmill.sources.catalog import dataset_paths, language_config, languages
 from vocabmill.sources.columnar import read_columnar, write_columnar
 from vocabmill.sources.documents import entries_from_documents, read_documents
 from vocabmill.sources.entries import read_entries, write_entries_text
-from vocabmill.sources.words import write_words
+from vocabmill.sources.words import read_words, write_words
 from vocabmill.streaming.incremental import current_words, run_incremental
 
 __all__ = [
@@ -87,6 +87,7 @@ __all__ = [
     "word_lists",
     "write_columnar",
     "write_entries_text",
+    "read_words",
     "write_words",
     "yearly_rollup",
 ]

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocabmill.functions.ranking import best_first, rank_value
+from vocabmill.functions.ranking import best_first
 from vocabmill.session import materialize
 
 #: The best rows are chosen within so many buckets of words first.
 BUCKETS = 64
 
 #: A distributed ranking has at most so many ranges; so many times rows are sampled for each bound.
-RANGES, SAMPLED = 500, 20
+RANGES, SAMPLED = 100, 20
 
 STATS = ["first_year", "last_year", "match_count", "min_volume_count"]
 
@@ -87,8 +87,10 @@ def ranked(df: DataFrame, keys: Sequence[str], max_outputs: int | None = None) -
     df = materialize(df, "classes")
     if max_outputs is not None:
         df = candidates(df, keys, max_outputs)
-    place = F.struct(*keys, rank_value(books="min_volume_count", word="top_casing").alias("_rank"))
-    df = df.withColumn("_range", F.size(F.filter(_bounds(df, place), lambda b: b < place)))
+    # The generator keeps the place from being computed again for every bound.
+    df = df.select("*", F.explode(F.array(_place())).alias("_at"))
+    bounds = _bounds(df)
+    df = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_at")))).drop("_at")
     sizes = df.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
     # Ranges beyond the limit are dropped whole, before any sorting.
     offsets = _rows_before(sizes, keys, F.col("_range"))
@@ -103,18 +105,18 @@ def ranked(df: DataFrame, keys: Sequence[str], max_outputs: int | None = None) -
     return rows if max_outputs is None else rows.where(F.col("rank") <= max_outputs)
 
 
-def _bounds(df: DataFrame, place: Column) -> Column:
-    """Bounds of ranges of about equal size, as a constant array.
+def _place() -> Column:
+    """The final order as one string: better rows come first."""
+    most = F.lit(2**63 - 1)
+    numbers = [most - F.col("match_count"), most - F.col("min_volume_count"), F.lit(10**9) - F.col("last_year"), F.lit(10**9) + F.col("first_year")]
+    return F.concat(*(F.lpad(n.cast("string"), 19, "0") for n in numbers), F.col("top_casing"))
 
-    Found in a sample of bounded size, whose places differ as words do.
-    """
-    kind = df.select(place.alias("place")).schema["place"].dataType.simpleString()
-    rows = df.count()
-    share = min(1.0, RANGES * SAMPLED / max(rows, 1))
-    sample = df.select(F.to_json(place).alias("text"), place.alias("place")).sample(share, seed=1)
-    texts = [row.text for row in sample.orderBy("place").select("text").collect()]
-    chosen = texts[SAMPLED::SAMPLED]
-    return F.array(*(F.from_json(F.lit(t), kind) for t in chosen)) if chosen else F.array().cast(f"array<{kind}>")
+
+def _bounds(df: DataFrame) -> Column:
+    """Bounds of ranges of about equal size, out of a sample of bounded size, as constants."""
+    share = min(1.0, RANGES * SAMPLED / max(df.count(), 1))
+    sample = df.select("_at").sample(share, seed=1).orderBy("_at").collect()
+    return F.array(*(F.lit(row["_at"]) for row in sample[SAMPLED::SAMPLED])).cast("array<string>")
 
 
 def candidates(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
