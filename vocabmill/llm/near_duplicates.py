@@ -10,9 +10,13 @@
 4. Pairs whose signatures agree too rarely for the threshold are left out (by
    five standard deviations); for the others, both full sets are compared.
 5. The links give components. In buckets that still hold several components,
-   all pairs of classes of different components that were not compared yet are
-   compared as well. So no link is lost that the banding found: a pair left
-   uncompared is already connected by links.
+   pairs of classes of different components that were not compared yet are
+   compared as well, if they can be similar enough: a shingle that no other class
+   of such buckets has is in no intersection, so the two sizes and the numbers of
+   shared shingles bound the similarity exactly. Large groups of texts that are
+   alike, but not enough, differ by shingles of their own and drop out here. So
+   no link is lost that the banding found: a pair left uncompared is connected
+   by links already, or too different.
 
 A pair at the threshold shares a bucket with probability ``1 - (1 - t^rows)^bands``:
 0.999995 with the values below.
@@ -117,8 +121,8 @@ def sketches(docs: DataFrame, params: Params, key: str = "doc_id", text: str = "
     return map_batches(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, schema)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets are similar enough, after a test of their signatures."""
+def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """``u, v, common, linked`` of the pairs that pass a test of their signatures: shingles in both full sets, and the verdict."""
     share, count = params.numerator / params.denominator, params.bands * params.rows
     least = max(1, math.floor(count * share - 5 * math.sqrt(count * share * (1 - share))))
     signed = classes.select("id", "signature")
@@ -137,7 +141,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Par
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [string_bytes(batch.column(k)) for k in (2, 3)]
-            good = np.zeros(batch.num_rows, bool)
+            good, shared = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
             longer = sides[0][1] + sides[1][1]
             for start, stop in row_blocks(longer):
                 sets = [shingle_sets(d[o[start] : o[stop]], o[start : stop + 1] - o[start], params.width) for d, o in sides]
@@ -145,10 +149,30 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Par
                     common = len(np.intersect1d(a, b, assume_unique=True))
                     union = len(a) + len(b) - common
                     good[start + row] = union and params.denominator * common >= params.numerator * union
-            kept = np.flatnonzero(good)
-            yield pa.record_batch([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept))], ["u", "v"])
+                    shared[start + row] = common
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared), pa.array(good)], ["u", "v", "common", "linked"])
 
-    return map_batches(both.select("u", "v", "tu", "tv"), run, "u long, v long").distinct()
+    found = map_batches(both.select("u", "v", "tu", "tv"), run, "u long, v long, common long, linked boolean")
+    # An id that stands for several texts counts with the best of them.
+    return found.groupBy("u", "v").agg(F.max("common").alias("common"), F.max("linked").alias("linked"))
+
+
+def own_shingles(ids: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """``id, own``: how many shingles each of the classes ``ids`` has that no other of them has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(1))
+            for start, stop in row_blocks(offsets):
+                sets = shingle_sets(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], params.width)
+                sizes = pa.array([len(x) for x in sets], pa.int64())
+                owner = np.repeat(batch.column(0).slice(start, stop - start).to_numpy(), sizes.to_numpy())
+                yield pa.record_batch([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    shingles = map_batches(texts.join(ids, "id", "left_semi").select("id", "text"), run, "id long, shingle long")
+    # The classes that have a shingle are told apart by the least and the greatest.
+    owners = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return owners.where("id = last").groupBy("id").agg(F.count("*").alias("own"))
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,28 +191,40 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
         buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "bucket-ends"
     )
     members = stored(buckets.join(ends, "bucket"), "bucket-members")
-    near = F.lit(params.denominator) * F.least("n", "m") >= F.lit(params.numerator) * F.greatest("n", "m")
     stars = (
         members.where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v"))
         .union(members.where("id < high and id > low").select(F.col("id").alias("u"), F.col("high").alias("v")))
         .distinct()
     )
-    links = stored(verified(stars, classes, texts, params), "links")
+    tested = stored(compared(stars, classes, texts, params), "compared")
+    links = tested.where("linked").select("u", "v")
     first = components(links)
     # What is left: classes that are not an end of their bucket, in buckets with several components.
-    inner = members.where("id > low and id < high").select("bucket", "id", F.col("n_shingles").alias("n"))
-    named = inner.join(first, inner.id == first.node, "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    inner = members.where("id > low and id < high").select("bucket", "low", "id", F.col("n_shingles").alias("n"))
+    named = inner.join(first, inner.id == first.node, "left").select("bucket", "low", "id", "n", F.coalesce("component", "id").alias("component"))
     named = stored(named, "bucket-components")
     several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
     left = stored(named.join(several, "bucket", "left_semi"), "mixed-buckets")
-    other = left.select("bucket", F.col("id").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"))
+    universe = left.select("id").union(left.select("low")).distinct()
+    left = left.join(own_shingles(universe, texts, params), "id", "left")
+    left = left.withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    left = left.where(F.lit(params.denominator) * F.col("shared") >= F.lit(params.numerator) * F.col("n"))
+    known = tested.select(F.col("u").alias("low"), F.col("v").alias("id"), F.col("common").alias("with_low"))
+    left = stored(left.join(known, ["low", "id"], "left"), "can-be-linked").drop("low")
+    other = left.select("bucket", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "shared", "with_low")))
+    # An intersection has at most the shared shingles of either side; of those that the bucket's
+    # least class has, and of the others, at most those of either side.
+    rest, rest_ = F.col("shared") - F.col("with_low"), F.col("shared_") - F.col("with_low_")
+    most = F.coalesce(F.least("with_low", "with_low_") + F.least(rest, rest_) + F.lit(0) * (F.col("with_low") + F.col("with_low_")), F.least("shared", "shared_"))
+    enough = F.lit(params.numerator + params.denominator) * most >= F.lit(params.numerator) * (F.col("n") + F.col("n_"))
     crossed = (
-        left.withColumnRenamed("id", "u").join(other, "bucket")
-        .where((F.col("component") < F.col("other")) & near)
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        left.join(other, "bucket")
+        .where((F.col("component") < F.col("component_")) & enough)
+        .select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v"))
         .distinct()
     )
-    more = stored(verified(crossed.join(stars, ["u", "v"], "left_anti"), classes, texts, params), "more-links")
+    more = compared(crossed.join(stars, ["u", "v"], "left_anti"), classes, texts, params)
+    more = stored(more.where("linked").select("u", "v"), "more-links")
     named = stored(components(links.union(more)), "components")
     named = classes.select("digest", "id").join(named, F.col("id") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "id").alias("component_id"))
