@@ -141,7 +141,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("row", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit("|"), F.col("text"))))
     sized = rows.select("id", "row", F.length("text").alias("n")).distinct()
     pairs = stored(_neighbours(sized.select("id", "row")).join(sized.select("row", "n"), "row"), "neighbours")
-    marked = with_slots(rows, "text", "slots")
+    # One shuffle of the texts serves both joins: both read all of these columns.
+    marked = with_slots(rows, "text", "slots").select("id", "row", "text", "slots").repartition("row")
     other = marked.select(F.col("row").alias("next_row"), F.col("id").alias("next_id"), F.col("text").alias("next_text"), F.col("slots").alias("next_slots"))
     third = F.floor(F.col("n") / 3).cast("int")
     nexts = pairs.join(other, "next_row").select("row", "next_id", F.expr("substring(next_text, 1, cast(floor(n / 3) as int))").alias("start"), "next_slots")
