@@ -121,8 +121,8 @@ def sketches(docs: DataFrame, params: Params, key: str = "doc_id", text: str = "
     return map_batches(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, schema)
 
 
-def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """``u, v, common, linked`` of the pairs that pass a test of their signatures: shingles in both full sets, and the verdict."""
+def _likely(pairs: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
+    """Pairs whose signatures agree often enough, by five standard deviations."""
     share, count = params.numerator / params.denominator, params.bands * params.rows
     least = max(1, math.floor(count * share - 5 * math.sqrt(count * share * (1 - share))))
     signed = classes.select("id", "signature")
@@ -133,8 +133,14 @@ def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Par
         .where(agree >= least)
         .select("u", "v")
     )
-    likely = stored(likely, "likely-pairs")
-    both = likely.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(
+    return stored(likely, "likely-pairs")
+
+
+def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Params, screened: bool) -> DataFrame:
+    """``u, v, common, linked`` of the pairs (that pass a test of their signatures, if ``screened``): shingles in both full sets, and the verdict."""
+    if screened:
+        pairs = _likely(pairs, classes, params)
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(
         texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v"
     )
 
@@ -196,7 +202,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
         .union(members.where("id < high and id > low").select(F.col("id").alias("u"), F.col("high").alias("v")))
         .distinct()
     )
-    tested = stored(compared(stars, classes, texts, params), "compared")
+    # The texts of classes that share a bucket are written once; no other text moves again.
+    texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "bucket-texts")
+    tested = stored(compared(stars, classes, texts, params, True), "compared")
     links = tested.where("linked").select("u", "v")
     first = components(links)
     # What is left: classes that are not an end of their bucket, in buckets with several components.
@@ -223,7 +231,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
         .select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v"))
         .distinct()
     )
-    more = compared(crossed.join(stars, ["u", "v"], "left_anti"), classes, texts, params)
+    more = compared(crossed.join(stars, ["u", "v"], "left_anti"), classes, texts, params, False)
     more = stored(more.where("linked").select("u", "v"), "more-links")
     named = stored(components(links.union(more)), "components")
     named = classes.select("digest", "id").join(named, F.col("id") == F.col("node"), "left")
