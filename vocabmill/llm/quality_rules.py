@@ -44,6 +44,8 @@ LOWER, UPPER, DIGIT, BLANK, LINE, STOP, MARK, SYMBOL, LATIN, SCRIPT, WIDE, CONTR
 CLASSES = 12
 MAX_LANGUAGES = 200
 WINDOW = 5
+#: Distinct words that a task counts before it hands them on.
+TASK_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -119,15 +121,17 @@ def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str =
         classes: dict[str, np.ndarray] = {}
         words: dict[tuple[str, bytes], int] = {}
         for batch in batches:
-            data, offsets = string_bytes(batch.column(0))
+            everything, bounds = string_bytes(batch.column(0))
             langs = batch.column(1).to_pylist()
-            histograms = class_histograms(data, offsets)
-            whole = data.tobytes()
-            for row, name in enumerate(langs):
-                classes[name] = classes.get(name, 0) + histograms[row]
-                for word in whole[offsets[row] : offsets[row + 1]].lower().split():
-                    words[name, word] = words.get((name, word), 0) + 1
-                if len(words) > 500_000:
+            for start, stop in row_blocks(bounds):
+                data, offsets = everything[bounds[start] : bounds[stop]], bounds[start : stop + 1] - bounds[start]
+                histograms = class_histograms(data, offsets)
+                whole = data.tobytes()
+                for row, name in enumerate(langs[start:stop]):
+                    classes[name] = classes.get(name, 0) + histograms[row]
+                    for word in whole[offsets[row] : offsets[row + 1]].lower().split():
+                        words[name, word] = words.get((name, word), 0) + 1
+                if len(words) > TASK_WORDS:
                     yield record(words, {})
                     words.clear()
         yield record(words, classes)
