@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -72,6 +73,36 @@ def test_junk_is_rejected_and_prose_kept(spark, limits):
     assert not verdict[900] and not verdict[901] and not verdict[902]
 
 
+def rare_words(rng, count):
+    return ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(4, 10))) for _ in range(count)]
+
+
+def test_text_without_common_words_is_rejected(spark, limits):
+    rng = random.Random(9)
+    common = ["c" + w for w in rare_words(rng, 100)]
+
+    def mixed(size, share):
+        return " ".join(rng.choice(common) if rng.random() < share else w for w in rare_words(rng, size))
+
+    found = quality_rules.references(documents(spark, [(1, mixed(30_000, 0.36), "en")]), limits)
+    sizes = (40, 100, 300, 1000, 2000, 8000)
+    gibberish = [(k, " ".join(rare_words(rng, n)), None) for k, n in enumerate(sizes)]
+    prose = [(100 + k, mixed(n, 0.36), None) for k, n in enumerate(sizes)]
+    rows = quality_rules.judged(documents(spark, gibberish + prose), found, limits).collect()
+    assert {r.doc_id: r.kept for r in rows} == {i: i >= 100 for i, _, _ in gibberish + prose}
+    # Its characters are those of the language: only the words tell.
+    assert all(r.char_distance < limits.characters and not r.base_failed for r in rows)
+
+
+def test_one_nearest_language_for_both_histograms(spark, limits):
+    docs = documents(spark, [(1, "the cat of the hill " * 50, "en"), (2, "DER HUND 12 34 DIE " * 50, "de")])
+    mixed = documents(spark, [(3, "THE CAT OF THE HILL " * 3, None)])  # words of one language, letters of the other
+    found = quality_rules.references(docs, limits)
+    apart = [quality_rules.judged(mixed, {lang: found[lang]}, limits).collect()[0] for lang in ("en", "de")]
+    both = quality_rules.judged(mixed, found, limits).collect()[0]
+    assert (both.char_distance, both.word_distance) in [(r.char_distance, r.word_distance) for r in apart]
+
+
 def test_quality_without_labels_or_rows(spark, limits):
     unlabelled = documents(spark, [(1, "a few plain words that pass all of the base rules", None), (2, None, None)])
     found = quality_rules.references(unlabelled, limits)

@@ -11,12 +11,17 @@ common words are each language's most frequent ones (a documented number). Spark
 sums both, partly in the tasks. What reaches the driver and the tasks is bounded
 by ``MAX_LANGUAGES`` languages (the most frequent ones) times those numbers.
 
-A text is taken for the language it is nearest to, so its own label isn't used.
-It is rejected if its nearest language is farther than ``Limits.characters`` by
-characters, or ``Limits.words`` by words. Short texts are far from any language by
-chance, so both limits are raised by ``allowance / sqrt(n)`` for n characters or
-words, and texts of fewer than ``min_chars`` word characters or ``min_words``
-words are not judged by the respective histogram at all.
+A text is taken for the language it is nearest to by both histograms together (the
+least sum of the squares), so its own label isn't used. It is rejected if that
+language is farther than ``Limits.characters`` by characters, or ``Limits.words``
+by words. As most words are not common ones, a text without any common word is not
+farther than that from many languages. So a text with fewer common words than its
+language is also rejected by the distance of the two sums, of common and of other
+words: its limit is the share ``Limits.common`` of the distance at which a text
+without any common word is. Short texts are far from any language by chance, so all
+limits are raised by ``allowance / sqrt(n)`` for n characters or words, and texts of
+fewer than ``min_chars`` word characters or ``min_words`` words are not judged by
+the respective histogram at all.
 
 Null and empty texts have no words and fail the base rules. Without any labelled
 text there are no references and only the base rules judge. Repeated rows are
@@ -54,6 +59,7 @@ class Limits:
     min_chars: int = 200
     characters: float = 0.25
     words: float = 0.45
+    common: float = 0.5  # of the distance of a text without common words
     allowance: float = 1.0  # over the square root of the number of characters or words
     common_words: int = 100
 
@@ -171,6 +177,16 @@ def distance(shares: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((own + other) / 2, 0, 1))
 
 
+def lack_of_common(others: np.ndarray, reference: float) -> tuple[np.ndarray, float]:
+    """Distance of the sums of common and of other words to a reference, and that of a text without common words.
+
+    ``others`` are the texts' shares of other words; the distance is 0 where a text has no more of them than the reference.
+    """
+    both = np.array([1 - reference, reference])
+    most = distance(np.array([[0.0, 1.0]]), both)[0]
+    return np.where(others > reference, distance(np.stack((1 - others, others), 1), both), 0), float(most)
+
+
 class Judge:
     """Counts and distances of many texts at once."""
 
@@ -182,22 +198,28 @@ class Judge:
             order = np.argsort(hashes)
             self.references.append((classes, hashes[order], np.append(shares[:-1][order], shares[-1])))
 
-    def distances(self, histograms: np.ndarray, folded: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least distance of each text to a language, by characters and by words."""
+    def distances(self, histograms: np.ndarray, folded: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distances of each text to its nearest language: by characters, by words, by lack of common words, and the most that last can be."""
         rows = len(counts)
-        by_chars, by_words = np.ones(rows), np.ones(rows)
         if not self.references:
-            return np.zeros(rows), np.zeros(rows)
+            return (np.zeros(rows),) * 4
+        nearest = np.full(rows, np.inf)
+        by_chars, by_words, lack, most = np.ones(rows), np.ones(rows), np.zeros(rows), np.zeros(rows)
         shares = histograms / np.maximum(histograms.sum(1, keepdims=True), 1)
         owner = np.repeat(np.arange(rows), counts)
         for classes, hashes, reference in self.references:
-            by_chars = np.minimum(by_chars, distance(shares, classes))
+            chars = distance(shares, classes)
             place = np.minimum(np.searchsorted(hashes, folded), len(hashes) - 1)
             place = np.where(hashes[place] == folded, place, len(hashes))
             width = len(hashes) + 1
             own = np.bincount(owner * width + place, minlength=rows * width).reshape(rows, width)
-            by_words = np.minimum(by_words, distance(own / np.maximum(own.sum(1, keepdims=True), 1), reference))
-        return by_chars, by_words
+            own = own / np.maximum(own.sum(1, keepdims=True), 1)
+            words = distance(own, reference)
+            near = chars**2 + words**2 < nearest
+            nearest[near] = (chars**2 + words**2)[near]
+            by_chars[near], by_words[near] = chars[near], words[near]
+            lack[near], most[near] = lack_of_common(own[near, -1], reference[-1])
+        return by_chars, by_words, lack, most
 
 
 def judged(docs: DataFrame, found: dict, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,11 +241,11 @@ def judged(docs: DataFrame, found: dict, limits: Limits = Limits(), key: str = "
                 chars = histograms.sum(1) - blanks
                 lines = np.array([duplicate_lines(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
                 repeats = repeated_words(words, counts)
-                by_chars, by_words = judge.distances(histograms, folded, counts)
+                by_chars, by_words, lack, most = judge.distances(histograms, folded, counts)
                 failed = (counts < 10) | (100 * repeats > 20 * counts)
                 slack = [limits.allowance / np.sqrt(np.maximum(n, 1)) for n in (chars, counts)]
                 far = (chars >= limits.min_chars) & (by_chars > limits.characters + slack[0])
-                far |= (counts >= limits.min_words) & (by_words > limits.words + slack[1])
+                far |= (counts >= limits.min_words) & ((by_words > limits.words + slack[1]) | (lack > limits.common * most + slack[1]))
                 columns = [counts, chars, histograms[:, SYMBOL], lines, repeats]
                 yield pa.record_batch(
                     [batch.column(0).slice(start, stop - start), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed), pa.array(by_chars), pa.array(by_words), pa.array(~failed & ~far)],
