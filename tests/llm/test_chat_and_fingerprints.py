@@ -6,6 +6,7 @@ from llm.llm_helpers import WORD, documents, texts
 from pyspark.sql import functions as F
 
 from vocabmill.llm import chat, order_minhash as om
+from vocabmill.llm.queries import op9_order_minhash
 
 SCHEMA = "conv_id long, turn long, role string, text string, conv string, part long, position long, a string"
 
@@ -131,6 +132,53 @@ def test_fingerprints_are_sensitive_to_order(spark):
     assert prints[1] == prints[4] != prints[2]
 
 
+def plain_filled_slots(text):
+    words = WORD.findall(text or "")
+    if not words:
+        return []
+    hashes = [long_hash(42, w) for w in words]
+    kmers = sorted(packed(long_hash(42, *map(long, hashes[i : i + om.K])), i) for i in range(max(1, len(words) - om.K + 1)))
+    numbered, seen = [], {}
+    for value in kmers:
+        h = value >> om.POSITION_BITS
+        occurrence = seen[h] = seen.get(h, -1) + 1
+        numbered.append(packed(long_hash(42, long(h), (occurrence, 4)), value & (2**om.POSITION_BITS - 1)))
+    result = []
+    for slot in range(om.SLOTS):
+        # The slot's start becomes the least hash of all.
+        chosen = sorted(numbered, key=lambda v: (v - (slot << 57)) % 2**63)[:2]
+        h = long_hash(42, *(long(v >> om.POSITION_BITS) for v in sorted(chosen, key=lambda v: v & (2**om.POSITION_BITS - 1))))
+        result.append(slot << om.HASH_BITS | h & (2**om.HASH_BITS - 1))
+    return result
+
+
+def test_filled_slots_against_a_plain_version(spark):
+    rows = [r for r in texts() if len(r[1] or "") < 20_000]
+    for r in om.with_slots(documents(spark, rows).select("doc_id", "text"), "text", "slots", fill=True).collect():
+        assert r.slots == plain_filled_slots(r.text), (r.text or "")[:40]
+
+
+def test_short_texts_are_sensitive_to_order(spark):
+    sizes, each = (20, 40, 60, 100, 200), 30
+    rows = []
+    for n in sizes:
+        for k in range(each):
+            words = [f"w{n}x{k}x{i}" for i in range(n)]
+            rows += [(len(rows), " ".join(words), None), (len(rows) + 1, " ".join(words[n // 2 :] + words[: n // 2]), None)]
+
+    # Both halves swapped: of the pairs of k-mers, a half keeps its order, and fewer have both.
+    slots = {r.doc_id: set(r.slots) for r in om.with_slots(documents(spark, rows).select("doc_id", "text"), "text", "slots", fill=True).collect()}
+    pairs = [len(slots[i] & slots[i + 1]) / max(len(slots[i]), len(slots[i + 1])) for i in range(0, len(rows), 2)]
+    near = {n: sum(pairs[k * each : (k + 1) * each]) / each for k, n in enumerate(sizes)}
+    assert all(0.15 < x < 0.55 for x in near.values()), near
+
+
+def test_query_fills_slots(spark, tmp_path):
+    documents(spark, [(1, "a b c d e f g h", None), (2, "a b c", None), (3, "", None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.fingerprint for r in op9_order_minhash(spark, str(tmp_path)).collect()}
+    assert {i: len(f) for i, f in rows.items()} == {1: 6 * om.SLOTS, 2: 6 * om.SLOTS, 3: 0}
+
+
 def test_fingerprints_of_one_and_no_document(spark):
     one = om.compare_edited(documents(spark, [(5, "a b c d", None)])).collect()
     assert [(r.doc_id, r.near_next) for r in one] == [(5, 1.0)]

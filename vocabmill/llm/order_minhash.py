@@ -10,6 +10,14 @@ fingerprint. As tuples keep the order of the text, moved passages change the
 fingerprint as well as changed words do: it is sensitive to the edit distance.
 One hash over all k-mers, split into slots, selects for all slots in one pass.
 
+With ``fill``, as the query has it, a slot with fewer than two k-mers goes on into
+the following slots, after the last into the first: it has the two k-mers that come
+next from its start on the circle of hashes. For each slot these are the two minima
+of the whole text under a hash of its own (the distance from the slot's start), as
+Order MinHash asks for; slots of short texts only depend on each other. Then all
+slots of a text with a word are filled. Without ``fill`` such slots have one k-mer,
+which has no order, or none.
+
 The likeness of two fingerprints is the number of slots with the same hash over
 the greater number of filled slots. Equal texts have equal fingerprints, empty
 texts the empty one; two empty fingerprints have likeness 1.
@@ -47,7 +55,7 @@ def _index(size: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def with_slots(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_slots(df: DataFrame, text: str, out: str, fill: bool = False) -> DataFrame:
     """``df`` with the filled slots of ``text``: an array of ``slot << HASH_BITS | hash``, by slot."""
     low = (1 << POSITION_BITS) - 1
     old = df.columns
@@ -87,15 +95,37 @@ def with_slots(df: DataFrame, text: str, out: str) -> DataFrame:
     slot_bits = 63 - (SLOTS - 1).bit_length()
     df = _step(df, "b_", firsts("s_", slot_bits))
 
-    def slot(i: Column) -> Column:
+    def place(i: Column) -> Column:
+        return F.shiftright(at("s_", i), slot_bits)
+
+    def hashed(i: Column) -> Column:
         first, second = at("s_", i), at("s_", i + 1)
-        both = second.isNotNull() & (F.shiftright(first, slot_bits) == F.shiftright(second, slot_bits))
+        if fill:
+            second = F.when(F.size("s_") > 1, F.coalesce(second, at("s_", F.lit(0))))
+            both = second.isNotNull()
+        else:
+            both = second.isNotNull() & (F.shiftright(first, slot_bits) == F.shiftright(second, slot_bits))
         a, b = F.shiftright(first, POSITION_BITS), F.shiftright(second, POSITION_BITS)
         ordered = first.bitwiseAND(F.lit(low)) <= second.bitwiseAND(F.lit(low))
         value = F.when(~both, F.xxhash64(a)).when(ordered, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-        return F.shiftleft(F.shiftright(first, slot_bits), HASH_BITS).bitwiseOR(value.bitwiseAND(F.lit((1 << HASH_BITS) - 1))).cast("int")
+        return value.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+
+    def slot(number: Column, value: Column) -> Column:
+        return F.shiftleft(number, HASH_BITS).bitwiseOR(value).cast("int")
+
+    if not fill:
+        return _step(df, out, F.transform("b_", lambda i: slot(place(i), hashed(i)))).select(*old, out)
+    # One more at the end: the first k-mers again, for the slots after the last one that has any.
+    df = _step(df, "v_", F.transform("b_", hashed))
+    df = _step(df, "p_", F.concat(F.transform("b_", place), F.array(F.lit(SLOTS - 1).cast("long"))))
+
+    def reached(value: Column, i: Column) -> Column:
+        """All slots after the one before, up to this one."""
+        start = F.coalesce(at("p_", i - 1), F.lit(-1)) + 1
+        return F.when(start <= at("p_", i), F.transform(F.sequence(start, at("p_", i)), lambda number: slot(number, value))).otherwise(F.array().cast("array<int>"))
 
-    return _step(df, out, F.transform("b_", slot)).select(*old, out)
+    filled = F.flatten(F.transform(F.concat("v_", F.slice("v_", 1, 1)), reached))
+    return _step(df, out, filled).select(*old, out)
 
 
 def fingerprint(slots: Column) -> Column:
@@ -108,9 +138,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(most, F.lit(1)))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", fill: bool = False) -> DataFrame:
     """``key, fingerprint`` of every row."""
-    rows = with_slots(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "slots")
+    rows = with_slots(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "slots", fill)
     return rows.select(F.col("key").alias(key), fingerprint(F.col("slots")).alias("fingerprint"))
 
 
@@ -132,7 +162,7 @@ def _neighbours(ids: DataFrame) -> DataFrame:
     return following.join(F.broadcast(follow), "range").select("row", F.coalesce("next_row", "head").alias("next_row"))
 
 
-def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", fill: bool = False) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The edited text has its last third replaced by as much of the start of the next document.
@@ -142,14 +172,14 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sized = rows.select("id", "row", F.length("text").alias("n")).distinct()
     pairs = stored(_neighbours(sized.select("id", "row")).join(sized.select("row", "n"), "row"), "neighbours")
     # One shuffle of the texts serves both joins: both read all of these columns.
-    marked = with_slots(rows, "text", "slots").select("id", "row", "text", "slots").repartition("row")
+    marked = with_slots(rows, "text", "slots", fill).select("id", "row", "text", "slots").repartition("row")
     other = marked.select(F.col("row").alias("next_row"), F.col("id").alias("next_id"), F.col("text").alias("next_text"), F.col("slots").alias("next_slots"))
     third = F.floor(F.col("n") / 3).cast("int")
     nexts = pairs.join(other, "next_row").select("row", "next_id", F.expr("substring(next_text, 1, cast(floor(n / 3) as int))").alias("start"), "next_slots")
     nexts = nexts.dropDuplicates(["row"])
     both = marked.join(nexts, "row").withColumn("n", F.length("text"))
     both = both.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n") - third).cast("int")), F.col("start")))
-    both = with_slots(both, "edited", "edited_slots")
+    both = with_slots(both, "edited", "edited_slots", fill)
     return both.select(
         F.col("id").alias(key),
         F.col("n").cast("long").alias("n_chars"),
