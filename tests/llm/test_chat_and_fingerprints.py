@@ -179,6 +179,19 @@ def test_query_fills_slots(spark, tmp_path):
     assert {i: len(f) for i, f in rows.items()} == {1: 6 * om.SLOTS, 2: 6 * om.SLOTS, 3: 0}
 
 
+def test_texts_without_blanks(spark):
+    chars = "".join(chr(0x4E00 + i) for i in range(300))
+    latin = "".join(chr(97 + int(d, 16)) for d in hashlib.sha512(b"x").hexdigest() * 3)
+    spaced = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, chars, None), (2, latin, None), (3, spaced, None), (4, "a" * om.LONG_WORD, None), (5, "", None)]
+    near = {r.doc_id: r.near_edited for r in om.compare_edited(documents(spark, rows), fill=True, split=True).collect()}
+    assert near[1] > 0.2 and near[2] > 0.2, near
+    docs = documents(spark, [*rows, (6, " ".join(chars), None), (7, " ".join(latin), None)]).select("doc_id", "text")
+    slots = {r.doc_id: r.slots for r in om.with_slots(docs, "text", "slots", fill=True, split=True).collect()}
+    assert slots[1] == slots[6] and slots[2] == slots[7] and slots[5] == []
+    assert slots[3] == plain_filled_slots(spaced) and slots[4] == plain_filled_slots("a" * om.LONG_WORD)
+
+
 def test_fingerprints_of_one_and_no_document(spark):
     one = om.compare_edited(documents(spark, [(5, "a b c d", None)])).collect()
     assert [(r.doc_id, r.near_next) for r in one] == [(5, 1.0)]

@@ -18,6 +18,10 @@ Order MinHash asks for; slots of short texts only depend on each other. Then all
 slots of a text with a word are filled. Without ``fill`` such slots have one k-mer,
 which has no order, or none.
 
+With ``split``, as the query has it, letters of the scripts that are written without
+blanks between words are words by themselves, and so are the characters of a word
+of more than ``LONG_WORD`` characters. Otherwise a text without blanks is one k-mer.
+
 The likeness of two fingerprints is the number of slots with the same hash over
 the greater number of filled slots. Equal texts have equal fingerprints, empty
 texts the empty one; two empty fingerprints have likeness 1.
@@ -43,6 +47,9 @@ SLOTS = 64
 POSITION_BITS = 24
 #: Bits of a slot's hash in the fingerprint.
 HASH_BITS = 18
+#: Characters of a word; a longer one is split into characters.
+LONG_WORD = 64
+UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 
 
 def _step(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -55,7 +62,15 @@ def _index(size: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def with_slots(df: DataFrame, text: str, out: str, fill: bool = False) -> DataFrame:
+def _words(text: Column, split: bool) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    if split:
+        # The first test reads most texts only once, and copies none.
+        text = F.when(text.rlike(f"[{UNSPACED}]"), F.regexp_replace(text, f"([{UNSPACED}])", " $1 ")).otherwise(text)
+    return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
+
+
+def with_slots(df: DataFrame, text: str, out: str, fill: bool = False, split: bool = False) -> DataFrame:
     """``df`` with the filled slots of ``text``: an array of ``slot << HASH_BITS | hash``, by slot."""
     low = (1 << POSITION_BITS) - 1
     old = df.columns
@@ -63,7 +78,12 @@ def with_slots(df: DataFrame, text: str, out: str, fill: bool = False) -> DataFr
     def at(array: str, i: Column) -> Column:
         return F.get(F.col(array), i)
 
-    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    words = _words(F.col(text), split)
+    if split:
+        df = _step(df, "w_", words)
+        parts = F.flatten(F.transform("w_", lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+        # No word has more characters than bytes.
+        words = F.when(F.exists("w_", lambda w: F.octet_length(w) > LONG_WORD), parts).otherwise(F.col("w_"))
     df = _step(df, "h_", F.transform(words, lambda w: F.xxhash64(w)))
     size = F.size("h_")
     runs = F.when(size == 0, 0).otherwise(F.greatest(size - (K - 1), F.lit(1)))
@@ -138,9 +158,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(most, F.lit(1)))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", fill: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", fill: bool = False, split: bool = False) -> DataFrame:
     """``key, fingerprint`` of every row."""
-    rows = with_slots(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "slots", fill)
+    rows = with_slots(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "slots", fill, split)
     return rows.select(F.col("key").alias(key), fingerprint(F.col("slots")).alias("fingerprint"))
 
 
@@ -162,7 +182,7 @@ def _neighbours(ids: DataFrame) -> DataFrame:
     return following.join(F.broadcast(follow), "range").select("row", F.coalesce("next_row", "head").alias("next_row"))
 
 
-def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", fill: bool = False) -> DataFrame:
+def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", fill: bool = False, split: bool = False) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The edited text has its last third replaced by as much of the start of the next document.
@@ -172,14 +192,14 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", fil
     sized = rows.select("id", "row", F.length("text").alias("n")).distinct()
     pairs = stored(_neighbours(sized.select("id", "row")).join(sized.select("row", "n"), "row"), "neighbours")
     # One shuffle of the texts serves both joins: both read all of these columns.
-    marked = with_slots(rows, "text", "slots", fill).select("id", "row", "text", "slots").repartition("row")
+    marked = with_slots(rows, "text", "slots", fill, split).select("id", "row", "text", "slots").repartition("row")
     other = marked.select(F.col("row").alias("next_row"), F.col("id").alias("next_id"), F.col("text").alias("next_text"), F.col("slots").alias("next_slots"))
     third = F.floor(F.col("n") / 3).cast("int")
     nexts = pairs.join(other, "next_row").select("row", "next_id", F.expr("substring(next_text, 1, cast(floor(n / 3) as int))").alias("start"), "next_slots")
     nexts = nexts.dropDuplicates(["row"])
     both = marked.join(nexts, "row").withColumn("n", F.length("text"))
     both = both.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n") - third).cast("int")), F.col("start")))
-    both = with_slots(both, "edited", "edited_slots", fill)
+    both = with_slots(both, "edited", "edited_slots", fill, split)
     return both.select(
         F.col("id").alias(key),
         F.col("n").cast("long").alias("n_chars"),

@@ -101,7 +101,7 @@ def op7_chat_snapshots(spark, sf_dir):
 
 @query
 def op9_order_minhash(spark, sf_dir):
-    return order_minhash.compare_edited(table(spark, sf_dir, "documents"), fill=True)
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"), fill=True, split=True)
 
 
 @query
