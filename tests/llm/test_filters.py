@@ -141,6 +141,17 @@ def test_language_without_labels(spark):
     assert language_id.predict(documents(spark, []), None).collect() == []
 
 
+def test_sample_is_bounded_without_ids(spark):
+    rows = [(None, f"no id {i}", "en") for i in range(400)] + [(5, f"one id {i}", "en") for i in range(400)]
+    rows += [(i, f"own id {i}", "en") for i in range(100, 500)] + [(None, "the same row", "en")] * 300 + [(i, f"de {i}", "de") for i in range(20)]
+    params = language_id.Params(per_language=60)
+    found = language_id.sample(documents(spark, rows), params, "doc_id", "lang").collect()
+    assert len(found) == len({(r.doc_id, r.text) for r in found})
+    assert Counter(r.lang for r in found) == {"en": 60, "de": 20}
+    kinds = Counter(r.text[:6] for r in found if r.lang == "en")
+    assert all(kinds[kind] > 5 for kind in ("no id ", "one id", "own id"))
+
+
 def test_subwords_do_not_depend_on_blocks():
     text = "Der Hund, die Katze! 3 été"
     whole, sizes, letters = language_id.subwords([(0, text, True)], 15)

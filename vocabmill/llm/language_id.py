@@ -4,10 +4,11 @@ Subwords are the runs of two and three characters of the lower-cased text in
 which everything but letters is a blank; each is hashed into ``buckets``. A text
 is the average of its subwords' embeddings, and a linear softmax over it gives
 the languages' probabilities. Both layers are trained together by stochastic
-gradient descent in numpy, on a bounded sample: up to about ``per_language`` of
-the labelled rows of each of the ``MAX_LANGUAGES`` most frequent languages, those
-with the least hash of their id. The sample's texts become counts of buckets in
-the tasks; the driver never sees texts.
+gradient descent in numpy, on a bounded sample: up to ``per_language`` of the
+labelled rows of each of the ``MAX_LANGUAGES`` most frequent languages, those with
+the least hash of their id and text. Rows that repeat both count once, so neither
+rows without an id nor repeated ones outweigh others. The sample's texts become
+counts of buckets in the tasks; the driver never sees texts.
 
 A part of the sample is kept from training to calibrate: it gives a temperature,
 which makes the score a probability, and the score below which a prediction is
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocabmill.llm.shared import map_batches, text_blocks
@@ -123,16 +124,30 @@ def bags(docs: DataFrame, bits: int, text: str, *columns: str) -> DataFrame:
     return map_batches(docs.select(*columns, F.col(text)), run, schema)
 
 
-def sample(docs: DataFrame, params: Params, key: str, lang: str) -> DataFrame:
-    """About ``per_language`` rows of each language, by the least hashes of their ids."""
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
+#: Rows that the exact limit is taken from, as a multiple of it: counts of distinct rows are estimates.
+MARGIN = 1.5
+
+
+def sample(docs: DataFrame, params: Params, key: str, lang: str, text: str = "text") -> DataFrame:
+    """Up to ``per_language`` distinct rows of each language, by the least hashes of their ids and texts."""
     span = 1 << 62
-    chosen = F.lit(False)
-    number = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 2)
-    for name, count in ((r[lang], r["count"]) for r in counts.collect()):
-        most = min(span, span * params.per_language // count)
-        chosen = F.when(F.col(lang) == name, number < F.lit(most)).otherwise(chosen)
-    return docs.where(chosen).withColumn("order_", number)
+    numbered = docs.withColumn("order_", F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.col(text)), 2))
+    labelled = numbered.where(F.col(lang).isNotNull())
+    counts = labelled.groupBy(lang).agg(F.count("*").alias("count"), F.approx_count_distinct("order_").alias("distinct"))
+    found = counts.orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+
+    def below(limits: dict) -> Column:
+        chosen = F.lit(False)
+        for name, most in limits.items():
+            chosen = F.when(F.col(lang) == name, F.col("order_") <= F.lit(most)).otherwise(chosen)
+        return chosen
+
+    rough = {r[lang]: min(span, int(span * MARGIN * params.per_language) // max(r["distinct"], 1)) for r in found}
+    # Hashes are even, so a language has about MARGIN * per_language of them here.
+    least = labelled.where(below(rough)).select(lang, "order_").distinct()
+    ranked = least.withColumn("place", F.row_number().over(Window.partitionBy(lang).orderBy("order_")))
+    exact = ranked.where(F.col("place") <= params.per_language).groupBy(lang).agg(F.max("order_").alias("most"))
+    return labelled.where(below({r[lang]: r["most"] for r in exact.collect()})).dropDuplicates([lang, "order_"])
 
 
 def train(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
