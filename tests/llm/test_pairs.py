@@ -1,0 +1,320 @@
+"""SimHash, spelling variants and hard negatives against plain versions."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from llm_helpers import FOLD, SCHEMA, WORD, documents, texts
+
+from vocabmill.llm import hard_negatives, simhash, spelling
+
+
+# SimHash
+
+
+def plain_fingerprint(text):
+    words = WORD.findall((text or "").translate(FOLD))
+    parts = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def least_reachable(nodes, linked):
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in nodes}
+
+
+def plain_simhash(rows, radius=4):
+    prints = [plain_fingerprint(text) for _, text, _ in rows]
+    nodes = sorted({(i, p) for (i, _, _), p in zip(rows, prints, strict=True) if i is not None})
+    linked = [(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :] if (a[1] ^ b[1]).bit_count() <= radius]
+    found = least_reachable(nodes, linked)
+    return sorted((i if i is not None else -1, f"{p:016x}", found[i, p][0] if i is not None else None) for (i, _, _), p in zip(rows, prints, strict=True))
+
+
+@pytest.fixture(scope="module")
+def near_texts():
+    rng = random.Random(3)
+    rows = list(texts())
+    base = " ".join(f"word{rng.randrange(500)}" for _ in range(400)).split()
+    for i in range(200, 240):  # a chain of small edits
+        base[rng.randrange(len(base))] = f"other{i}"
+        rows.append((i, " ".join(base), "en"))
+    return rows
+
+
+@pytest.mark.parametrize("params", [simhash.Params(), simhash.Params(tile=3), simhash.Params(radius=9, tile=10)])
+def test_simhash_equals_brute_force(spark, near_texts, params):
+    found = simhash.simhash_duplicates(documents(spark, near_texts), params)
+    assert found.columns == ["doc_id", "fingerprint", "component_id"]
+    rows = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in found.collect())
+    assert rows == plain_simhash(near_texts, params.radius)
+
+
+def test_simhash_of_no_rows(spark):
+    assert simhash.simhash_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_are_hashed_piece_by_piece():
+    rng = random.Random(1)
+    text = "".join(rng.choice(["a", "Bc", "ä", " ", "\t", "\n", "　"]) for _ in range(3000)).encode()
+    pieces = [word for block in simhash.word_blocks(text, 50) for word in block]
+    assert pieces == text.split()
+    long_text = " ".join(f"W{i % 7919}" for i in range(300_000))
+    assert simhash.fingerprint(long_text) == plain_fingerprint(long_text)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4, 12])
+def test_forest_connects_what_links_connect(radius):
+    rng = np.random.default_rng(radius)
+    centres = rng.integers(0, 1 << 63, 12, np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 63, (300, 4)).astype(np.uint64)
+    values = np.unique(np.bitwise_xor.reduce(flips, axis=1) ^ centres[rng.integers(0, 12, 300)])
+    rng.shuffle(values)
+    a, b = values[:140], values[140:]
+    for left, right in ((a, b), (values, None)):
+        both = values.tolist()
+        pairs = [(i, j) for i in range(len(both)) for j in range(i + 1, len(both)) if (both[i] ^ both[j]).bit_count() <= radius]
+        if right is not None:
+            pairs = [(i, j) for i, j in pairs if i < len(a) <= j]
+        expected = least_reachable(range(len(both)), pairs)
+        assert simhash.forest(left, right, radius).tolist() == [expected[i] for i in range(len(both))]
+
+
+def test_tile_pairs_hold_all_near_pairs_once_and_no_distant_cells(spark):
+    rng = np.random.default_rng(7)
+    values = rng.integers(-(1 << 63), (1 << 63) - 1, 400).tolist()
+    classes = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, fingerprint long")
+    met, cells = Counter(), []
+    for row in simhash.tile_pairs(classes, simhash.Params(tile=8)).collect():
+        cells.append(abs(row.a.low - row.b.low) + abs(row.a.high - row.b.high))
+        for x in row.left:
+            for y in row.right:
+                if row.a != row.b or x.id < y.id:
+                    met[min(x.id, y.id), max(x.id, y.id)] += 1
+    assert max(cells) <= 4 and max(met.values()) == 1
+    mask = (1 << 32) - 1
+    halves = [((v & mask).bit_count(), (v >> 32 & mask).bit_count()) for v in values]
+    for i in range(400):
+        for j in range(i + 1, 400):
+            near = abs(halves[i][0] - halves[j][0]) + abs(halves[i][1] - halves[j][1]) <= 4
+            assert ((i, j) in met) == near
+
+
+# Spelling
+
+
+def plain_words(rows):
+    found = Counter()
+    for i, text, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(FOLD)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= 7 and n >= 2}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def plain_variants(rows):
+    words = plain_words(rows)
+    by_length = defaultdict(list)
+    for w in words:
+        by_length[len(w)].append(w)
+    near = {w: [x for k in (-1, 0, 1) for x in by_length[len(w) + k] if one_edit(w, x)] for w in words}
+    forms = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        forms[w] = best if best and words[best] >= 10 * words[w] else None
+    result = []
+    for w in words:
+        root = w
+        while forms[root]:
+            root = forms[root]
+        result.append((w, forms[w], root, words[w], len(near[w]), words[forms[w]] if forms[w] else None))
+    return sorted(result, key=str)
+
+
+def variant_rows():
+    """Words in steps of occurrences, with variants of variants, ties, accents and long texts."""
+    rng = random.Random(11)
+    rows = [(i, text) for i, text, _ in texts()]
+    stems = ["handbuch", "Überstraße", "committee", "aaaaaaaa", "abababab", "naïveté", "ÄÖÜäöüß", "Xcommitteex", "anthropic", "zzzzzzzy"]
+    for k, stem in enumerate(stems):
+        own = [stem]
+        for step in range(3):
+            w = own[-1]
+            at = rng.randrange(len(w))
+            own.append(rng.choice([w[:at] + w[at + 1 :], w[:at] + rng.choice("abé") + w[at:], w[:at] + rng.choice("xyz") + w[at + 1 :]]))
+        rows += [(1000 + 10 * k + j, f" {w}," * (4 * 10 ** (3 - j))) for j, w in enumerate(own)]
+    rows += [(2000, "tiesaaaa " * 100 + "tiesaaab " * 100 + "tiesaaac " * 10), (2000, "tiesaaaa tiesaaab"), (None, "tiesaaad tiesaaad")]
+    return rows
+
+
+def test_variants_equal_brute_force(spark):
+    rows = variant_rows()
+    docs = documents(spark, [(i, t, None) for i, t in rows])
+    found = spelling.variants(docs)
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    expected = plain_variants(rows)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == expected
+    assert max(sum(1 for x in expected if x[2] == w and x[0] != w) for w in {x[2] for x in expected}) >= 3
+    assert any(x[1] and x[1] != x[2] for x in expected)
+
+
+def test_variants_of_no_rows(spark):
+    assert spelling.variants(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdé", "abcdefghijklmnop"])
+def test_near_words_share_a_key(letters):
+    """Of two near words, the one whose third bigram comes earlier looks the other up."""
+    rng = random.Random(len(letters))
+    words = set()
+    for _ in range(150):
+        w = "".join(rng.choice(letters) for _ in range(rng.randrange(7, 14)))
+        at = rng.randrange(len(w) + 1)
+        words |= {w, w[:at] + rng.choice(letters) + w[at:], w[:at] + rng.choice(letters) + w[at + 1 :]}
+    words = sorted(w for w in words if len(w) >= 7)
+    counts = Counter(g for w in words for g in spelling.grams(w))
+    order = {g: (k, n) for k, (n, g) in enumerate(sorted((n, g) for g, n in counts.items()))}
+    index = {w: spelling.index_keys(w, order, 7) for w in words}
+    probes = {w: spelling.probe_keys(w, order, 7) for w in words}
+    last = {w: sorted(order[g][0] for g in spelling.grams(w))[2] for w in words}
+    pairs = [(a, b) for a in words for b in words if one_edit(a, b) and last[a] <= last[b]]
+    assert len(pairs) > 150
+    assert all(probes[a] & index[b] for a, b in pairs)
+    distant = [(a, b) for a in words for b in words if a != b and not one_edit(a, b)]
+    if len(letters) > 2:
+        assert sum(bool(probes[a] & index[b]) for a, b in distant) < 0.01 * len(distant)
+
+
+def test_pivots_are_the_cheapest_disjoint_bigrams():
+    rng = random.Random(2)
+    for _ in range(300):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(7, 12)))
+        names = [a + b for a in "abcd" for b in "abcd"]
+        order = {g: (k, 3 * k // 2 + 1) for k, g in enumerate(rng.sample(names, len(names)))}
+        starts = spelling.prefix(w, order)
+        chosen = spelling.pivots(w, order)
+        cost = {i: order[w[i : i + 2]][1] for i in starts}
+        least = min(cost[i] + cost[j] for i in starts for j in starts if j >= i + 2)
+        assert len(chosen) == 2 and chosen[1] >= chosen[0] + 2 and sum(cost[i] for i in chosen) == least
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abÄß") for _ in range(rng.randrange(1, 30))) for _ in range(500))
+    whole = spelling.words_of(5, text)
+    monkeypatch.setattr(spelling, "BLOCK_CHARS", 40)
+    assert spelling.words_of(5, text) == whole and whole
+
+
+# Hard negatives
+
+NEGATIVE_SCHEMA = "vec_id long, embedding array<double>, label int, id string, score int, anchor string, `rank` int, `down` string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, label, "x", 1, "y", 2, "z") for i, v, label in rows], NEGATIVE_SCHEMA).repartition(3)
+
+
+def plain_negatives(rows):
+    kept = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept[i, label, tuple(math.floor(256 * x) for x in v)] = None
+    clip = 2**63 - 1
+    result = []
+    for a in kept:
+        if a[0] % 100:
+            continue
+        scored = {(max(-clip, min(clip, sum(x * y for x, y in zip(a[2], b[2], strict=True)))), b[0], b[1] == a[1]) for b in kept if b[0] != a[0] and len(b[2]) == len(a[2])}
+        order = sorted(scored, key=lambda x: (-x[0], x[1]))
+        for score, i, _ in [x for x in order if x[2]][:5]:
+            own = [x for x in order if not x[2] and 30 * score <= 100 * x[0] <= 90 * score][:10]
+            result += [(a[0], i, k + 1, x[1], score, x[0]) for k, x in enumerate(own)]
+    return sorted(result)
+
+
+def vector_rows():
+    """Clusters, ties, repeated rows, other lengths, zero, empty and huge vectors, and all kinds of missing values."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((5, 8)) / 3
+    rows = [(i, (centres[i % 5] + rng.standard_normal(8) * (0.02 if i % 3 else 0.4)).tolist(), int(rng.integers(0, 3))) for i in range(700)]
+    rows += [(i, [0.5, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.125], i % 3) for i in range(700, 800)]  # copies
+    rows += [(i, [0.0] * 8, i % 2) for i in range(800, 805)]
+    rows += [(i, rng.standard_normal(3).tolist(), i % 2) for i in range(880, 930)]  # other lengths
+    rows += [(i, [], i % 2) for i in range(990, 1003)]
+    rows += [(1100, [1e9] * 8, 0), (1101, [2e9] * 8, 0), (1102, [1.2e9] * 8, 1), (1103, [1.2e4] * 8, 1)]
+    rows += [(1200, [math.nan] * 8, 1), (1201, [math.inf] + [0.0] * 7, 1), (1300, [None] + [0.1] * 7, 1), (1400, None, 1), (1500, [0.1] * 8, None), (None, [0.1] * 8, 1)]
+    rows += [(-100, [0.3] * 8, 1), (-7, [0.2] * 8, 0), (-8, [0.25] * 8, 1)]
+    return rows + rows[::50] + [rows[700]] * 5
+
+
+@pytest.mark.parametrize(
+    "params", [hard_negatives.Params(), hard_negatives.Params(anchors=3, rows=40, references=3), hard_negatives.Params(references=0, rows=100)]
+)
+def test_negatives_equal_brute_force(spark, params, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "_TILE", 64)
+    found = hard_negatives.mine(vectors(spark, vector_rows()), params)
+    assert found.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    expected = plain_negatives(vector_rows())
+    assert sorted(map(tuple, found.collect())) == expected
+    assert {x[0] for x in expected} >= {0, 700, 1100, -100}
+
+
+def test_negatives_without_rows_or_anchors(spark):
+    assert hard_negatives.mine(spark.createDataFrame([], NEGATIVE_SCHEMA)).count() == 0
+    assert hard_negatives.mine(vectors(spark, [(1, [1.0], 0), (2, [1.0], 1)])).count() == 0
+    assert hard_negatives.mine(vectors(spark, [(100, [1.0], 0)])).count() == 0
+
+
+def test_score_bounds_hold_and_exclude():
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 16))
+    rows = hard_negatives.scaled(centres[rng.integers(0, 6, 400)] + 0.1 * rng.standard_normal((400, 16)))
+    rows[0], rows[1] = 0.0, rows[2]
+    references = hard_negatives.choose_references(rows[:64], 6)
+    angles = hard_negatives.angles_to(rows, references).astype(np.float32)
+    norms = np.linalg.norm(rows, axis=1)
+    scores = hard_negatives.exact_scores(rows, rows)
+    low, high = hard_negatives.score_bounds(angles, norms, angles, angles, (norms, norms))
+    assert (low <= scores).all() and (scores <= high).all()
+    best = np.sort(scores, axis=1)[:, -10]
+    assert (high < best[:, None]).mean() > 0.5  # most rows need no score
+    tiles = hard_negatives.score_bounds(angles, norms, angles.min(0)[None], angles.max(0)[None], (norms.min()[None], norms.max()[None]))
+    assert (tiles[0] <= scores.min(1, keepdims=True)).all() and (tiles[1] >= scores.max(1, keepdims=True)).all()
+
+
+def test_rows_are_dealt_into_cells_of_many_tasks(spark):
+    rows = vectors(spark, vector_rows())
+    plan = hard_negatives.mine(rows)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+

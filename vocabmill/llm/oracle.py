@@ -7,8 +7,10 @@ beyond it; those queries are tested against plain versions on small tables.
 from __future__ import annotations
 
 from vocabmill.llm.chat import PART
+from vocabmill.llm.hard_negatives import Params as Negatives
 from vocabmill.llm.host_reputation import LOWER, MOST_SHARED, SUFFIXES, UPPER, Params
 from vocabmill.llm.queries import URL_RULES
+from vocabmill.llm.spelling import LETTERS, Params as Spelling
 
 _TWO = "', '".join(SUFFIXES)
 
@@ -87,5 +89,75 @@ def _op7() -> str:
               FROM placed JOIN kept USING (conv_id) GROUP BY ALL)"""
 
 
+def _op11() -> str:
+    # The checksum's table has a rule: eight steps of the reflected polynomial.
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    p = Spelling()
+    return rf"""
+        WITH RECURSIVE steps AS (SELECT list(list_reduce(range(8), lambda c, k: {step}, i) ORDER BY i) AS t FROM range(256) r(i)),
+        runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{LETTERS}]+')), '{UPPER}', '{LOWER}') AS run FROM documents)
+            GROUP BY ALL),
+        coded AS (
+            SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+        hashed AS (
+            SELECT run, n, xor(list_reduce(
+                list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+            FROM coded, steps),
+        words AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % {p.every} = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n
+                FROM hashed)
+            WHERE len(word) >= {p.shortest} GROUP BY word HAVING sum(n) >= {p.least}),
+        cuts AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM words)),
+        near AS (
+            SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (i, rest) WHERE a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+        best AS (
+            SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+            FROM near GROUP BY word, n),
+        forms AS (
+            SELECT w.word, CASE WHEN other_n >= {p.times} * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near,
+                   CASE WHEN other_n >= {p.times} * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)),
+        chain AS (
+            SELECT word, word AS root FROM forms
+            UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+        roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
+def _op13() -> str:
+    p = Negatives()
+    return f"""
+        WITH r AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM r a JOIN r b ON a.id % {p.every} = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+        positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {p.positives})
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM (
+            SELECT anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+            FROM positives JOIN scored s USING (anchor_id)
+            WHERE NOT same AND {p.low} * positive_score <= 100 * s.score AND 100 * s.score <= {p.high} * positive_score)
+        WHERE rank <= {p.negatives}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": _op3(), "op7_chat_snapshots": _op7()}
+    return {
+        "op3_host_reputation": _op3(),
+        "op7_chat_snapshots": _op7(),
+        "op11_spelling_variants": _op11(),
+        "op13_hard_negatives": _op13(),
+    }

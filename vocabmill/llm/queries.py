@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabmill.llm import bpe, chat, host_reputation, language_id, license_scan, near_duplicates, order_minhash, packing, quality_rules
+from vocabmill.llm import bpe, chat, hard_negatives, host_reputation, language_id, license_scan, near_duplicates, order_minhash, packing, quality_rules
+from vocabmill.llm import simhash, spelling
 from vocabmill.llm import token_counts as counting
 
 VOCABULARY = "word_bpe_49k.json"
@@ -107,3 +108,21 @@ def op9_order_minhash(spark, sf_dir):
 @query
 def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_simhash_duplicates(spark, sf_dir):
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Rows whose id 7 divides get the next label first, so that not all neighbours are of one label."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted))
