@@ -1,9 +1,13 @@
 """Rules that stop a job, on every kind of input."""
 
+from pathlib import Path
+
 import pytest
 from helpers import entries
+from test_sources import gz
 
-from vocabmill import Config, languages, read_columnar, word_list, word_lists, write_columnar
+from vocabmill import Config, all_word_lists, language_word_list, languages, read_columnar, word_list, word_lists, write_columnar
+from vocabmill.sources.catalog import LANGUAGES, file_paths
 
 STRIP = Config(min_matches=0, min_books=0)
 KEEP = Config(strip_capitalized=False, min_matches=0, min_books=0)
@@ -54,22 +58,58 @@ def test_overflow_fails(spark, ansi):
         word_list(entries(spark, rows), ranked).collect()
 
 
-@pytest.mark.parametrize("min_year", [1962, 1500])
+@pytest.mark.parametrize("min_year", [1962, 1500, -100])
 def test_one_entry_per_year(spark, min_year):
     config = Config(False, min_year, 0, 0)
-    good = [("a", year, 1, 1) for year in (1962, 1963, 2012, 2025, 3000, 3000)] + [("b", 1962, 1, 1)]
+    good = [("a", year, 1, 1) for year in (1962, 1963, 2012, 2025, 2026, 2090, 2154, 3000)] + [("b", 1962, 1, 1)]
     assert {r.ngram for r in word_list(entries(spark, good), config).collect()} == {"a", "b"}
-    for year in (1962, 2012, 2025):
+    for year in (1962, 2012, 2025, 2026, 2100, 3000, 2**40):
         with pytest.raises(Exception, match="more than one entry"):
             word_list(entries(spark, [*good, ("c", year, 1, 1), ("c", year, 5, 1)]), config).collect()
-    old = [("a", 1400, 1, 1), ("a", 1400, 1, 1), ("b", 2000, 1, 1)]
+    old = [("a", -200, 1, 1), ("a", -200, 1, 1), ("b", 2000, 1, 1)]
     assert [r.ngram for r in word_list(entries(spark, old), config).collect()] == ["b"]
+    if min_year <= 1500:
+        with pytest.raises(Exception, match="more than one entry"):
+            word_list(entries(spark, [("c", 1500, 1, 1), ("c", 1500, 5, 1)]), config).collect()
 
 
-def test_one_entry_per_year_and_file(spark):
-    rows = [("a", 2000, 1, 1, "f"), ("a", 2000, 1, 1, "g")]
-    assert word_list(entries(spark, rows, "file"), KEEP, scope="file").count() == 1
-    with pytest.raises(Exception, match="more than one entry"):
-        word_list(entries(spark, [*rows, ("a", 2000, 2, 1, "g")], "file"), KEEP, scope="file").collect()
+@pytest.mark.parametrize("scope", ["dataset", "file"])
+def test_one_entry_per_year_and_file(spark, scope):
+    rows = [("a", 2000, 1, 1, "f"), ("a", 2000, 1, 1, "g"), ("a", 2100, 1, 1, "g")]
+    found = word_list(entries(spark, rows, "file"), KEEP, scope=scope, with_stats=True).collect()
+    assert [(r.ngram, r.last_year, r.match_count) for r in found] == [("a", 2100, 3)]
+    for again in (("a", 2000, 2, 1, "g"), ("a", 2100, 2, 1, "g")):
+        with pytest.raises(Exception, match="more than one entry"):
+            word_list(entries(spark, [*rows, again], "file"), KEEP, scope=scope).collect()
     with pytest.raises(Exception, match="more than one entry"):
         word_lists(entries(spark, [("a", 2000, 1, 1, "eng"), ("a", 2000, 2, 1, "eng")], "lang"), languages(spark), KEEP).collect()
+
+
+@pytest.fixture
+def data_files(spark, tmp_path):
+    """Files of all languages, with one word in each language."""
+    for _, short_name, _ in LANGUAGES:
+        for path in file_paths(short_name, str(tmp_path)):
+            gz(Path(path), *(["apple\t2000\t7\t3"] if path.endswith("-a.gz") else []))
+    return tmp_path
+
+
+@pytest.mark.parametrize("year", [1500, 2000, 2026, 2100])
+def test_repeated_years_stop_the_jobs_from_files(spark, data_files, year):
+    base = str(data_files)
+    config = Config(False, 1000, 1, 1)
+
+    def jobs():
+        return [
+            language_word_list(spark, base, "fre", config, with_stats=True),
+            language_word_list(spark, base, "fre", config, scope="file", with_stats=True),
+            all_word_lists(spark, base, config, with_stats=True).where("lang = 'fre'").drop("lang"),
+        ]
+
+    in_b = [p for p in file_paths("fre", base) if p.endswith("-b.gz")][0]
+    gz(Path(in_b), "apple\t2000\t7\t3")
+    assert [r.match_count for job in jobs() for r in job.collect()] == [14, 14, 14]
+    gz(Path(in_b), f"apple\t{year}\t7\t3", f"apple\t{year}\t7\t3")
+    for job in jobs():
+        with pytest.raises(Exception, match="more than one entry"):
+            job.collect()

@@ -66,7 +66,8 @@ def accept(df: DataFrame, config: Config) -> DataFrame:
     return filter_non_words(df)
 
 
-def _cause(config: Config) -> Column:
+def reject_reason(config: Config) -> Column:
+    """The first cause to reject an entry that applies, or NULL."""
     cause = F.when(F.col("year") < config.min_year, "too_old")
     if config.strip_capitalized:
         cause = cause.when(starts_uppercase(F.col("ngram")), "capitalized")
@@ -75,7 +76,7 @@ def _cause(config: Config) -> Column:
 
 def reject_cause(df: DataFrame, config: Config) -> DataFrame:
     """The rejected entries with the first cause that applies."""
-    return df.withColumn("cause", _cause(config)).where(F.col("cause").isNotNull())
+    return df.withColumn("cause", reject_reason(config)).where(F.col("cause").isNotNull())
 
 
 def rejection_audit(df: DataFrame, config: Config, keys: Sequence[str] = ()) -> DataFrame:
@@ -88,7 +89,7 @@ def rejection_audit(df: DataFrame, config: Config, keys: Sequence[str] = ()) ->
     earliest = (
         reject_cause(df, config).groupBy(*keys, "ngram").agg(F.min("year").alias("year"))
     )
-    return earliest.withColumn("cause", _cause(config))
+    return earliest.withColumn("cause", reject_reason(config))
 
 
 def support_audit(df: DataFrame, config: Config, keys: Sequence[str] = ()) -> DataFrame:

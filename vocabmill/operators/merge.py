@@ -19,44 +19,43 @@ from vocabmill.functions.sums import checked_sum
 from vocabmill.operators.casing import case_classes, total_columns, unpack_best, with_fold_key
 from vocabmill.operators.filters import accept
 from vocabmill.operators.quality import require_books
-from vocabmill.operators.rollup import support, yearly_rollup
+from vocabmill.operators.rollup import file_keys, support, yearly_rollup
 
 SCOPES = ("dataset", "file")
 
 
 def supported_casings(df: DataFrame, config: Config, keys: Sequence[str] = ()) -> DataFrame:
     """Accepted spellings that reach the cutoffs, with their case key."""
-    # Where there are files and they are not told apart, a year may well recur.
-    one_entry_from = None if "file" in df.columns else config.min_year
-    casings = yearly_rollup(require_books(accept(df, config)), keys, one_entry_from)
+    casings = yearly_rollup(require_books(accept(df, config)), keys, config.min_year)
     return with_fold_key(support(casings, config.min_matches, config.min_books))
 
 
-def file_classes(df: DataFrame, config: Config) -> DataFrame:
+def file_classes(df: DataFrame, config: Config, keep_files: bool = False) -> DataFrame:
     """Case classes of each file, the partial results that merge_classes combines.
 
-    A path is long and would go with every row of the first shuffle, so files
+    With ``keep_files`` they tell their files by the columns of ``file_keys``. A path is long and would go with every row of the first shuffle, so files
     are told apart by 128 bits of hash instead.
 
     The classes of a file are merged in the tasks before they are shuffled by
     file and case key, so a word that all of very many files have is spread
     over all tasks until it has been reduced to a row per file.
     """
-    keys = {"_file_1": F.xxhash64("file"), "_file_2": F.xxhash64(F.lit(1), "file")}
+    keys = file_keys()
     casings = supported_casings(df.withColumns(keys).drop("file"), config, list(keys))
-    return case_classes(casings, list(keys)).drop(*keys)
+    classes = case_classes(casings, list(keys))
+    return classes if keep_files else classes.drop(*keys)
 
 
 def _totals() -> list[Column]:
     return [*total_columns("min_volume_count"), F.sum("n_casings").alias("n_casings")]
 
 
-def merge_candidates(partials: DataFrame) -> DataFrame:
+def merge_candidates(partials: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per class and spelling that leads it in some file, in the layout of classes.
 
     Merging such rows again, in any groups and order, gives the same.
     """
-    return partials.groupBy("fold_key", "top_casing").agg(
+    return partials.groupBy(*keys, "fold_key", "top_casing").agg(
         *total_columns("min_volume_count"),
         F.struct(
             F.min("top_stats.first_year").alias("first_year"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocabmill.functions.ranking import rank_value
+from vocabmill.operators.rollup import year_span, years_seen
 from vocabmill.schema import ENTRY
 from vocabmill.sources.entries import decode_problem, split_lines
 
@@ -79,7 +80,7 @@ def require_words(df: DataFrame) -> DataFrame:
 
 
 def check_years(df: DataFrame, keys: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    """Words with more than one entry for the same year.
+    """Words with more than one entry for the same year, in a ``file`` if it is among the ``keys``.
 
     The list shuffles every entry, as all of them differ in sound data. The
     strict check goes by ``repeated_years`` and lists only what that has found.
@@ -89,7 +90,7 @@ def check_years(df: DataFrame, keys: Sequence[str] = (), strict: bool = False) -
         spans = repeated_years(df, keys)
         if not spans.isEmpty():
             # Only the words and years that were found are counted one by one.
-            narrow = df.withColumn("from_year", F.col("year") - F.pmod("year", F.lit(64)))
+            narrow = df.withColumn("from_year", year_span())
             narrow = narrow.join(spans, [*keys, "ngram", "from_year"], "left_semi")
             few = narrow.groupBy(*keys, "ngram", "year").agg(F.count("*").alias("n_entries"))
             _report(few.where(F.col("n_entries") > 1), "a word has one entry per year", strict)
@@ -102,11 +103,8 @@ def repeated_years(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     The years seen are bits of one number, so the entries of a word are merged
     before the shuffle, which carries a row per word and 64 years.
     """
-    offset = F.pmod("year", F.lit(64)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), offset)
-    spans = df.groupBy(*keys, "ngram", (F.col("year") - offset).alias("from_year")).agg(
-        F.count("*").alias("n_entries"),
-        F.bit_count(F.bit_or(bit)).cast("bigint").alias("n_years"),
+    spans = df.groupBy(*keys, "ngram", year_span().alias("from_year")).agg(
+        F.count("*").alias("n_entries"), F.bit_count(years_seen()).cast("bigint").alias("n_years")
     )
     return spans.where(F.col("n_entries") > F.col("n_years"))
 

@@ -13,6 +13,12 @@ from vocabmill.session import materialize
 #: The best rows are chosen within so many buckets of words first.
 BUCKETS = 64
 
+#: Beyond this limit the best rows are found by ranges of the final order, not in a tree.
+LONG_LIST = 10_000
+
+#: Counts below are ranges of their own; above, so many ranges are made of each doubling.
+EXACT, PER_DOUBLING = 1024, 64
+
 #: A distributed ranking has at most so many ranges; so many times rows are sampled for each bound.
 RANGES, SAMPLED = 100, 20
 
@@ -33,10 +39,12 @@ def pick_top(
     best word first; a limited list also gets its ``rank``. Every limit is exact.
 
     The best rows are chosen in a tree: by bucket of words, then out of the best
-    of all buckets; a task gets limit x ``BUCKETS`` rows of a key at most. For
-    lists so long that this is too much, ``distributed`` ranks by ranges of the
-    final order instead, also lists without a limit. It writes the classes to the
-    scratch folder when it is called; everything else is lazy.
+    of all buckets; a task gets limit x ``BUCKETS`` rows of a key at most. Limits
+    beyond ``LONG_LIST`` go by ranges of the final order: a histogram of them,
+    merged before it is shuffled, tells where a range's ranks start and which
+    ranges are beyond the limit, and rows are numbered within their range.
+    ``distributed`` ranks by sampled ranges, also lists without a limit. It writes the
+    classes to the scratch folder when it is called; everything else is lazy.
     """
     if max_outputs is not None and max_outputs < 1:
         raise ValueError("max_outputs must be at least 1, or None for no limit")
@@ -48,6 +56,8 @@ def pick_top(
 
     if distributed:
         df = ranked(df, keys, max_outputs)
+    elif max_outputs is not None and max_outputs > LONG_LIST:
+        df = _best_by_ranges(df, keys, max_outputs)
     elif max_outputs is not None:
         df = _best_of_buckets(df, keys, max_outputs)
         if keys:
@@ -59,7 +69,8 @@ def pick_top(
             if sort_by_popularity:
                 df = df.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
     if sort_by_popularity and "rank" in df.columns:
-        df = df.orderBy(*keys, "rank") if keys or distributed else df
+        in_order = not keys and not distributed and max_outputs <= LONG_LIST
+        df = df if in_order else df.orderBy(*keys, "rank")
     elif sort_by_popularity:
         df = df.orderBy(*keys, *best_first())
     return df.select(*columns)
@@ -73,6 +84,48 @@ def _best_of_buckets(df: DataFrame, keys: Sequence[str], max_outputs: int) -> Da
     return df.where(F.col("_place") <= max_outputs).drop("_bucket", "_place")
 
 
+def order_range() -> Column:
+    """The range of the final order that a row is in; the smaller, the earlier.
+
+    Matches are a range each, or a 64th of a doubling. Only where they are exact does
+    the next part of the order count, and so on down to the first letters of a
+    word. So rare words, of which there are most, are in small ranges too.
+    """
+    exact_matches = F.col("match_count") < EXACT
+    exact_books = exact_matches & (F.col("min_volume_count") < EXACT)
+
+    def counted(name):
+        value = F.col(name)
+        doublings = F.floor(F.log2(value) * PER_DOUBLING) + EXACT
+        # A logarithm that rounds up must not put a smaller count before a greater one.
+        return F.when(value < EXACT, value).otherwise(F.greatest(doublings, F.lit(EXACT)))
+
+    rare = exact_books & (F.col("match_count") < 64)
+    return F.struct(
+        (-counted("match_count")).alias("matches"),
+        F.when(exact_matches, -counted("min_volume_count")).alias("books"),
+        F.when(rare, -F.col("last_year")).alias("last"),
+        F.when(rare, F.col("first_year")).alias("first"),
+        F.when(rare, F.substring("top_casing", 1, 2)).alias("word"),
+    )
+
+
+def _best_by_ranges(df: DataFrame, keys: Sequence[str], max_outputs: int) -> DataFrame:
+    """The best rows of each key with their ``rank``, without a task that gets all of them.
+
+    Both uses of ``df`` read the same columns, so Spark computes its last shuffle once.
+    """
+    keys = list(keys)
+    df = df.withColumn("_range", order_range())
+    sizes = df.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    offsets = _rows_before(sizes, keys, F.col("_range"))
+    offsets = offsets.where(F.col("_before") < max_outputs).drop("_size")
+    within = Window.partitionBy(*keys, "_range").orderBy(*best_first())
+    rows = df.join(offsets, [*keys, "_range"])
+    rows = rows.withColumn("rank", F.col("_before") + F.row_number().over(within))
+    return rows.where(F.col("rank") <= max_outputs).drop("_range", "_before")
+
+
 def ranked(df: DataFrame, keys: Sequence[str], max_outputs: int | None = None) -> DataFrame:
     """Number the (best) rows of each key, without one task per key.
 

@@ -150,6 +150,42 @@ REJECTED = f"SELECT * FROM (SELECT *, {CAUSE} AS cause FROM ({entries()})) WHERE
 LANGUAGE_ENTRIES = f"SELECT *, {PREFIX} AS prefix FROM ({entries('lang')})"
 
 
+#: The entries that broken lines leave, and what else is in them, by ``kind``.
+BROKEN = f"SELECT *, (year + match_count) % 11 AS kind FROM ({entries()})"
+BROKEN_ENTRIES = f"""
+    SELECT CASE WHEN kind = 8 THEN '' ELSE ngram END AS ngram, year,
+           CASE WHEN kind = 7 THEN volume_count ELSE match_count END AS match_count,
+           CASE WHEN kind = 7 THEN match_count ELSE volume_count END AS volume_count, kind
+    FROM ({BROKEN}) WHERE kind NOT BETWEEN 1 AND 6"""
+BROKEN_CAUSES = f"SELECT *, {CAUSE} AS cause FROM ({BROKEN_ENTRIES})"
+#: Entries that pass all rules, those that are there twice as two rows.
+BROKEN_ACCEPTED = f"""
+    SELECT ngram, year, match_count, volume_count FROM (
+        SELECT *, unnest(range(CASE WHEN kind = 9 THEN 2 ELSE 1 END)) AS copy FROM ({BROKEN_CAUSES}))
+    WHERE cause IS NULL AND match_count >= volume_count AND ngram <> ''"""
+
+
+def _audited() -> str:
+    lines = " UNION ALL ".join(
+        f"SELECT 'decode:{cause}' AS rule, count(*) AS n FROM ({BROKEN}) WHERE kind = {k}" for k, cause in enumerate(BREAKS) if cause
+    )
+    words = " UNION ALL ".join(
+        f"SELECT 'rejected:{cause}', count(*) FROM earliest WHERE cause = '{cause}'" for cause in ("too_old", "capitalized", "not_a_word")
+    )
+    casings = rollup(BROKEN_ACCEPTED)
+    return f"""
+        WITH e AS ({BROKEN_CAUSES}),
+        earliest AS (SELECT ngram, arg_min(cause, year) AS cause FROM e WHERE cause IS NOT NULL AND ngram <> '' GROUP BY ngram)
+        {lines}
+        UNION ALL SELECT 'books', count(*) FROM e WHERE cause IS NULL AND match_count < volume_count
+        UNION ALL SELECT 'empty', count(*) FROM e WHERE ngram = ''
+        UNION ALL SELECT 'repeated_years', count(DISTINCT (ngram, year - year % 64))
+            FROM (SELECT ngram, year FROM ({BROKEN_ACCEPTED}) GROUP BY ALL HAVING count(*) > 1)
+        UNION ALL {words}
+        UNION ALL SELECT 'unsupported', count(*) FROM ({casings}) WHERE match_count < 20 OR volume_count < 3
+        UNION ALL SELECT 'class', 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     path = "'" + f"{PATH_BASE}/{FILE_NAME_FORMAT}" % ("' || short_name || '", "' || prefix || '") + "'"
     return {
@@ -264,6 +300,21 @@ def oracle_sql() -> dict[str, str]:
         "s8_word_sink": top_by_language(
             by_language(20, 3), "lang, rank AS position, top_casing AS ngram", TOP_PER_LANGUAGE
         ),
+        "v_audited_word_list": _audited(),
+        "j1_audited_word_list": top(
+            classes(supported(BROKEN_ACCEPTED)), f"rank, top_casing AS ngram, {STATS}", TOP
+        ),
+        "s7_bucketed_copy": f"""
+            SELECT * FROM ({LANGUAGE_ENTRIES})
+            WHERE lang IN ('eng', 'ger') AND prefix IN ('a', 'q', 'other')""",
+        "j2_bucketed_word_lists": top_by_language(
+            by_language(20, 3), f"lang, rank, top_casing AS ngram, {STATS}", TOP_PER_LANGUAGE
+        ),
+        "s8_long_list": f"""
+            SELECT top_casing AS ngram, row_number() OVER (ORDER BY {BEST_CLASS}) AS position
+            FROM ({EVERYTHING})""",
+        "t3_top_ordered_by_ranges": top(EVERYTHING, f"rank, top_casing AS ngram, {STATS}", TOP_LARGE),
+        "j1_overlapping_files": top(STRIPPED, f"rank, top_casing AS ngram, {STATS}", TOP),
         "j1_word_list": top(STRIPPED, f"rank, top_casing AS ngram, {STATS}", TOP),
         "j1_word_list_merged": top(MERGED, f"rank, top_casing AS ngram, {STATS}", TOP),
         "j2_word_lists": top_by_language(
@@ -276,4 +327,8 @@ def oracle_sql() -> dict[str, str]:
             by_language(1, 1), "lang, rank, top_casing AS ngram", TOP_PER_LANGUAGE_LARGE
         ),
         "j3_incremental": merged_files(("source", "decade")),
+        "j3_replaced_files": merged_files(
+            ("source", "decade"),
+            f"SELECT * FROM ({accepted('source', 'decade', strip=False)}) WHERE decade <> 1980",
+        ),
     }

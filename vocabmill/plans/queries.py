@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from vocabmill.config import Config
 from vocabmill.functions.words import word_prefix
-from vocabmill.operators import casing, filters, merge, quality, rollup, topk
+from vocabmill.operators import audit, casing, filters, merge, quality, rollup, topk
 from vocabmill.plans.word_list import all_word_lists, language_word_list, word_list, word_lists
-from vocabmill.session import age_files, list_names, make_folder, rename_path, scratch_path
+from vocabmill.session import age_files, list_names, make_folder, remove_path, rename_path, scratch_path
 from vocabmill.sources import catalog, columnar, entries as text_entries, words
 from vocabmill.sources.documents import entries_from_documents, read_documents
 from vocabmill.streaming import incremental
@@ -284,6 +284,24 @@ def v3_repeated_years_mixed(spark, sf_dir):
     return quality.repeated_years(filters.accept(entries(spark, sf_dir, "lang"), STRIPPED))
 
 
+def _files_by_source(spark, df) -> DataFrame:
+    """The entries written as data files, a folder for each source, and read again with their ``file``."""
+    path = _write_text(spark, df, "source")
+    return text_entries.read_entries(spark, path, with_file=True).drop("source")
+
+
+@query
+def v3_repeated_years_in_files(spark, sf_dir):
+    """Data files of any years in which some lines stand twice. A year that two files have is no repeat."""
+    df = entries(spark, sf_dir, "source")
+    twice = F.when((F.col("year") + F.col("match_count")) % 7 == 0, 2).otherwise(1)
+    df = df.withColumn("year", F.col("year") + 100 * (F.col("match_count") % 3))
+    df = _files_by_source(spark, df.select("*", F.explode(F.array_repeat("source", twice)).alias("_")).drop("_"))
+    # A folder may hold several files; the folder tells which lines belong together.
+    df = df.withColumn("file", F.regexp_extract("file", "/source=([^/]+)/", 1))
+    return quality.repeated_years(filters.accept(df, STRIPPED), ["file"])
+
+
 @query
 def v4_empty_ngram(spark, sf_dir):
     df = entries_from_documents(documents(spark, sf_dir), keep_empty=True)
@@ -385,6 +403,13 @@ def t3_top_ordered_large(spark, sf_dir):
     return topk.pick_top(df, TOP_LARGE, sort_by_popularity=True, distributed=True)
 
 
+@query
+def t3_top_ordered_by_ranges(spark, sf_dir):
+    """A limit too long for one task, without a table that is written first."""
+    df = classes(spark, sf_dir, EVERYTHING)
+    return topk.pick_top(df, TOP_LARGE, sort_by_popularity=True, with_stats=True)
+
+
 @query
 def t4_all_ordered(spark, sf_dir):
     df = classes(spark, sf_dir)
@@ -468,6 +493,43 @@ def j1_file_scope(spark, sf_dir):
     return language_word_list(spark, base, "eng", config, scope="file", with_stats=True)
 
 
+def _broken_lines(df: DataFrame) -> DataFrame:
+    """The lines of the entries, some broken in one of six ways, some with the counts swapped, empty or there twice."""
+    ngram, year, matches, books = (F.col(name).cast("string") for name in ("ngram", "year", "match_count", "volume_count"))
+    kind = (F.col("year") + F.col("match_count")) % 11
+    line = F.concat_ws(
+        "\t",
+        F.when(kind == 1, F.concat(ngram, F.unhex(F.lit("FF")).cast("string"))).when(kind == 8, "").otherwise(ngram),
+        F.when(kind == 3, F.concat(F.lit("x"), year)).when(kind == 4, "9" * 20).otherwise(year),
+        F.when(kind == 5, "0").when(kind == 7, books).otherwise(matches),
+        F.when(kind == 6, "0").when(kind == 7, matches).when(kind != 2, books),
+    )
+    return df.select("*", F.explode(F.array_repeat(line, F.when(kind == 9, 2).otherwise(1))).alias("value"))
+
+
+@query
+def v_audited_word_list(spark, sf_dir):
+    """What the rules find in broken lines, counted while the word list is made from them in one scan."""
+    found = audit.Audit()
+    lines = _broken_lines(entries(spark, sf_dir)).select("value")
+    audit.audited_word_list(lines, _job(max_outputs=TOP), found).write.format("noop").mode("overwrite").save()
+    return found.table(spark)
+
+
+@query
+def j1_audited_word_list(spark, sf_dir):
+    """The word list from the same lines."""
+    lines = _broken_lines(entries(spark, sf_dir)).select("value")
+    return audit.audited_word_list(lines, _job(max_outputs=TOP), audit.Audit(), with_stats=True)
+
+
+@query
+def j1_overlapping_files(spark, sf_dir):
+    """From data files that share words and years, under the rule of one entry for a year and file."""
+    df = _files_by_source(spark, entries(spark, sf_dir, "source"))
+    return word_list(df, _job(max_outputs=TOP), with_stats=True, checked=True)
+
+
 @query
 def j2_all_word_lists(spark, sf_dir):
     """All languages of the catalog from the data files."""
@@ -484,6 +546,30 @@ def j2_columnar_word_lists(spark, sf_dir):
     return all_word_lists(spark, path, config, with_stats=True, columnar=True)
 
 
+@query
+def s7_bucketed_copy(spark, sf_dir):
+    path = scratch_path(spark, "buckets")
+    columnar.write_columnar(entries(spark, sf_dir, "lang"), path, buckets=8)
+    return columnar.read_columnar(spark, path, langs=["eng", "ger"], prefixes=["a", "q", "other"])
+
+
+@query
+def j2_bucketed_word_lists(spark, sf_dir):
+    """The same from a copy in buckets of words, where nothing is shuffled by word."""
+    path = scratch_path(spark, "buckets")
+    columnar.write_columnar(entries(spark, sf_dir, "lang"), path, buckets=8)
+    config = _job(max_outputs=TOP_PER_LANGUAGE)
+    return all_word_lists(spark, path, config, with_stats=True, columnar=True)
+
+
+@query
+def s8_long_list(spark, sf_dir):
+    """All words of all languages as one ordered list, read back with their places."""
+    path = scratch_path(spark, "words")
+    words.write_words(topk.pick_top(classes(spark, sf_dir, EVERYTHING), sort_by_popularity=True), path)
+    return words.read_words(spark, path)
+
+
 @query
 def s8_word_sink(spark, sf_dir):
     """Lists by language, written as words and read back with their place in the list."""
@@ -513,3 +599,28 @@ def j3_incremental(spark, sf_dir):
         for folder in list_names(spark, f"{later}/{source}"):
             rename_path(spark, f"{later}/{source}/{folder}", f"{inbox}/{source}/{folder}")
     return flat(incremental.run_incremental(spark, inbox, state, config, compact_after=1))
+
+
+@query
+def j3_replaced_files(spark, sf_dir):
+    """Files that were wrong are replaced under their names, and those of one decade are removed."""
+    docs = documents(spark, sf_dir)
+    decade = F.floor((F.lit(1950) + F.col("doc_id") % 60) / 10) * 10
+    df = entries_from_documents(docs.withColumn("decade", decade), ["source", "decade"])
+    inbox, state = scratch_path(spark, "inbox"), scratch_path(spark, "state")
+    config = Config(strip_capitalized=False, min_matches=5, min_books=2)
+    wrong = F.when(F.col("decade") == 1970, 3).otherwise(1)
+    text_entries.write_entries_text(df.withColumn("match_count", F.col("match_count") * wrong), inbox, ["source", "decade"])
+    incremental.run_incremental(spark, inbox, state, config, compact_after=0)
+    right = scratch_path(spark, "right")
+    text_entries.write_entries_text(df.where("decade = 1970"), right, ["source", "decade"])
+    for source in [n for n in list_names(spark, inbox) if "=" in n]:
+        remove_path(spark, f"{inbox}/{source}/decade=1980")
+        replaced = f"{inbox}/{source}/decade=1970"
+        old = [n for n in list_names(spark, replaced) if not n.startswith((".", "_"))]
+        new = [n for n in list_names(spark, f"{right}/{source}/decade=1970") if not n.startswith((".", "_"))]
+        for name in old:
+            remove_path(spark, f"{replaced}/{name}")
+        for k, name in enumerate(new):
+            rename_path(spark, f"{right}/{source}/decade=1970/{name}", f"{replaced}/{old[k] if k < len(old) else name}")
+    return flat(incremental.run_incremental(spark, inbox, state, config, compact_after=2))

@@ -23,7 +23,7 @@ from vocabmill.operators.quality import require_books, require_entries, require_
 from vocabmill.operators.rollup import support, yearly_rollup
 from vocabmill.operators.topk import pick_top
 from vocabmill.sources.catalog import LANGUAGES, file_paths, languages
-from vocabmill.sources.columnar import read_columnar
+from vocabmill.sources.columnar import bucket_count, read_columnar
 from vocabmill.sources.entries import read_entries
 
 
@@ -88,8 +88,7 @@ def word_lists(
 def _lists_of_accepted(
     accepted: DataFrame, config: Config, with_stats: bool, distributed: bool = False
 ) -> DataFrame:
-    one_entry_from = None if "file" in accepted.columns else config.min_year
-    casings = yearly_rollup(require_books(accepted), ["lang"], one_entry_from)
+    casings = yearly_rollup(require_books(accepted), ["lang"], config.min_year)
     kept = with_fold_key(support(casings, config.min_matches, config.min_books))
     return pick_top(
         case_classes(kept, ["lang"]),
@@ -123,11 +122,12 @@ def language_word_list(
     scope: str = "dataset",
     with_stats: bool = False,
     columnar: bool = False,
+    distributed: bool = False,
 ) -> DataFrame:
     """The word list of one language from the data files, or the columnar copy, at ``base``."""
     config = _own_config(short_name, config or Config())
     entries = read_language(spark, base, short_name, not config.strip_capitalized, columnar)
-    return word_list(entries, config, scope, with_stats, checked=True)
+    return word_list(entries, config, scope, with_stats, True, distributed)
 
 
 def _own_config(short_name: str, config: Config) -> Config:
@@ -143,6 +143,7 @@ def all_word_lists(
     config: Config | None = None,
     with_stats: bool = False,
     columnar: bool = False,
+    distributed: bool = False,
 ) -> DataFrame:
     """The word lists of every language from the data files, or the columnar copy, at ``base``.
 
@@ -154,10 +155,12 @@ def all_word_lists(
     config = config or Config()
     if columnar:
         entries = read_columnar(spark, base)
-        return word_lists(entries, languages(spark), config, with_stats, True, True)
+        # Two scans would not be known to hold all entries of a word in one bucket.
+        in_buckets = bucket_count(spark, base) is not None
+        return word_lists(entries, languages(spark), config, with_stats, True, not in_buckets, distributed)
     scans = []
     for _, short_name, _ in LANGUAGES:
         own = _own_config(short_name, config)
         entries = read_language(spark, base, short_name, not own.strip_capitalized)
         scans.append(accept(entries, own).withColumn("lang", F.lit(short_name)))
-    return _lists_of_accepted(reduce(DataFrame.unionByName, scans), config, with_stats)
+    return _lists_of_accepted(reduce(DataFrame.unionByName, scans), config, with_stats, distributed)

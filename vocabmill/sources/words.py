@@ -18,7 +18,12 @@ def write_words(df: DataFrame, path: str) -> None:
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """``ngram`` and its ``position``, from 1, in the list (or in that of its ``lang``)."""
+    """``ngram`` and its ``position``, from 1, in the list (or in that of its ``lang``).
+
+    A list may be long: its lines are numbered within the blocks that Spark reads
+    files in, and the numbers of lines of the blocks before are added. Only
+    those, a row for each block, are summed up in one place.
+    """
     lines = spark.read.text(path).select(
         "*",
         F.col("_metadata.file_name").alias("_file"),
@@ -26,9 +31,17 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_line"),
     )
     keys = [name for name in lines.columns if name == "lang"]
-    place = Window.partitionBy(*keys).orderBy("_file", "_start", "_line")
-    return lines.select(
+    block = [*keys, "_file", "_start"]
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("_size"))
+    # Parts are numbered, with more digits from the 100,000th on.
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("bigint")
+    earlier = Window.partitionBy(*keys).orderBy(number, "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*block, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    # Line numbers are only compared within a block, which one task reads from start to end.
+    within = Window.partitionBy(*block).orderBy("_line")
+    placed = lines.withColumn("_place", F.row_number().over(within)).join(before, block)
+    return placed.select(
         *keys,
         F.col("value").alias("ngram"),
-        F.row_number().over(place).cast("bigint").alias("position"),
+        (F.col("_before") + F.col("_place")).cast("bigint").alias("position"),
     )
