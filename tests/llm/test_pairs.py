@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from llm_helpers import FOLD, SCHEMA, WORD, documents, texts
+from llm.llm_helpers import FOLD, SCHEMA, WORD, documents, texts
 
 from vocabmill.llm import hard_negatives, simhash, spelling
 
