@@ -192,4 +192,30 @@ def test_local_search_raises_squares_and_empties_bins():
     bins = [[i] for i in range(len(sizes))]
     after = packing.local_search(bins, sizes, 100)
     squares = [sum(sum(sizes[i] for i in b) ** 2 for b in x) for x in (bins, after)]
-    assert squares[1] > squares[0] and len(after) <= 1.02 * sum(sizes) / 100 + 1
+    assert squares[1] > squares[0] and len(after) <= least_bins(sizes, 100) + 2
+
+
+def least_bins(sizes, capacity):
+    """A lower bound: pieces of over half a bin need their own, small ones only fit beside those that leave room."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone = sum(s > capacity - k for s in sizes)
+        half = [s for s in sizes if capacity / 2 < s <= capacity - k]
+        rest = sum(s for s in sizes if k <= s <= capacity / 2)
+        best = max(best, alone + len(half) + max(0, -(-(rest - (len(half) * capacity - sum(half))) // capacity)))
+    return best
+
+
+def test_exact_triples_are_found_beyond_the_nearest_partners():
+    """Pieces that fill bins in threes: best fit leaves many bins underfull that exchanges can fill."""
+    rng = np.random.default_rng(7)
+    sizes = []
+    for _ in range(200):
+        a, b = sorted(rng.integers(1, 2048, 2).tolist())
+        a, b = min(a, 1200), min(b, 1900)
+        parts = [x for x in (a, b - a, 2048 - b) if x > 0]
+        sizes += parts
+    found = packing.pack_block(sizes, 2048)
+    assert sorted(i for b in found for i in b) == list(range(len(sizes)))
+    assert len(found) <= len(packing.best_fit(sizes, 2048))
+    assert len(found) <= least_bins(sizes, 2048) + 4
