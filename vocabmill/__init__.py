@@ -1,6 +1,7 @@
 """Ranked vocabularies from very large tables of yearly word counts."""
 
 from vocabmill.config import Config
+from vocabmill.operators.audit import Audit, audited_word_list
 from vocabmill.operators.casing import (
     case_classes,
     casing_count,
@@ -46,10 +47,12 @@ from vocabmill.sources.words import read_words, write_words
 from vocabmill.streaming.incremental import current_words, run_incremental
 
 __all__ = [
+    "Audit",
     "Config",
     "DataQualityError",
     "accept",
     "all_word_lists",
+    "audited_word_list",
     "case_classes",
     "casing_count",
     "check_books",

@@ -247,6 +247,14 @@ def oracle_sql() -> dict[str, str]:
                    count(DISTINCT year) AS n_years
             FROM ({accepted("lang", strip=True)})
             GROUP BY ngram, from_year HAVING count(*) > count(DISTINCT year)""",
+        "v3_repeated_years_in_files": f"""
+            SELECT source AS file, ngram, year - year % 64 AS from_year, sum(n)::BIGINT AS n_entries,
+                   count(DISTINCT year) AS n_years
+            FROM (SELECT source, ngram, year + 100 * (match_count % 3) AS year,
+                         CASE WHEN (year + match_count) % 7 = 0 THEN 2 ELSE 1 END AS n
+                  FROM ({entries("source")}))
+            WHERE year >= 1962 AND NOT {CAPITALIZED} AND NOT {NOT_A_WORD}
+            GROUP BY source, ngram, from_year HAVING sum(n) > count(DISTINCT year)""",
         "v4_empty_ngram": f"SELECT * FROM ({entries(empty=True)}) WHERE ngram = ''",
         "v4_empty_ngram_lower_case": f"""
             SELECT '' AS ngram, year, match_count, volume_count FROM ({entries()})
