@@ -4,7 +4,7 @@ import pytest
 from llm.llm_helpers import documents, shingles, texts
 
 from vocabmill.llm.components import components
-from vocabmill.llm.near_duplicates import Params, near_duplicates
+from vocabmill.llm.near_duplicates import Params, near_duplicates, prefix_pairs
 
 
 def union_find(nodes, links):
@@ -72,5 +72,40 @@ def test_chains_of_similar_texts(spark):
     assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def hot_group():
+    """Texts that share a large part, some with all, most with hardly any: buckets with hundreds of components."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(320):
+        words = list(base)
+        for _ in range(rng.choice([0, 3, 5, 5, 6, 6, 7])):
+            at = rng.randrange(len(words))
+            words[at] = f"x{i}_{at}" if rng.random() < 0.7 else f"y{rng.randrange(40)}"
+        cut = rng.choice([0, 0, 10])
+        rows.append((i, " ".join(words[cut:] + [f"z{i}_{k}" for k in range(rng.choice([0, 0, 20]))])))
+    return rows
+
+
+def test_a_bucket_of_hundreds_of_components(spark):
+    rows = hot_group()
+    expected = brute_force(rows)
+    assert len(set(expected.values())) > 30
+    found = near_duplicates(documents(spark, [(i, t, None) for i, t in rows])).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+
+
+def test_prefixes_miss_no_pair_and_exclude_most_others(spark):
+    """All pairs alike enough meet, without any bucket; few others do."""
+    rows = hot_group()
+    texts_ = spark.createDataFrame(rows, "id long, text string")
+    named = texts_.selectExpr("id", "id as component")
+    found = {(r.u, r.v) for r in prefix_pairs(named, texts_, Params()).collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    alike = {(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if 100 * len(a & b) >= 75 * len(a | b)}
+    assert alike <= found and len(alike) > 100
+    assert len(found - alike) < 0.3 * len(rows) * (len(rows) - 1) / 2
+
+
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, []), Params()).collect() == []

@@ -9,21 +9,24 @@
    members, however large the bucket.
 4. Pairs whose signatures agree too rarely for the threshold are left out (by
    five standard deviations); for the others, both full sets are compared.
-5. The links give components. In buckets that still hold several components,
-   pairs of classes of different components that were not compared yet are
-   compared as well, if they can be similar enough: a shingle that no other class
-   of such buckets has is in no intersection, so the two sizes and the numbers of
-   shared shingles bound the similarity exactly. Large groups of texts that are
-   alike, but not enough, differ by shingles of their own and drop out here. So
-   no link is lost that the banding found: a pair left uncompared is connected
-   by links already, or too different.
+5. The links give components. Classes that are no end of a bucket that still holds
+   several components were not compared with each other. They are joined by a
+   prefix filter on their full sets: shingles are put in one order, rare ones first;
+   two sets of ``a`` and ``b`` shingles that are alike enough have ``o`` in common,
+   so they share one of the first ``a - o + 1`` of one and ``b - o + 1`` of the other.
+   Large groups of texts that are alike, but not enough, differ by rare shingles
+   and hardly meet. Pairs that meet in different components are compared. So no
+   link is lost that the banding found: a pair left uncompared is connected by
+   links already, or too different.
 
 A pair at the threshold shares a bucket with probability ``1 - (1 - t^rows)^bands``:
 0.999995 with the values below.
 
-A text with fewer words than a shingle is one shingle. Texts without words have
-an empty set and are linked with nothing. Rows without an id get a null
-component and are kept. Repeated rows belong to one class.
+A text with fewer words than a shingle is one shingle. Null texts and texts without
+words have an empty set and are linked with nothing. Very long texts are worked on
+one by one, their words in pieces. Rows without an id get a null component and
+are kept. Repeated rows belong to one class. An empty table gives an empty result.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vocabmill.llm.components import components
 from vocabmill.llm.hashed_words import hash_words, mixed, row_slices, windows
@@ -137,7 +141,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
 
 
 def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Params, screened: bool) -> DataFrame:
-    """``u, v, common, linked`` of the pairs (that pass a test of their signatures, if ``screened``): shingles in both full sets, and the verdict."""
+    """``u, v, linked`` of the pairs (that pass a test of their signatures, if ``screened``), by their full sets."""
     if screened:
         pairs = _likely(pairs, classes, params)
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(
@@ -147,7 +151,7 @@ def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Par
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [string_bytes(batch.column(k)) for k in (2, 3)]
-            good, shared = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
+            good = np.zeros(batch.num_rows, bool)
             longer = sides[0][1] + sides[1][1]
             for start, stop in row_blocks(longer):
                 sets = [shingle_sets(d[o[start] : o[stop]], o[start : stop + 1] - o[start], params.width) for d, o in sides]
@@ -155,30 +159,53 @@ def compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, params: Par
                     common = len(np.intersect1d(a, b, assume_unique=True))
                     union = len(a) + len(b) - common
                     good[start + row] = union and params.denominator * common >= params.numerator * union
-                    shared[start + row] = common
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared), pa.array(good)], ["u", "v", "common", "linked"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(good)], ["u", "v", "linked"])
 
-    found = map_batches(both.select("u", "v", "tu", "tv"), run, "u long, v long, common long, linked boolean")
+    found = map_batches(both.select("u", "v", "tu", "tv"), run, "u long, v long, linked boolean")
     # An id that stands for several texts counts with the best of them.
-    return found.groupBy("u", "v").agg(F.max("common").alias("common"), F.max("linked").alias("linked"))
+    return found.groupBy("u", "v").agg(F.max("linked").alias("linked"))
 
 
-def own_shingles(ids: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """``id, own``: how many shingles each of the classes ``ids`` has that no other of them has."""
+def shingle_rows(ids: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """``id, set, n, shingle``: the shingles of the texts of ``ids``; ``set`` tells several texts of an id apart, ``n`` is its size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(1))
             for start, stop in row_blocks(offsets):
                 sets = shingle_sets(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start], params.width)
-                sizes = pa.array([len(x) for x in sets], pa.int64())
-                owner = np.repeat(batch.column(0).slice(start, stop - start).to_numpy(), sizes.to_numpy())
-                yield pa.record_batch([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
-
-    shingles = map_batches(texts.join(ids, "id", "left_semi").select("id", "text"), run, "id long, shingle long")
-    # The classes that have a shingle are told apart by the least and the greatest.
-    owners = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    return owners.where("id = last").groupBy("id").agg(F.count("*").alias("own"))
+                sizes = np.array([len(x) for x in sets])
+                names = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets])
+                columns = (batch.column(0).slice(start, stop - start).to_numpy(), names, sizes)
+                columns = [np.repeat(x, sizes) for x in columns] + [np.concatenate(sets).view(np.int64)]
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], ["id", "set", "n", "shingle"])
+
+    return map_batches(texts.join(ids, "id", "left_semi").select("id", "text"), run, "id long, set long, n long, shingle long")
+
+
+def prefix_pairs(named: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """``u, v``: pairs of the classes ``named (id, component)`` in different components that may be alike enough.
+
+    ``o = ceil(s / (1 + s) * (a + b))`` for a similarity of s. The smaller set is at
+    least ``s`` times the larger one.
+    """
+    high, low = params.numerator, params.denominator
+    rows = stored(shingle_rows(named.select("id"), texts, params), "mixed-shingles")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("sets"))
+    # Rows that repeat an id and its text repeat the set: its shingles keep their places.
+    place = F.dense_rank().over(Window.partitionBy("id", "set").orderBy("sets", "shingle")) - 1
+    ordered = rows.join(counts, "shingle").withColumn("place", place)
+    # The longest prefix is that against a set as much smaller as can be. What no other set has links with nothing:
+    # a set with so many shingles of its own that they fill its prefix drops out.
+    ordered = ordered.where((low * F.col("place") <= (low - high) * F.col("n")) & (F.col("sets") > 1))
+    prefixes = stored(ordered.join(named, "id").select("id", "component", "n", "shingle", "place"), "prefixes")
+    smaller = prefixes.where((low + high) * F.col("place") <= (low - high) * F.col("n"))
+    larger = prefixes.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("id", "component", "n", "place")))
+    overlap = F.ceil(high * (F.col("n") + F.col("n_")) / F.lit(low + high).cast("double") - 1e-9)
+    near = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") < F.col("id_")))
+    near = near & (low * F.col("n") >= high * F.col("n_")) & (F.col("component") != F.col("component_"))
+    met = smaller.join(larger, "shingle").where(near & (F.col("place") <= F.col("n") - overlap) & (F.col("place_") <= F.col("n_") - overlap))
+    return met.select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,29 +235,12 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
     links = tested.where("linked").select("u", "v")
     first = components(links)
     # What is left: classes that are not an end of their bucket, in buckets with several components.
-    inner = members.where("id > low and id < high").select("bucket", "low", "id", F.col("n_shingles").alias("n"))
-    named = inner.join(first, inner.id == first.node, "left").select("bucket", "low", "id", "n", F.coalesce("component", "id").alias("component"))
+    inner = members.where("id > low and id < high").select("bucket", "id")
+    named = inner.join(first, inner.id == first.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     named = stored(named, "bucket-components")
     several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    left = stored(named.join(several, "bucket", "left_semi"), "mixed-buckets")
-    universe = left.select("id").union(left.select("low")).distinct()
-    left = left.join(own_shingles(universe, texts, params), "id", "left")
-    left = left.withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    left = left.where(F.lit(params.denominator) * F.col("shared") >= F.lit(params.numerator) * F.col("n"))
-    known = tested.select(F.col("u").alias("low"), F.col("v").alias("id"), F.col("common").alias("with_low"))
-    left = stored(left.join(known, ["low", "id"], "left"), "can-be-linked").drop("low")
-    other = left.select("bucket", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "component", "shared", "with_low")))
-    # An intersection has at most the shared shingles of either side; of those that the bucket's
-    # least class has, and of the others, at most those of either side.
-    rest, rest_ = F.col("shared") - F.col("with_low"), F.col("shared_") - F.col("with_low_")
-    most = F.coalesce(F.least("with_low", "with_low_") + F.least(rest, rest_) + F.lit(0) * (F.col("with_low") + F.col("with_low_")), F.least("shared", "shared_"))
-    enough = F.lit(params.numerator + params.denominator) * most >= F.lit(params.numerator) * (F.col("n") + F.col("n_"))
-    crossed = (
-        left.join(other, "bucket")
-        .where((F.col("component") < F.col("component_")) & enough)
-        .select(F.least("id", "id_").alias("u"), F.greatest("id", "id_").alias("v"))
-        .distinct()
-    )
+    left = named.join(several, "bucket", "left_semi").select("id", "component").distinct()
+    crossed = prefix_pairs(stored(left, "mixed-classes"), texts, params)
     more = compared(crossed.join(stars, ["u", "v"], "left_anti"), classes, texts, params, False)
     more = stored(more.where("linked").select("u", "v"), "more-links")
     named = stored(components(links.union(more)), "components")
