@@ -68,11 +68,19 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return name, verdict
 
 
+#: Users before a host, ports behind it, and addresses instead of names.
+USER, PORT, ADDRESS = r"^.*@", r":[0-9]*\z", r"^([0-9]+([.][0-9]+){3}|\[.*\])\z"
+
+
 def domain_of(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
-    """Registered domain and suffix."""
-    two = F.substring_index(host, ".", -2)
+    """Registered domain and suffix, without users and ports. An address is its own domain; all share an empty suffix."""
+    site = F.regexp_replace(F.regexp_replace(host, USER, ""), PORT, "")
+    address = site.rlike(ADDRESS)
+    two = F.substring_index(site, ".", -2)
     long = two.isin(list(suffixes))
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
+    domain = F.when(long, F.substring_index(site, ".", -3)).otherwise(two)
+    suffix = F.when(long, two).otherwise(F.substring_index(site, ".", -1))
+    return F.when(address, site).otherwise(domain), F.when(address, "").otherwise(suffix)
 
 
 def _strength(groups: DataFrame) -> tuple[float, float]:
@@ -126,12 +134,13 @@ def reputation(pages: DataFrame, outcomes: DataFrame, params: Params = Params(),
 def judged(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], params: Params = Params(), key: str = "page_id", url: str = "url"
 ) -> DataFrame:
-    """``key, host, path, rule, verdict, n_labelled`` of every page."""
+    """``key, host, path, rule, verdict, n_labelled, bad_rate, bad_bound`` of every page; the last two to six digits."""
     hosts = stored(reputation(pages, outcomes, params, key, url), "reputation")
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_bound") > params.limit, "block").otherwise("allow")
     rows = rows.join(hosts, "host", "left").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method))
-    return rows.select(F.col("key").alias(key), "host", "path", "rule", "verdict", "n_labelled")
+    shown = [F.round(name, 6).alias(name) for name in ("bad_rate", "bad_bound")]
+    return rows.select(F.col("key").alias(key), "host", "path", "rule", "verdict", "n_labelled", *shown)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from vocabmill.llm.chat import PART
 from vocabmill.llm.hard_negatives import Params as Negatives
-from vocabmill.llm.host_reputation import LOWER, MOST_SHARED, SUFFIXES, UPPER, Params
+from vocabmill.llm.host_reputation import ADDRESS, LOWER, MOST_SHARED, PORT, SUFFIXES, UPPER, USER, Params
 from vocabmill.llm.queries import URL_RULES
 from vocabmill.llm.spelling import LETTERS, Params as Spelling
 
@@ -46,12 +46,15 @@ def _op3() -> str:
             SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
                    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
             FROM pages),
+        sites AS (SELECT *, regexp_replace(regexp_replace(host, '{USER}', ''), '{PORT}', '') AS site FROM p),
         hosts AS (
             SELECT host, count(doc_id) AS n, count(*) FILTER (quality = 0 OR toxic = 1) AS bad,
-                   CASE WHEN {_labels("host", 2)} IN ('{_TWO}') THEN {_labels("host", 3)} ELSE {_labels("host", 2)} END AS domain,
-                   CASE WHEN {_labels("host", 2)} IN ('{_TWO}') THEN {_labels("host", 2)} ELSE {_labels("host", 1)} END AS suffix
-            FROM p LEFT JOIN (SELECT * FROM labels WHERE quality = 0 OR toxic = 1 OR (quality IS NOT NULL AND toxic IS NOT NULL)) l ON page_id = doc_id
-            GROUP BY host),
+                   CASE WHEN regexp_matches(site, '{ADDRESS}') THEN site
+                        WHEN {_labels("site", 2)} IN ('{_TWO}') THEN {_labels("site", 3)} ELSE {_labels("site", 2)} END AS domain,
+                   CASE WHEN regexp_matches(site, '{ADDRESS}') THEN ''
+                        WHEN {_labels("site", 2)} IN ('{_TWO}') THEN {_labels("site", 2)} ELSE {_labels("site", 1)} END AS suffix
+            FROM sites LEFT JOIN (SELECT * FROM labels WHERE quality = 0 OR toxic = 1 OR (quality IS NOT NULL AND toxic IS NOT NULL)) l ON page_id = doc_id
+            GROUP BY host, site),
         domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
         suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
         s AS ({_strength("suffixes")}), d AS ({_strength("domains")}), h AS ({_strength("hosts")}),
@@ -61,13 +64,14 @@ def _op3() -> str:
             SELECT domain, (bad + weight * prior) / (n + weight) AS prior
             FROM domains JOIN suffix_rates USING (suffix), d),
         rates AS (
-            SELECT host, n, (bad + weight * prior) / (n + weight) AS mean, n + weight AS total
-            FROM hosts JOIN domain_rates USING (domain), h)
+            SELECT *, mean - {params.deviations} * sqrt(mean * (1 - mean) / (total + 1)) AS bound FROM (
+                SELECT host, n, (bad + weight * prior) / (n + weight) AS mean, n + weight AS total
+                FROM hosts JOIN domain_rates USING (domain), h))
         SELECT page_id, host, path, CASE {rule} END AS rule,
                CASE {verdict}
-                    WHEN mean - {params.deviations} * sqrt(mean * (1 - mean) / (total + 1)) > {params.limit} THEN 'block'
+                    WHEN bound > {params.limit} THEN 'block'
                     ELSE 'allow' END AS verdict,
-               n AS n_labelled
+               n AS n_labelled, round(mean, 6) AS bad_rate, round(bound, 6) AS bad_bound
         FROM p JOIN rates USING (host)"""
 
 
