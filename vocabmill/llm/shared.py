@@ -20,10 +20,17 @@ BLOCK_CHARS = 1 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where that is unset, a folder of this application on the default file system.
+    Where that is unset, a folder of this application on the default file system,
+    which on a cluster must not be that of a single machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    default = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if default.startswith("file:") and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return f"/tmp/checkpoints/{context.applicationId}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
