@@ -4,28 +4,32 @@ All pairs of neighbouring words of a text (k-grams with k = 2) are joined by
 hash, and by the words themselves, with the pairs of the templates' words. A hit
 at word ``i`` of the text and ``j`` of the template votes for the diagonal
 ``i - j``: a whole copy of a template has all its votes on one. The votes of a
-diagonal are a bit for each pair of the template, so they merge before the
-shuffle and repeated rows change nothing.
+diagonal are a bit for each pair of the template, in as many numbers of ``BITS`` bits
+as the longest template needs; so they merge before the shuffle and repeated rows
+change nothing.
 
 Phrases: a place is a diagonal with all votes, which verifies every word.
 Longer templates bring labels of their own: a diagonal is merged with those up
 to ``GAP`` behind it (words that are inserted or left out shift the diagonal), and
 the span is accepted if the merged votes cover ``COVERAGE`` of the template.
 
-Templates are a few sentences given by the caller, of up to ``MAX_WORDS`` words;
-they are the only thing that is broadcast.
+Templates are sentences or whole texts given by the caller, of any length from two
+words on. Spark knows their exact size, and broadcasts them only if they are small.
 
 Null and empty texts have no words, places and labels, and score 0. A template
 that a text has several times is found each time. Rows are told apart by id and
 text; equal rows have equal results. Texts of one word cannot match, as phrases
-have two words at least.
+have two words at least. Very long texts are rows of pairs like others. An empty
+table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +59,8 @@ NOTICES = {
 }
 GAP = 2
 COVERAGE = 0.75
-#: A template's pairs are bits of one number.
-MAX_WORDS = 63
+#: Pairs of a template that are bits of one number.
+BITS = 62
 
 
 def words_of(text: Column) -> Column:
@@ -64,38 +68,50 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
-def _template_rows(spark, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
-    rows = []
+def _template_rows(spark, phrases: Mapping[str, str], notices: Mapping[str, str]) -> tuple[DataFrame, int]:
+    """A row for each pair of words of the templates, and how many numbers hold the bits of the longest."""
+    columns: dict[str, list] = {name: [] for name in ("template", "label", "base", "pairs", "at", "t0", "t1")}
     for number, (text, label, base) in enumerate([*((t, x, True) for t, x in phrases.items()), *((t, x, False) for t, x in notices.items())]):
         words = [w for w in re.split(SEPARATORS, text.translate(str.maketrans(UPPER, LOWER))) if w]
-        if not 2 <= len(words) <= MAX_WORDS:
-            raise ValueError(f"a template has 2 to {MAX_WORDS} words: {text}")
-        rows += [(number, label, base, len(words) - 1, at, a, b) for at, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, at int, t0 string, t1 string")
+        if len(words) < 2:
+            raise ValueError(f"a template has two words or more: {text}")
+        for at, (one, other) in enumerate(zip(words, words[1:], strict=False)):
+            for name, value in zip(columns, (number, label, base, len(words) - 1, at, one, other), strict=True):
+                columns[name].append(value)
+    schema = "template int, label string, base boolean, pairs int, at int, t0 string, t1 string"
+    # As an Arrow table it is a local relation, of a size that Spark knows.
+    rows = spark.createDataFrame(pa.table(columns), schema) if columns["at"] else spark.createDataFrame([], schema)
+    return rows, max(columns["at"], default=0) // BITS + 1
 
 
 def _key(key: str, text: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))))
 
 
-def diagonals(docs: DataFrame, templates: DataFrame, key: str, text: str) -> DataFrame:
-    """``row, template, label, base, pairs, diagonal, votes``."""
+def diagonals(docs: DataFrame, templates: DataFrame, numbers: int, key: str, text: str) -> DataFrame:
+    """``row, template, label, base, pairs, diagonal`` and its votes, in ``numbers`` columns."""
     words = docs.select(_key(key, text).alias("row"), words_of(F.col(text)).alias("words"))
     pairs = words.select("row", F.posexplode(F.arrays_zip(F.col("words").alias("w0"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("w1"))).alias("at_word", "pair"))
     pairs = pairs.select("row", "at_word", "pair.*").where("w1 is not null").withColumn("gram", F.xxhash64("w0", "w1"))
-    hits = pairs.join(F.broadcast(templates.withColumn("gram", F.xxhash64("t0", "t1"))), "gram").where("w0 = t0 and w1 = t1")
-    return hits.groupBy("row", "template", "label", "base", "pairs", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("votes")
-    )
+    hits = pairs.join(templates.withColumn("gram", F.xxhash64("t0", "t1")), "gram").where("w0 = t0 and w1 = t1")
+    bit = F.expr(f"shiftleft(1L, at % {BITS})")
+    votes = [F.bit_or(F.when(F.expr(f"at div {BITS}") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"votes_{k}") for k in range(numbers)]
+    return hits.groupBy("row", "template", "label", "base", "pairs", (F.col("at_word") - F.col("at")).alias("diagonal")).agg(*votes)
+
+
+def _counted(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, map(F.bit_count, columns))
 
 
 def spans(found: DataFrame) -> DataFrame:
     """``row, label, base, first_word, coverage`` of verified spans."""
-    exact = found.where(F.col("base") & (F.bit_count("votes") == F.col("pairs")))
+    votes = [F.col(name) for name in found.columns if name.startswith("votes_")]
+    exact = found.where(F.col("base") & (_counted(votes) == F.col("pairs")))
     exact = exact.select("row", "label", "base", F.col("diagonal").alias("first_word"), F.lit(1.0).alias("coverage"))
     own = Window.partitionBy("row", "template").orderBy("diagonal")
-    near = found.where(~F.col("base")).withColumn("merged", F.bit_or("votes").over(own.rangeBetween(0, GAP)))
-    coverage = F.bit_count("merged") / F.col("pairs")
+    merged = _counted([F.bit_or(column).over(own.rangeBetween(0, GAP)) for column in votes])
+    near = found.where(~F.col("base")).withColumn("merged", merged)
+    coverage = F.col("merged") / F.col("pairs")
     near = near.where(coverage >= COVERAGE)
     # The diagonals of one copy count once, by the first.
     near = near.withColumn("before", F.lag("diagonal").over(own))
@@ -109,9 +125,9 @@ def _labels(rows: Column) -> Column:
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row."""
-    templates = _template_rows(docs.sparkSession, phrases, notices)
+    templates, numbers = _template_rows(docs.sparkSession, phrases, notices)
     place = F.when(F.col("base"), F.col("first_word"))
-    found = spans(diagonals(docs, templates, key, text)).groupBy("row").agg(
+    found = spans(diagonals(docs, templates, numbers, key, text)).groupBy("row").agg(
         F.count_if("base").alias("n_base"),
         F.min(place).cast("long").alias("first_word"),
         F.max(place).cast("long").alias("last_word"),
@@ -134,7 +150,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping
 
 def spans_of(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The verified spans themselves, with the id: ``key, label, base, first_word, coverage``; equal rows once."""
-    found = spans(diagonals(docs, _template_rows(docs.sparkSession, phrases, notices), key, text))
+    found = spans(diagonals(docs, *_template_rows(docs.sparkSession, phrases, notices), key, text))
     names = docs.select(F.col(key).alias("key"), _key(key, text).alias("row")).distinct()
     return found.join(names, "row").select(F.col("key").alias(key), "label", "base", "first_word", "coverage")
 
