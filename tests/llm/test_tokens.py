@@ -135,6 +135,17 @@ def test_frequent_words_are_counted_over_all_documents(spark):
     docs = documents(spark, [(1, "b b a's", None), (2, "B <|endoftext|> a", None), (3, None, None)])
     assert {r.word: r.n for r in bpe.word_counts(docs).collect()} == {"b": 3, "a": 2, "'s": 1}
     assert bpe.frequent_words(docs, max_words=2) == ["b", "a"]
+    rng = np.random.default_rng(3)
+    words = [f"{'abcd'[k % 4]}{'xyz'[k % 3]}q{k}" for k in range(300)]
+    counts = [int(n) for n in rng.choice([1, 1, 1, 2, 3, 70, 1500, 1510], 300)]
+    docs = documents(spark, [(0, " ".join(" ".join([w] * n) for w, n in zip(words, counts, strict=True)), None)])
+    expected = {}
+    for r in bpe.word_counts(docs).collect():
+        expected[r.word] = r.n
+    ordered = sorted(expected, key=lambda w: (-expected[w], w))
+    for most in (1, 5, 50, 150, len(ordered), len(ordered) + 9):
+        assert bpe.frequent_words(docs, max_words=most) == ordered[:most]
+    assert bpe.frequent_words(documents(spark, [])) == []
 
 
 def test_token_counts_table(spark):

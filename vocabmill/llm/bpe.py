@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vocabmill.llm import lexicon, pretokens
-from vocabmill.llm.shared import fetched, map_arrays, map_batches, pack_arrays, send_file, text_blocks
+from vocabmill.llm.shared import fetched, map_arrays, map_batches, pack_arrays, send_file, stored, text_blocks
 from vocabmill.llm.vocabulary import Vocabulary
 
 #: Most words in the lexicon.
@@ -121,8 +122,24 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", max_words: int = MAX_WORDS) -> list[str]:
-    """The most frequent words, ties in order of the words. The bound is what reaches the driver."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(max_words)
+    """The most frequent words, ties in order of the words. The bound is what reaches the driver.
+
+    A histogram of the order, of exact numbers and then first letters where words are
+    rare, shows how far down the most frequent words go. So the task that takes them
+    reads few others, however many tasks there are before it.
+    """
+    counted = stored(word_counts(docs, text), "word-counts")
+    n = F.col("n")
+    number = F.when(n < 1024, n).otherwise(F.greatest(F.floor(F.log2("n") * 64) + 1024, F.lit(1024)))
+    place = F.struct((-number).alias("number"), F.when(n < 64, F.substring("word", 1, 3)).alias("start"))
+    sizes = counted.groupBy(place.alias("place")).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    reached = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_words)
+    last = reached.agg(F.max("place").alias("place")).head().place
+    if last is None:
+        return []
+    bound = F.struct(F.lit(last.number).cast("long").alias("number"), F.lit(last.start).cast("string").alias("start"))
+    top = counted.where(place <= bound).orderBy(F.desc("n"), "word").limit(max_words)
     return [row.word for row in top.select("word").toLocalIterator()]
 
 
