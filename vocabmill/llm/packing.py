@@ -37,8 +37,8 @@ from vocabmill.llm.shared import map_batches, ship_package, stored
 BLOCK_PIECES = 50_000
 #: A bin is full enough if less than this share of it is free.
 FULL_ENOUGH = 1 / 128
-#: Underfull bins that local search compares a bin with.
-PARTNERS = 64
+#: Pieces of a bin up to which its offers are kept in a table; bins with more are always looked at.
+FEW = 4
 
 
 def pieces(docs: DataFrame, codec: SentCodec, length: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,33 +132,64 @@ def _best_exchange(gaining: list[int], losing: list[int], sizes: list[int], free
     return best
 
 
+def _offers(bins: list[list[int]], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What each bin can give: its pieces and sums of two, a row each; and which bins have too many to list."""
+    table, many = np.zeros((len(bins), FEW * (FEW + 1) // 2), np.int64), np.zeros(len(bins), bool)
+    for n in range(len(bins)):
+        _offer(table, many, n, [sizes[i] for i in bins[n]])
+    return table, many
+
+
+def _offer(table: np.ndarray, many: np.ndarray, n: int, values: list[int]) -> None:
+    many[n] = len(values) > FEW
+    both = [] if many[n] else values + [a + b for k, a in enumerate(values) for b in values[k + 1 :]]
+    table[n, : len(both)] = both
+    table[n, len(both) :] = 0
+
+
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Raise the sum of squared fills of underfull bins until no exchange does; empty bins go."""
+    """Raise the sum of squared fills of underfull bins until no exchange does; empty bins go.
+
+    A bin is compared with every other underfull bin that offers something of a size that would fit.
+    """
     bins = list(bins)
-    fill = [sum(sizes[i] for i in b) for b in bins]
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
     slack = int(capacity * FULL_ENOUGH)
     todo = sorted((n for n in range(len(bins)) if capacity - fill[n] > slack), key=lambda n: (-fill[n], n))
     done = [bins[n] for n in range(len(bins)) if capacity - fill[n] <= slack]
+    table, many = _offers(bins, sizes)
+    waiting = np.zeros(len(bins), bool)
+    waiting[todo] = True
     while todo:
         target = todo.pop(0)
+        waiting[target] = False
         gained = True
         while gained and fill[target] < capacity:
             gained = False
+            own, free = [sizes[i] for i in bins[target]], capacity - fill[target]
+            # A bin of many pieces has many ways to fill up, and is not held up for long.
+            fits = many | (len(own) > 2 * FEW)
+            for lost in {0, *own, *(a + b for k, a in enumerate(own) for b in own[k + 1 :])} if len(own) <= 2 * FEW else ():
+                fits |= ((table > lost) & (table <= lost + free)).any(axis=1)
+            partners = np.flatnonzero(fits & waiting)
             # The emptiest bins first: to take from them raises the squares most.
-            for other in todo[::-1][:PARTNERS]:
-                gain, got, given = _best_exchange(bins[target], bins[other], sizes, capacity - fill[target])
+            for other in partners[np.lexsort((-partners, fill[partners]))].tolist():
+                gain, got, given = _best_exchange(bins[target], bins[other], sizes, int(capacity - fill[target]))
                 # The squares rise by 2 * gain * (fill of target - fill of other + gain).
                 if gain > 0 and fill[target] + gain > fill[other]:
                     bins[target] = [i for i in bins[target] if i not in given] + list(got)
                     bins[other] = [i for i in bins[other] if i not in got] + list(given)
                     fill[target] += gain
                     fill[other] -= gain
+                    _offer(table, many, other, [sizes[i] for i in bins[other]])
                     gained = True
                     if not fill[other]:
                         todo.remove(other)
+                        waiting[other] = False
                     if fill[target] == capacity:
                         break
-            todo.sort(key=lambda n: (-fill[n], n))
+            if gained:
+                todo.sort(key=lambda n: (-fill[n], n))
         done.append(bins[target])
     return done
 
