@@ -5,8 +5,8 @@ which everything but letters is a blank; each is hashed into ``buckets``. A text
 is the average of its subwords' embeddings, and a linear softmax over it gives
 the languages' probabilities. Both layers are trained together by stochastic
 gradient descent in numpy, on a bounded sample: up to ``per_language`` of the
-labelled rows of each of the ``MAX_LANGUAGES`` most frequent languages, those with
-the least hash of their id and text. Rows that repeat both count once, so neither
+labelled rows of every language, fewer if all of them would be more than
+``sampled`` (one of each at least), those with the least hash of their id and text. Rows that repeat both count once, so neither
 rows without an id nor repeated ones outweigh others. The sample's texts become
 counts of buckets in the tasks; the driver never sees texts.
 
@@ -15,11 +15,15 @@ which makes the score a probability, and the score below which a prediction is
 rejected, such that ``keep`` of the correct predictions are accepted, while no
 score above ``MAX_THRESHOLD`` is ever asked for.
 
-Whole texts are predicted; as the model is linear, the embeddings are multiplied
-by the softmax's weights beforehand, and each subword is one look-up.
+Whole texts are predicted; as the model is linear, the embeddings of up to ``width``
+languages are multiplied by the softmax's weights beforehand, and each subword is
+one look-up; with more languages the weights are applied to the average.
 
-A text that is null or has no letter is ``und`` with score 0 and rejected.
-Without labelled rows every text is ``und``. Repeated rows are predicted each.
+A text that is null or has no letter is ``und`` with score 0 and rejected; marks that
+combine with letters form subwords, but are no letters. Very long texts are worked on
+in pieces. Without labelled rows, as in an empty table, every text is ``und``. Of
+equally likely languages the first by name is taken. Repeated rows are
+predicted each. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,16 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocabmill.llm.shared import map_batches, text_blocks
+from vocabmill.llm.shared import map_batches, stored, text_blocks
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 200
 MAX_THRESHOLD = 0.6
 
 
 @dataclass(frozen=True)
 class Params:
     per_language: int = 1500
+    sampled: int = 300_000  # rows of all languages
     bits: int = 15  # 2 ** bits buckets
     width: int = 16  # numbers in an embedding
     epochs: int = 4
@@ -58,7 +62,8 @@ class Params:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    table: np.ndarray  # of each bucket, what it adds to the languages' logits
+    table: np.ndarray  # of each bucket, what it adds to the languages' logits, or its embedding
+    weights: np.ndarray | None  # of the softmax, for embeddings
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -76,17 +81,23 @@ def _letters() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _is_letter() -> np.ndarray:
+    return np.array([unicodedata.category(chr(code))[0] == "L" for code in range(0x110000)])
+
+
 def subwords(block: list[tuple[int, str, bool]], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all subwords of a block, how many each piece has, and how many letters it has."""
     text = " ".join(piece for _, piece, _ in block) + " "
-    codes = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _letters()[raw].astype(np.uint64)
     lengths = np.fromiter((len(piece) + 1 for _, piece, _ in block), np.int64, len(block))
     owner = np.repeat(np.arange(len(block)), lengths)
+    letters = np.bincount(owner[_is_letter()[raw]], minlength=len(block))
     blank = codes == 32
     # Runs of blanks count as one.
     keep = ~(blank & np.concatenate(([True], blank[:-1])))
     codes, owner, blank = codes[keep], owner[keep], blank[keep]
-    letters = np.bincount(owner[~blank], minlength=len(block))
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(len(block), np.int64), letters
     before = np.concatenate((np.array([32], np.uint64), codes[:-1]))
@@ -133,21 +144,16 @@ def sample(docs: DataFrame, params: Params, key: str, lang: str, text: str = "te
     span = 1 << 62
     numbered = docs.withColumn("order_", F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.col(text)), 2))
     labelled = numbered.where(F.col(lang).isNotNull())
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("count"), F.approx_count_distinct("order_").alias("distinct"))
-    found = counts.orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-
-    def below(limits: dict) -> Column:
-        chosen = F.lit(False)
-        for name, most in limits.items():
-            chosen = F.when(F.col(lang) == name, F.col("order_") <= F.lit(most)).otherwise(chosen)
-        return chosen
-
-    rough = {r[lang]: min(span, int(span * MARGIN * params.per_language) // max(r["distinct"], 1)) for r in found}
-    # Hashes are even, so a language has about MARGIN * per_language of them here.
-    least = labelled.where(below(rough)).select(lang, "order_").distinct()
+    counts = stored(labelled.groupBy(lang).agg(F.approx_count_distinct("order_").alias("distinct")), "language-rows")
+    own = max(1, min(params.per_language, params.sampled // max(counts.count(), 1)))
+    some = MARGIN * own + 20
+    rough = F.least(F.lit(span), F.floor(F.lit(span * some) / F.greatest("distinct", F.lit(1))).cast("long"))
+    # Hashes are even, so a language has about so many of them here.
+    least = labelled.join(counts.select(lang, rough.alias("most_")), lang).where("order_ <= most_").select(lang, "order_").distinct()
     ranked = least.withColumn("place", F.row_number().over(Window.partitionBy(lang).orderBy("order_")))
-    exact = ranked.where(F.col("place") <= params.per_language).groupBy(lang).agg(F.max("order_").alias("most"))
-    return labelled.where(below({r[lang]: r["most"] for r in exact.collect()})).dropDuplicates([lang, "order_"])
+    exact = ranked.where(F.col("place") <= own).groupBy(lang).agg(F.max("order_").alias("most_"))
+    chosen = labelled.join(stored(exact, "language-limits"), lang).where("order_ <= most_").drop("most_")
+    return chosen.dropDuplicates([lang, "order_"])
 
 
 def train(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
@@ -196,14 +202,15 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str]
             for (buckets, shares, _), gradient in zip(own, back, strict=True):
                 embedding[buckets] -= rate * shares[:, None] * gradient
             step += len(own)
-    table = (embedding @ weights).astype(np.float32)
-    logits = np.array([shares @ table[buckets] + bias for buckets, shares, _ in held or used])
+    table, over = ((embedding @ weights).astype(np.float32), None) if many <= width else (embedding, weights)
+    logits = np.array([shares @ table[buckets] for buckets, shares, _ in held or used])
+    logits = (logits if over is None else logits @ over) + bias
     truth = np.array([y for _, _, y in held or used])
     temperature = min(np.geomspace(0.02, 50, 100), key=lambda t: _loss(logits / t, truth))
     score = _softmax(logits / temperature)
     right = np.sort(score.max(1)[score.argmax(1) == truth])
     threshold = min(float(right[int((1 - params.keep) * len(right))]), MAX_THRESHOLD) if len(right) else 0.0
-    return Model(languages, table, bias, float(temperature), threshold, params.bits)
+    return Model(languages, table, over, bias, float(temperature), threshold, params.bits)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -230,7 +237,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.num_rows
-            sums = np.zeros((size, len(model.languages) if model else 1))
+            sums = np.zeros((size, model.table.shape[1] if model else 1))
             counts, letters = np.zeros(size, np.int64), np.zeros(size, np.int64)
             for block in text_blocks(batch.column(len(names)).to_pylist()) if model else ():
                 found, sizes, own = subwords(block, model.bits)
@@ -245,7 +252,8 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
             known = letters > 0
             best, score = [UNKNOWN] * size, np.zeros(size)
             if model and known.any():
-                logits = sums / np.maximum(counts, 1)[:, None] + model.bias
+                means = sums / np.maximum(counts, 1)[:, None]
+                logits = (means if model.weights is None else means @ model.weights) + model.bias
                 chance = _softmax(logits / model.temperature)
                 best = [model.languages[k] if ok else UNKNOWN for k, ok in zip(chance.argmax(1).tolist(), known, strict=True)]
                 score = np.where(known, chance.max(1), 0.0)
