@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -160,6 +161,52 @@ def test_subwords_do_not_depend_on_blocks():
     assert sorted(together[: sizes[0]]) == sorted(whole) == sorted(together[sizes[0] :])
 
 
+def plain_prediction(model, text):
+    """Subwords one by one, their numbers summed, a softmax: one text at a time."""
+    mask, bits = (1 << 64) - 1, model.bits
+    shown = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in text or "")
+    shown = re.sub(" +", " ", shown + " ").lstrip(" ")
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    buckets = []
+    for i, c in enumerate(shown):
+        one, two = shown[i - 1] if i else " ", shown[i - 2] if i > 1 else " "
+        pair = ord(one) * 0x9E3779B97F4A7C15 + ord(c) * 0xC2B2AE3D27D4EB4F
+        buckets.append(((pair & mask) * 0xD6E8FEB86659FD93 & mask) >> (64 - bits))
+        if one != " ":
+            triple = ord(one) * 0x165667B19E3779F9 + ord(c) * 0xC2B2AE3D27D4EB4F + ord(two) * 0x27D4EB2F165667C5
+            buckets.append(((triple & mask) * 0xD6E8FEB86659FD93 & mask) >> (64 - bits))
+    mean = sum(model.table[b].astype(float) for b in buckets) / len(buckets)
+    logits = ((mean if model.weights is None else mean @ model.weights) + model.bias) / model.temperature
+    chance = np.exp(logits - logits.max())
+    return model.languages[int(chance.argmax())], float(chance.max() / chance.sum())
+
+
+@pytest.mark.parametrize("width", [16, 2])
+def test_predictions_equal_a_plain_version(spark, width):
+    """With the softmax's weights in the table, and with fewer numbers than languages."""
+    rows = [*texts(), (300, "\u0301\u0308 \u20dd", "de"), (301, "a\u0301 É ǅ İx", None), (302, "x", None)]
+    docs = documents(spark, rows)
+    model = language_id.train(docs, language_id.Params(epochs=2, visits=500, width=width))
+    assert (model.weights is None) == (width == 16)
+    for r in language_id.predict(docs, model, columns=("text",)).collect():
+        lang, score = plain_prediction(model, r.text)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-4)), r.text
+        if r.doc_id == 300:
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+
+
+def test_many_languages(spark):
+    """Hundreds of labels are learned and have references; none is left out."""
+    rows = [(10 * k + j, f"zorg{k:03d} blin{k:03d} wux{k:03d} " * 20, f"l{k:03d}") for k in range(230) for j in range(2)]
+    docs = documents(spark, rows)
+    model = language_id.train(docs, language_id.Params(epochs=1, visits=1))
+    assert len(model.languages) == 230 and model.table.shape[1] == 16
+    one = language_id.sample(docs.select("doc_id", "text", "lang"), language_id.Params(sampled=230), "doc_id", "lang").collect()
+    assert Counter(r.lang for r in one) == {f"l{k:03d}": 1 for k in range(230)}
+    assert len(quality_rules.references(docs, quality_rules.Limits())) == 230
+
+
 # Licences
 
 SEPARATORS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -210,10 +257,25 @@ def test_notices_with_inserted_words(spark):
 
 def test_licences_of_an_empty_table(spark):
     assert license_scan.scan(documents(spark, [])).collect() == []
-    with pytest.raises(ValueError, match="2 to"):
+    with pytest.raises(ValueError, match="two words"):
         license_scan.scan(documents(spark, []), {"one": "x"})
 
 
+def test_whole_licences_as_templates(spark):
+    """Templates of hundreds of words, as phrases and as notices with changes."""
+    rng = random.Random(12)
+    long = " ".join(rng.choice(["the", "software", "shall", "licence", "use", "of", "any", "kind", "copy", f"w{rng.randrange(300)}"]) for _ in range(400))
+    words = long.split()
+    changed = words[:100] + ["inserted"] + words[100:250] + words[251:]
+    half = words[:200] + [f"z{i}" for i in range(200)]
+    docs = documents(spark, [(1, "x " + long + " y", None), (2, " ".join(changed), None), (3, " ".join(half), None), (4, long + " " + long, None)])
+    rows = {r.doc_id: r for r in license_scan.scan(docs, {long: "whole"}, {}).collect()}
+    assert {i: (r.n_base, r.first_word, r.last_word) for i, r in rows.items()} == {1: (1, 1, 1), 2: (0, None, None), 3: (0, None, None), 4: (2, 0, 400)}
+    rows = {r.doc_id: r for r in license_scan.scan(docs, {}, {long: "whole"}).collect()}
+    assert {i for i, r in rows.items() if r.labels == "whole"} == {1, 2, 4}
+    assert 0.9 < rows[2].score < 1 and rows[1].score == 1
+
+
 # Hosts
 
 URLS = {
@@ -263,3 +325,8 @@ def test_registered_domains(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("com",), ("",), ("b.co.uk",)], "h string")
     domain, suffix = host_reputation.domain_of(hosts.h, host_reputation.SUFFIXES)
     assert [(r[0], r[1]) for r in hosts.select(domain, suffix).collect()] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", ""), ("b.co.uk", "co.uk")]
+    odd = spark.createDataFrame([("1.2.3.4",), ("1.2.3.4:80",), ("a.com:8080",), ("user:pw@b.co.uk",), ("[::1]:80",), ("a.b.com:",), ("@",)], "h string")
+    domain, suffix = host_reputation.domain_of(odd.h, host_reputation.SUFFIXES)
+    assert [(r[0], r[1]) for r in odd.select(domain, suffix).collect()] == [
+        ("1.2.3.4", ""), ("1.2.3.4", ""), ("a.com", "com"), ("b.co.uk", "co.uk"), ("[::1]", ""), ("b.com", "com"), ("", "")
+    ]

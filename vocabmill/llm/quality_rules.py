@@ -8,8 +8,8 @@ Jensen-Shannon distance (0 for equal, 1 for disjoint histograms):
 
 The language references are the summed histograms of all labelled documents;
 common words are each language's most frequent ones (a documented number). Spark
-sums both, partly in the tasks. What reaches the driver and the tasks is bounded
-by ``MAX_LANGUAGES`` languages (the most frequent ones) times those numbers.
+sums both, partly in the tasks, for every language there is; what reaches the driver
+and the tasks is those numbers for each language.
 
 A text is taken for the language it is nearest to by both histograms together (the
 least sum of the squares), so its own label isn't used. It is rejected if that
@@ -24,8 +24,10 @@ fewer than ``min_chars`` word characters or ``min_words`` words are not judged b
 the respective histogram at all.
 
 Null and empty texts have no words and fail the base rules. Without any labelled
-text there are no references and only the base rules judge. Repeated rows are
-judged each.
+text, as in an empty table, there are no references and only the base rules judge.
+Very long texts are worked on one by one. Equally frequent words are taken in byte
+order, equally near languages in the order of their names. Repeated rows are judged
+each. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vocabmill.llm.hashed_words import hash_words, row_slices, windows
 from vocabmill.llm.shared import map_batches, row_blocks, stored, string_bytes
@@ -47,7 +50,6 @@ SYMBOLS = b"#*$%&|<>"
 #: other marks, symbols, and by UTF-8 lead byte: other Latin letters, other scripts, the rest.
 LOWER, UPPER, DIGIT, BLANK, LINE, STOP, MARK, SYMBOL, LATIN, SCRIPT, WIDE, CONTROL = range(12)
 CLASSES = 12
-MAX_LANGUAGES = 200
 WINDOW = 5
 #: Distinct words that a task counts before it hands them on.
 TASK_WORDS = 200_000
@@ -152,19 +154,22 @@ def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str =
     counted = map_batches(labelled, sums, "lang string, word binary, class int, n long")
     counted = counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     counted = stored(counted, "language-counts")
-    totals = counted.where("word is null").groupBy("lang").agg(F.sum("n").alias("chars"))
-    names = [r.lang for r in totals.orderBy(F.desc("chars"), "lang").limit(MAX_LANGUAGES).collect()]
+    words = counted.where("word is not null")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = words.withColumn("place", place).where(F.col("place") <= limits.common_words)
+    common: dict[str, list] = {}
+    for r in top.orderBy("lang", "place").toLocalIterator():
+        common.setdefault(r.lang, []).append((bytes(r.word), r.n))
+    sizes = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).toLocalIterator()}
+    shares: dict[str, np.ndarray] = {}
+    for r in counted.where("word is null").toLocalIterator():
+        shares.setdefault(r.lang, np.zeros(CLASSES))[r["class"]] = r.n
     found = {}
-    sizes = {r.lang: r.n for r in counted.where("word is not null").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("lang").isin(names)).collect()}
-    shares = {name: np.zeros(CLASSES) for name in names}
-    for r in counted.where("word is null").where(F.col("lang").isin(names)).collect():
-        shares[r.lang][r["class"]] = r.n
-    for name in names:
-        top = counted.where((F.col("lang") == name) & F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(limits.common_words).collect()
-        if top and shares[name].sum():
-            common = np.array([r.n for r in top], float)
-            rest = max(sizes[name] - common.sum(), 0.0)
-            found[name] = (shares[name] / shares[name].sum(), [bytes(r.word) for r in top], np.append(common, rest) / sizes[name])
+    for name, own in sorted(common.items()):
+        if shares[name].sum():
+            counts = np.array([n for _, n in own], float)
+            rest = max(sizes[name] - counts.sum(), 0.0)
+            found[name] = (shares[name] / shares[name].sum(), [word for word, _ in own], np.append(counts, rest) / sizes[name])
     return found
 
 
