@@ -3,7 +3,10 @@
 Each stage works on all rows that the one before it kept, and drops what it
 rejects; the last one returns the pieces of the sequences. Null and empty texts
 fail the quality rules. Copies and repeated rows go in the third stage, which
-keeps one document of each group; rows without an id cannot be named and stay.
+keeps one row of each group: that with the least id; a row without an id only if
+all of its group are.
+Very long texts are worked on as the operators do. Empty tables give empty results
+of every stage. Columns that the operators also use as names stay as they are.
 """
 
 from __future__ import annotations
@@ -39,11 +42,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    name = free_name(docs, "kept_id")
-    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    # Rows that repeat an id and its text are one document.
-    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
+    # Rows are linked by a number of their own: an id may be null, or stand for several texts.
+    number = free_name(docs, "row_number")
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    found = near_duplicates.near_duplicates(numbered, key=number).select(F.col(number).alias("n"), "component_id")
+    names = numbered.select(F.col(number).alias("n"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "n"))
+    kept = found.join(names, "n").groupBy("component_id").agg(first.alias("first")).select(F.col("first.n").alias(number))
+    return numbered.join(kept, number, "left_semi").drop(number)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
