@@ -50,12 +50,12 @@ def session(cpus: int) -> SparkSession:
     return spark
 
 
-def stored(spark, entries):
-    """Entries by language as gzipped text and as a columnar copy, written once."""
+def stored(spark, entries, cpus):
+    """Entries by language as gzipped text and as a columnar copy in buckets of words, written once."""
     text, copy = scratch_path(spark, "bench-text"), scratch_path(spark, "bench-columnar")
     entries = entries.withColumn("prefix", word_prefix(F.col("ngram")))
     write_entries_text(entries, text, ["lang", "prefix"])
-    write_columnar(read_entries(spark, text).drop("prefix"), copy)
+    write_columnar(read_entries(spark, text).drop("prefix"), copy, buckets=cpus)
     return text, copy
 
 
@@ -64,7 +64,7 @@ def headline(spark, sf_dir, cpus):
         # The table is a single row group, which one task would have to tokenize.
         return registered.entries(spark, sf_dir, *keys, partitions=cpus)
 
-    text, copy = stored(spark, counted("lang"))
+    text, copy = stored(spark, counted("lang"), cpus)
     catalog = languages(spark)
     return {
         "j1_documents": lambda: word_list(counted(), TOP, with_stats=True),
@@ -79,7 +79,7 @@ def headline(spark, sf_dir, cpus):
         "j2_text": lambda: word_lists(read_entries(spark, text), catalog, PER_LANGUAGE, checked=True),
         "j1_columnar": lambda: word_list(read_columnar(spark, copy, ["eng"]), TOP, checked=True),
         "j2_columnar": lambda: word_lists(
-            read_columnar(spark, copy), catalog, PER_LANGUAGE, checked=True, partitioned=True
+            read_columnar(spark, copy), catalog, PER_LANGUAGE, checked=True
         ),
     }
 
