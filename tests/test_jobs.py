@@ -4,7 +4,7 @@ import pytest
 from helpers import model_casings, model_classes, model_file_merge, model_words, random_entries
 from test_sources import gz
 
-from vocabmill import Config, all_word_lists, dataset_paths, language_word_list, languages
+from vocabmill import Config, all_word_lists, dataset_paths, language_word_list, languages, read_columnar, write_columnar
 
 CONFIG = Config(min_matches=2, min_books=1, sort_by_popularity=True)
 
@@ -64,3 +64,40 @@ def test_all_languages(spark, data):
     for row in all_word_lists(spark, base, CONFIG).collect():
         found.setdefault(row.lang, []).append(row.ngram)
     assert found == {lang: expected(rows[lang], lang != "ger") for lang in rows}
+
+
+def test_long_lists_from_files(spark, data):
+    """Ranked by ranges, sampled or not, the lists are the same."""
+    base, rows = data
+    limited = Config(min_matches=2, min_books=1, max_outputs=5, sort_by_popularity=True)
+    for distributed in (False, True):
+        words = language_word_list(spark, base, "fre", limited, distributed=distributed).collect()
+        assert [r.ngram for r in words] == expected(rows["fre"], True)[:5]
+        assert [r.rank for r in words] == list(range(1, len(words) + 1))
+        found = {}
+        for row in all_word_lists(spark, base, limited, distributed=distributed).collect():
+            found.setdefault(row.lang, []).append(row.ngram)
+        assert found == {lang: expected(rows[lang], lang != "ger")[:5] for lang in rows}
+
+
+def test_copies_give_the_lists_of_the_files(spark, data, tmp_path):
+    """By prefix and in buckets, read by a session that didn't write them."""
+    base, rows = data
+    entries = [(*e[:4], lang) for lang, own in rows.items() for e in own]
+    df = spark.createDataFrame(entries, "ngram string, year long, match_count long, volume_count long, lang string")
+    for name, buckets in (("prefix", None), ("it's buckets", 3)):
+        path = str(tmp_path / name)
+        write_columnar(df, path, buckets=buckets)
+        session = spark.newSession()
+        assert sorted(map(tuple, read_columnar(session, path).select(*df.columns).collect())) == sorted(entries)
+        assert {r.lang for r in read_columnar(session, path, ["fre"], ["a"]).collect()} <= {"fre"}
+        words = language_word_list(session, path, "fre", CONFIG, columnar=True)
+        assert [r.ngram for r in words.collect()] == expected(rows["fre"], True)
+        found = {}
+        for row in all_word_lists(session, path, CONFIG, columnar=True).collect():
+            found.setdefault(row.lang, []).append(row.ngram)
+        assert found == {lang: expected(rows[lang], lang != "ger") for lang in rows}
+    table = [t.name for t in spark.catalog.listTables() if t.name.startswith("vocabmill_")][-1]
+    spark.sql(f"DROP TABLE {table}")  # as in a later application, which knows the folder alone
+    words = language_word_list(spark, path, "fre", CONFIG, columnar=True)
+    assert [r.ngram for r in words.collect()] == expected(rows["fre"], True)
