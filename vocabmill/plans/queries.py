@@ -295,8 +295,8 @@ def v3_repeated_years_in_files(spark, sf_dir):
     """Data files of any years in which some lines stand twice. A year that two files have is no repeat."""
     df = entries(spark, sf_dir, "source")
     twice = F.when((F.col("year") + F.col("match_count")) % 7 == 0, 2).otherwise(1)
-    df = df.withColumn("year", F.col("year") + 100 * (F.col("match_count") % 3))
-    df = _files_by_source(spark, df.select("*", F.explode(F.array_repeat("source", twice)).alias("_")).drop("_"))
+    df = df.select("*", F.explode(F.array_repeat("source", twice)).alias("_")).drop("_")
+    df = _files_by_source(spark, df.withColumn("year", F.col("year") + 100 * (F.col("match_count") % 3)))
     # A folder may hold several files; the folder tells which lines belong together.
     df = df.withColumn("file", F.regexp_extract("file", "/source=([^/]+)/", 1))
     return quality.repeated_years(filters.accept(df, STRIPPED), ["file"])
