@@ -36,7 +36,8 @@ def sql_rows(db, sql):
 
 
 def _rows(table, names):
-    return sorted(zip(*(table.column(name).to_pylist() for name in names), strict=True))
+    rows = zip(*(table.column(name).to_pylist() for name in names), strict=True)
+    return sorted(rows, key=lambda row: [(value is not None, value) for value in row])
 
 
 def main(sf_dir="/root/testdata/sf0.01", *only):
