@@ -200,7 +200,8 @@ def simhash_duplicates(docs: DataFrame, params: Params = Params(), key: str = "d
     classes = stored(rows.where("id is not null").groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "simhash-classes")
     found = components(links(classes, params)).select(F.col("node.fingerprint").alias("fingerprint"), F.col("component.id").alias("component"))
     named = classes.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    # Copies may be very many: the sides are joined by class, which Spark can split.
+    # Copies may be very many: joined by class with a stored table, a shuffle on either side, which Spark can split.
+    named = stored(named, "simhash-components")
     return rows.join(named, "fingerprint", "left").select(
         F.col("id").alias(key),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
