@@ -20,8 +20,8 @@ languages are multiplied by the softmax's weights beforehand, and each subword i
 one look-up; with more languages the weights are applied to the average.
 
 A text that is null or has no letter is ``und`` with score 0 and rejected; marks that
-combine with letters form subwords, but are no letters. Very long texts are worked on
-in pieces. Without labelled rows, as in an empty table, every text is ``und``. Of
+combine with letters form subwords, but are no letters. Texts are worked on in blocks
+of ``PIECE_CHARS`` characters, longer ones in pieces. Without labelled rows, as in an empty table, every text is ``und``. Of
 equally likely languages the first by name is taken. Repeated rows are
 predicted each. Other columns are not looked at.
 """
@@ -38,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocabmill.llm.shared import map_batches, stored, text_blocks
+from vocabmill.llm.shared import map_batches, stored, text_blocks, text_source
 
 UNKNOWN = "und"
 MAX_THRESHOLD = 0.6
+#: Characters that are worked on at once in a task; each takes some 250 bytes meanwhile.
+PIECE_CHARS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -114,23 +116,33 @@ def subwords(block: list[tuple[int, str, bool]], bits: int) -> tuple[np.ndarray,
     return buckets[order], np.bincount(owners, minlength=len(block)), letters
 
 
+def values(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, each when it is asked for."""
+    return (value.as_py() for value in column)
+
+
 def bags(docs: DataFrame, bits: int, text: str, *columns: str) -> DataFrame:
     """``columns`` and the counts of buckets of each text, as ``buckets`` and ``counts``."""
     schema = ", ".join(f"{n} {t}" for n, t in docs.select(*columns).dtypes) + ", buckets array<int>, counts array<int>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [np.zeros(0, np.int64)] * batch.num_rows
-            for block in text_blocks(batch.column(len(columns)).to_pylist()):
+            done, before = 0, 0
+            for block in text_blocks(values(batch.column(len(columns))), PIECE_CHARS):
                 found, sizes, _ = subwords(block, bits)
+                used, sums = [], []
                 at = 0
-                for (row, _, _), size in zip(block, sizes.tolist(), strict=True):
-                    own = np.bincount(found[at : at + size], minlength=1 << bits)
-                    sums[row] = own + sums[row] if len(sums[row]) else own
+                for (_, _, last), size in zip(block, sizes.tolist(), strict=True):
+                    # Only the counts of a text that goes on in the next block are kept for all buckets.
+                    before = before + np.bincount(found[at : at + size], minlength=1 << bits)
                     at += size
-            used = [np.flatnonzero(s) for s in sums]
-            arrays = [pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), pa.array([s[u].astype(np.int32) for s, u in zip(sums, used, strict=True)], pa.list_(pa.int32()))]
-            yield pa.record_batch([*(batch.column(k) for k in range(len(columns))), *arrays], [*columns, "buckets", "counts"])
+                    if last:
+                        used.append(np.flatnonzero(before).astype(np.int32))
+                        sums.append(before[used[-1]].astype(np.int32))
+                        before = 0
+                own = [batch.column(k).slice(done, len(used)) for k in range(len(columns))]
+                yield pa.record_batch([*own, pa.array(used, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32()))], [*columns, "buckets", "counts"])
+                done += len(used)
 
     return map_batches(docs.select(*columns, F.col(text)), run, schema)
 
@@ -229,9 +241,13 @@ def _loss(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", columns: tuple[str | Column, ...] = ()) -> DataFrame:
-    """``key, lang_pred, score, accepted`` of every row, and ``columns`` that pass through."""
+    """``key, lang_pred, score, accepted`` of every row, and ``columns`` that pass through.
+
+    ``text`` may be a field of ``key``, as in ``key.text``.
+    """
     chosen = docs.select(F.col(key).alias("key"), *columns)
     names = chosen.columns
+    sent, text_in = text_source(docs, key, text)
     schema = ", ".join(f"{n} {t}" for n, t in chosen.dtypes) + ", lang_pred string, score double, accepted boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +255,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
             size = batch.num_rows
             sums = np.zeros((size, model.table.shape[1] if model else 1))
             counts, letters = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for block in text_blocks(batch.column(len(names)).to_pylist()) if model else ():
+            for block in text_blocks(values(text_in(batch)), PIECE_CHARS) if model else ():
                 found, sizes, own = subwords(block, model.bits)
                 rows = [row for row, _, _ in block]
                 full = np.flatnonzero(sizes)
@@ -262,5 +278,4 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 [*(batch.column(k) for k in range(len(names))), pa.array(best, pa.string()), pa.array(score), pa.array(accepted)], [*names, "lang_pred", "score", "accepted"]
             )
 
-    rows = docs.select(F.col(key).alias("key"), *columns, F.col(text).alias("text_to_predict"))
-    return map_batches(rows, run, schema).withColumnRenamed("key", key)
+    return map_batches(docs.select(F.col(key).alias("key"), *columns, *sent), run, schema).withColumnRenamed("key", key)

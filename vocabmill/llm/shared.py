@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that are worked on at once in a task. Bounds its memory, changes no result.
 BLOCK_CHARS = 1 << 20
@@ -90,6 +92,19 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def text_source(docs: DataFrame, key: str, text: str) -> tuple[list[Column], Callable[[pa.RecordBatch], pa.Array]]:
+    """What to send to tasks as the last columns besides ``key``, the first one, and how they find the texts of a batch.
+
+    A text that is a field of ``key``, named ``key.text``, goes there with it and not a second time.
+    """
+    kind = docs.schema[key].dataType
+    top, _, field = text.partition(".")
+    if isinstance(kind, StructType) and top == key and field:
+        place = kind.names.index(field) if field in kind.names else [name.lower() for name in kind.names].index(field.lower())
+        return [], lambda batch: batch.column(0).flatten()[place]
+    return [F.col(text).alias("text_sent")], lambda batch: batch.column(batch.num_columns - 1)
+
+
 def fetched(file: str) -> str:
     return SparkFiles.get(file)
 
@@ -122,7 +137,7 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     return result
 
 
-def text_blocks(texts: Sequence[str | None], most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str, bool]]]:
+def text_blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str, bool]]]:
     """Blocks of ``(row, piece, last)`` of up to ``most`` characters; null is empty.
 
     A longer text is cut after white space, so that no word is cut; ``last``
